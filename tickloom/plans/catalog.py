@@ -2,8 +2,10 @@
 
 from tickloom.plans import (  # noqa: F401
     bar_queries,
+    indicator_queries,
     scan_queries,
     scoring_queries,
+    signal_queries,
 )
 from tickloom.plans.registry import QUERIES, SQL
 
