@@ -21,13 +21,18 @@ def growing(*keys: str, order: str) -> Window:
     )
 
 
+def decayed_mean(x: Column, alpha: float, window) -> Column:
+    """Weighted mean of all values so far, weights falling by ``1-alpha`` per value."""
+    return InternalFunction.ewm(x, alpha, True).over(window)
+
+
 def decayed(x: Column, alpha: float, window) -> Column:
     """The recurrence, seeded by the first non-null value; NULL inputs are skipped."""
     if alpha >= 1.0:
         return F.last(x, ignorenulls=True).over(window)
     keep = F.pow(F.lit(1.0 - alpha), F.count(x).over(window))
     first = F.first(x, ignorenulls=True).over(window)
-    return InternalFunction.ewm(x, alpha, True).over(window) * (1 - keep) + first * keep
+    return decayed_mean(x, alpha, window) * (1 - keep) + first * keep
 
 
 def decayed_in_blocks(
@@ -50,7 +55,7 @@ def decayed_in_blocks(
     weight = F.count(seeded).over(local)
     blocks = blocks.withColumn(
         "_local",
-        InternalFunction.ewm(seeded, alpha, True).over(local) * (1 - F.pow(F.lit(decay), weight)),
+        decayed_mean(seeded, alpha, local) * (1 - F.pow(F.lit(decay), weight)),
     )
     ends = blocks.filter(F.col(pos) % block == block - 1).select(
         key, (F.col("_blk") + 1).alias("_blk"), F.col("_local").alias("_end")
@@ -62,7 +67,7 @@ def decayed_in_blocks(
     else:
         seen = F.count("_end").over(chain)
         carried = (
-            InternalFunction.ewm(F.col("_end"), 1.0 - step, True).over(chain)
+            decayed_mean(F.col("_end"), 1.0 - step, chain)
             * (1 - F.pow(F.lit(step), seen))
             / (1.0 - step)
         )
@@ -88,8 +93,14 @@ def latched(df: DataFrame, key: str, order: str, enter: str, stop: str, out: str
     e = F.coalesce(F.col(enter), F.lit(False))
     s = F.coalesce(F.col(stop), F.lit(False))
     w = growing(key, order=order)
-    marked = df.withColumn("_run", F.sum((e != s).cast("int")).over(w))
-    run = growing(key, "_run", order=order)
-    base = F.coalesce(F.first(F.when(e != s, e), ignorenulls=True).over(run), F.lit(False))
-    flips = F.sum((e & s).cast("int")).over(run) % 2 == 1
-    return marked.withColumn(out, base != flips).drop("_run")
+    settled = e != s
+    df = df.withColumns(
+        {
+            "_flips": F.sum((e & s).cast("int")).over(w),
+            "_base": F.last(F.when(settled, e), ignorenulls=True).over(w),
+        }
+    )
+    before = F.last(F.when(settled, F.col("_flips")), ignorenulls=True).over(w)
+    odd = (F.col("_flips") - F.coalesce(before, F.lit(0))) % 2 == 1
+    flag = F.coalesce(F.col("_base"), F.lit(False)) != odd
+    return df.withColumn(out, flag).drop("_flips", "_base")

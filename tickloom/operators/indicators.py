@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import constants as K
-from tickloom.functions.recurrence import decayed, growing
+from tickloom.functions.recurrence import decayed, decayed_mean, growing
 
 
 def series():
@@ -93,35 +93,35 @@ def indicator_series(
 def pine_rma(df: DataFrame, jobs: dict[str, tuple[str, int]]) -> DataFrame:
     """Add ``out: (source, n)`` averages that start with the mean of ``n`` values.
 
-    A NULL input ends a series; the next ``n`` values seed it afresh. Hence each
-    stretch of non-null values is averaged on its own.
+    A NULL input ends a series; the next ``n`` values seed it afresh. One unbroken
+    decayed sum runs over the whole symbol; the part that precedes the current seed
+    is subtracted again. So all averages of a call share two window passes, on the
+    partitioning and order the bars already have. ``bar`` must count rows without holes.
     """
-    sources = sorted({c for c, _ in jobs.values()})
-    df = df.withColumns(
-        {f"_gap_{c}": F.sum(F.col(c).isNull().cast("int")).over(so_far()) for c in sources}
+    sources = {c: f"_{i}" for i, c in enumerate(sorted({c for c, _ in jobs.values()}))}
+    so_far_ = so_far()
+    first_pass, sums, seeds, result, extra = {}, {}, {}, {}, []
+    for c, t in sources.items():
+        broken = F.last(F.when(F.col(c).isNull(), F.col("bar")), ignorenulls=True).over(so_far_)
+        first_pass[f"_k{t}"] = F.count(c).over(so_far_)
+        first_pass[f"_run{t}"] = F.col("bar") - F.coalesce(broken, F.first("bar").over(so_far_) - 1)
+    for o, (c, n) in jobs.items():
+        k = F.col(f"_k{sources[c]}")
+        first_pass[f"_m_{o}"] = F.avg(c).over(trailing(n))
+        first_pass[f"_e_{o}"] = decayed_mean(F.col(c), 1.0 / n, so_far_)
+        sums[f"_e_{o}"] = F.col(f"_e_{o}") * (1 - F.pow(F.lit(1 - 1.0 / n), k))
+        seeded = F.col(f"_run{sources[c]}") == n
+        for part, value in (("k", k), ("m", F.col(f"_m_{o}")), ("e", F.col(f"_e_{o}"))):
+            seeds[f"_s{part}_{o}"] = F.last(F.when(seeded, value), ignorenulls=True).over(so_far_)
+        fade = F.pow(F.lit(1 - 1.0 / n), k - F.col(f"_sk_{o}"))
+        value = F.col(f"_sm_{o}") * fade + (F.col(f"_e_{o}") - fade * F.col(f"_se_{o}"))
+        ready = F.col(c).isNotNull() & (F.col(f"_run{sources[c]}") >= n)
+        result[o] = F.when(ready, value)
+        extra += [f"_m_{o}", f"_e_{o}"]
+    extra += list(seeds) + [f"_k{t}" for t in sources.values()] + [f"_run{t}" for t in sources.values()]
+    return (
+        df.withColumns(first_pass).withColumns(sums).withColumns(seeds).withColumns(result).drop(*extra)
     )
-    for c in sources:
-        stretch = growing("symbol", f"_gap_{c}", order="bar")
-        group = {o: n for o, (s, n) in jobs.items() if s == c}
-        nth = f"_nth_{c}"
-        df = df.withColumn(nth, F.count(c).over(stretch))
-        seeds = {
-            f"_seed_{o}": F.when(
-                F.col(nth) == n, F.avg(c).over(stretch.rowsBetween(-(n - 1), 0))
-            ).when(F.col(nth) > n, F.col(c))
-            for o, n in group.items()
-        }
-        df = df.withColumns(seeds)
-        df = df.withColumns(
-            {
-                o: F.when(
-                    F.col(c).isNotNull() & (F.col(nth) >= n),
-                    decayed(F.col(f"_seed_{o}"), 1.0 / n, stretch),
-                )
-                for o, n in group.items()
-            }
-        ).drop(nth, *seeds)
-    return df.drop(*[f"_gap_{c}" for c in sources])
 
 
 def ma_bundle(df: DataFrame, c: str = "close", lengths=K.MA_BUNDLE) -> DataFrame:
@@ -181,8 +181,8 @@ def atr(df: DataFrame, n: int, out: str = "atr") -> DataFrame:
 
 
 def cum_mean_tr(df: DataFrame, out: str = "mean_tr") -> DataFrame:
-    """Running sum of true range over the 0-based bar number (NULL on the first bar)."""
-    df = df.withColumn("_tr", true_range())
+    """Running sum of true range over the 0-based bar number; the first bar has no range."""
+    df = df.withColumn("_tr", F.when(prev("close").isNotNull(), true_range()))
     at = F.row_number().over(series()) - 1
     return df.withColumn(out, F.when(at > 0, F.sum("_tr").over(so_far()) / at)).drop("_tr")
 

@@ -6,6 +6,7 @@ from tickloom.plans import (  # noqa: F401
     scan_queries,
     scoring_queries,
     signal_queries,
+    structure_queries,
 )
 from tickloom.plans.registry import QUERIES, SQL
 

@@ -140,7 +140,7 @@ TR = "CASE WHEN lag(close) OVER w IS NULL THEN high - low ELSE greatest(high - l
 _chain("atr", lambda c: c.step(TR).rma({"atr": ("tr", 5)}), ["atr"], lambda h: I.atr(h, 5))
 _chain(
     "cum_mean_true_range",
-    lambda c: c.step(TR).step("CASE WHEN bar > 1 THEN sum(tr) OVER g / (bar - 1) END AS mean_tr"),
+    lambda c: c.step(TR).step("CASE WHEN bar > 1 THEN sum(CASE WHEN bar > 1 THEN tr END) OVER g / (bar - 1) END AS mean_tr"),
     ["mean_tr"],
     lambda h: I.cum_mean_tr(h),
 )
