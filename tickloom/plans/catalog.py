@@ -7,6 +7,7 @@ from tickloom.plans import (  # noqa: F401
     scoring_queries,
     signal_queries,
     structure_queries,
+    trade_queries,
 )
 from tickloom.plans.registry import QUERIES, SQL
 
