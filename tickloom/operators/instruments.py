@@ -148,10 +148,9 @@ def strike_price(df: DataFrame, symbol: str = "symbol", price: str = "price", si
 
 def fallback_strike(symbol: Column, strike: Column, opt_type: Column, **tables) -> Column:
     """Strike on the next coarser step, NULL when there is none or it is the same."""
-    step = F.lit(None).cast("int")
     interval = strike_interval(symbol, strike, **tables)
-    for s in reversed(K.FALLBACK_STEPS):
-        step = F.when(F.lit(s) > interval, s).otherwise(step)
+    coarser = F.filter(F.array(*[F.lit(s) for s in K.FALLBACK_STEPS]), lambda s: s > interval)
+    step = F.get(coarser, F.lit(0))
     moved = F.when(opt_type == "CE", F.floor(strike / step) * step).otherwise(F.ceil(strike / step) * step)
     moved = moved.cast("double")
     return F.when((moved != 0) & (moved != strike), moved)

@@ -69,9 +69,9 @@ TYPO_SQL = """WITH q AS (SELECT DISTINCT CASE WHEN p_size > 25 THEN substr(p_nam
     ELSE substr(p_name, 1, p_size % 4 + 1) || 'x' || substr(p_name, p_size % 4 + 3) || CASE WHEN p_size > 12 THEN 'e' ELSE '' END END AS query FROM part),
 c AS (SELECT DISTINCT regexp_replace(upper(p_name), '[^A-Z0-9&]', '', 'g') AS c FROM part UNION SELECT DISTINCT regexp_replace(upper(n_name), '[^A-Z0-9&]', '', 'g') FROM nation),
 w AS (SELECT query, regexp_replace(upper(query), '[^A-Z0-9&]', '', 'g') AS q FROM q),
-t AS (SELECT *, list_transform(range(1, length(q) + 1), i -> substr('$' || q || '^', i, 3)) AS qt FROM (SELECT DISTINCT q FROM w)),
-k AS (SELECT *, list_transform(range(1, length(c) + 1), i -> substr('$' || c || '^', i, 3)) AS ct FROM c),
-s AS (SELECT q, c, len(list_filter(qt, x -> list_contains(ct, x))) AS ov, len(qt) + len(ct) AS n, levenshtein(q, c) AS e FROM t, k),
+t AS (SELECT *, list_transform(range(1, length(q) + 1), lambda i: substr('$' || q || '^', i, 3)) AS qt FROM (SELECT DISTINCT q FROM w)),
+k AS (SELECT *, list_transform(range(1, length(c) + 1), lambda i: substr('$' || c || '^', i, 3)) AS ct FROM c),
+s AS (SELECT q, c, len(list_filter(qt, lambda x: list_contains(ct, x))) AS ov, len(qt) + len(ct) AS n, levenshtein(q, c) AS e FROM t, k),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN e = 0 THEN 0 WHEN 2.0 * ov / n >= 0.7 THEN 1 ELSE 2 END,
     CASE WHEN 2.0 * ov / n >= 0.7 THEN -2.0::DOUBLE * ov / n ELSE e END, CASE WHEN 2.0 * ov / n >= 0.7 THEN 0 ELSE -ov END, c) AS rn
   FROM s WHERE e = 0 OR 2.0 * ov / n >= 0.7 OR (ov > 0 AND e <= 2))
@@ -281,16 +281,16 @@ SEARCH_TEXT = "CASE WHEN p_size > 45 THEN CASE WHEN p_type = 'SMALL' THEN 'pe' E
 SEARCH_SQL = f"""WITH {MASTER_SQL},
 ents AS MATERIALIZED (SELECT load_pos AS entry_id, symbol, {DISPLAY} AS display, CASE WHEN inst LIKE 'OPT%' THEN 'OPT' WHEN inst LIKE 'FUT%' THEN 'FUT' ELSE 'EQ' END AS inst_type,
   expiry, strike, opt_type, CASE WHEN expiry = '' THEN '' ELSE upper(strftime(CAST(expiry AS DATE), '%b')) END AS month_tag FROM master),
-own AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(upper(symbol || ' ' || display), '[\\s-]+'), w -> w <> '' AND NOT regexp_matches(w, '^[0-9]+$')
+own AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(upper(symbol || ' ' || display), '[\\s-]+'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$')
   AND w NOT IN ('OF','THE','&','LTD','LIMITED','CORP','CORPORATION','CO','CE','PE','CALL','PUT','FUT','OPT','EQ')))) AS own FROM ents),
 eq AS (SELECT symbol, arg_max(own, entry_id) AS eqt FROM own WHERE inst_type = 'EQ' GROUP BY 1),
 e AS MATERIALIZED (SELECT own.* EXCLUDE (own), CASE WHEN inst_type = 'EQ' THEN own ELSE coalesce(eqt, own) END AS toks FROM own LEFT JOIN eq USING (symbol)),
 vocab AS MATERIALIZED (SELECT word, ln((SELECT count(*) FROM e) / count(*)) + 1 AS idf FROM (SELECT unnest(toks) AS word FROM e) GROUP BY 1),
 q AS (SELECT DISTINCT {SEARCH_TEXT} AS query FROM part),
 parts AS (SELECT query, string_split(upper(query), ' ') AS p FROM q),
-ctx AS MATERIALIZED (SELECT query, list_filter(p, w -> w NOT IN ('CALL','FUT','MARCH','JUN','PE') AND try_cast(w AS DOUBLE) IS NULL) AS names,
+ctx AS MATERIALIZED (SELECT query, list_filter(p, lambda w: w NOT IN ('CALL','FUT','MARCH','JUN','PE') AND try_cast(w AS DOUBLE) IS NULL) AS names,
   CASE WHEN list_contains(p, 'MARCH') THEN 'MAR' WHEN list_contains(p, 'JUN') THEN 'JUN' END AS mon, CASE WHEN list_contains(p, 'CALL') THEN 'CE' WHEN list_contains(p, 'PE') THEN 'PE' END AS opt,
-  list_contains(p, 'FUT') AS fut, list_filter(list_transform(p, w -> try_cast(w AS INT)), v -> v > 0)[1] AS strk FROM parts),
+  list_contains(p, 'FUT') AS fut, list_filter(list_transform(p, lambda w: try_cast(w AS INT)), lambda v: v > 0)[1] AS strk FROM parts),
 tok AS MATERIALIZED (SELECT DISTINCT unnest(names) AS t FROM ctx),
 pre AS MATERIALIZED (SELECT t, word FROM tok, vocab WHERE starts_with(word, t)),
 m AS MATERIALIZED (SELECT * FROM pre UNION ALL SELECT t, word FROM tok, vocab WHERE t NOT IN (SELECT t FROM pre) AND regexp_matches(word, array_to_string(string_split(t, ''), '.*'))),
@@ -306,8 +306,8 @@ pts AS (SELECT f.query, f.entry_id, t.tk, coalesce(v.idf, 1) AS idf, CASE WHEN s
     WHEN starts_with(symbol, tk) OR starts_with(tk, symbol) THEN 400 + coalesce(v.idf, 1) * 100
     WHEN regexp_matches(symbol, array_to_string(string_split(tk, ''), '.*')) THEN 200 + coalesce(v.idf, 1) * 50
     WHEN list_contains(toks, tk) THEN coalesce(v.idf, 1) * 100
-    WHEN len(list_filter(toks, w -> starts_with(w, tk))) > 0 THEN coalesce(v.idf, 1) * 80
-    WHEN len(list_filter(toks, w -> regexp_matches(w, array_to_string(string_split(tk, ''), '.*')))) > 0 THEN coalesce(v.idf, 1) * 40 END AS pt
+    WHEN len(list_filter(toks, lambda w: starts_with(w, tk))) > 0 THEN coalesce(v.idf, 1) * 80
+    WHEN len(list_filter(toks, lambda w: regexp_matches(w, array_to_string(string_split(tk, ''), '.*')))) > 0 THEN coalesce(v.idf, 1) * 40 END AS pt
   FROM fil f, unnest(f.names) t(tk) LEFT JOIN vocab v ON v.word = tk),
 sc AS (SELECT query, entry_id, sum(coalesce(pt, 0)) AS s, count(pt) AS matched FROM pts GROUP BY 1, 2),
 fin AS (SELECT f.query, f.entry_id, f.expiry, f.strike, coalesce(s, 0) + CASE WHEN f.used AND matched >= len(f.names) AND len(f.names) > 0 THEN 200 ELSE 0 END
