@@ -6,6 +6,7 @@ from tickloom.plans import (  # noqa: F401
     scan_queries,
     scoring_queries,
     signal_queries,
+    source_queries,
     stream_queries,
     structure_queries,
     trade_queries,

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -159,11 +159,13 @@ class _NewSignals(StatefulProcessor):
         pass
 
 
-def dedup_alerts(alerts: DataFrame, enabled: bool = True) -> DataFrame:
+def dedup_alerts(alerts: DataFrame, enabled: bool = True, block: int = 100_000) -> DataFrame:
     """(symbol, alert_id, signal): keep alerts whose signal changed. Batch or stream.
 
-    Batch form: only changes inside an id block need ordering; each block learns the
-    last signal before it from a table with one row per symbol and block.
+    Batch form: alerts are ordered only inside blocks of ``block`` ids, and each block
+    learns the last signal before it from a table with one row per symbol and block, so
+    a symbol with very many alerts spreads over tasks. In a stream the micro-batch
+    (``maxFilesPerTrigger`` of the source) bounds what one symbol can bring at once.
     """
     if not enabled:
         return alerts
@@ -172,10 +174,7 @@ def dedup_alerts(alerts: DataFrame, enabled: bool = True) -> DataFrame:
         return rows.groupBy("symbol").transformWithStateInPandas(
             _NewSignals(), "symbol STRING, alert_id LONG, signal STRING", "append", "None"
         )
-    from pyspark.sql import Window
-
-    block = F.floor(F.col("alert_id") / 100_000)
-    rows = rows.withColumn("_b", block)
+    rows = rows.withColumn("_b", F.floor(F.col("alert_id") / block))
     ends = rows.groupBy("symbol", "_b").agg(F.max("alert_id").alias("alert_id"))
     ends = ends.join(rows, ["symbol", "_b", "alert_id"])
     chain = Window.partitionBy("symbol").orderBy("_b")
