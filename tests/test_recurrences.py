@@ -97,6 +97,6 @@ def test_latch_equals_recurrence(spark):
 
 
 def test_rsi_without_losses_is_100(spark):
-    df = I.rsi(series(spark, list(range(1, 30))), "x", 8, "y")
+    df = I.rsi(series(spark, [float(v) for v in range(1, 30)]), "x", 8, "y")
     assert values(df)[8:] == [100.0] * 21
     assert values(df)[:8] == [None] * 8
