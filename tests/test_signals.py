@@ -17,7 +17,7 @@ def walk(spark, n=400, symbols=3, seed=1):
             o = price
             price = max(5.0, price + rng.gauss(0, 2))
             hi, lo = max(o, price) + rng.random(), min(o, price) - rng.random()
-            rows.append((f"S{s}", b, o, hi, lo, price, rng.choice([0, 0, 3, 4, 1, 2])))
+            rows.append((f"S{s}", b, o, hi, lo, price, rng.choice([0] * 30 + [3, 4])))
     schema = "symbol STRING, bar INT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, raw INT"
     return spark.createDataFrame(rows, schema)
 
@@ -90,7 +90,7 @@ def confirm(rows, codes, level):
 
 @pytest.mark.parametrize("level", [1, 2, 3])
 def test_confirmation_ladder(spark, level):
-    df = walk(spark, 500, 2, seed=level)
+    df = walk(spark, 1500, 2, seed=level)
     rows = by_symbol(df)
     codes = {s: flat_long_short([r.raw for r in rs]) for s, rs in rows.items()}
     flat = [(s, r.bar, c) for s, rs in rows.items() for r, c in zip(rs, codes[s])]
