@@ -100,10 +100,15 @@ def dense_grid(universe: DataFrame, calendar: DataFrame, per_day: int) -> DataFr
 
 
 def _filled(col: str) -> Column:
-    """Linear inside a day, flat at its ends, zero when the day has no value."""
+    """Linear inside a day, flat at its ends, zero when the day has no value.
+
+    The next known value is the last one seen in reverse order: a frame that grows
+    backwards costs one step per row, one that looks ahead rescans the rest of the day.
+    """
     point = F.when(F.col(col).isNotNull(), F.struct(F.col("slot").alias("s"), F.col(col).alias("v")))
+    reverse = Window.partitionBy("symbol", "day_idx").orderBy(F.desc("slot"))
     prev = F.last(point, ignorenulls=True).over(_day().rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first(point, ignorenulls=True).over(_day().rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.last(point, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))
     slope = (nxt["v"] - prev["v"]) / (nxt["s"] - prev["s"])
     between = F.when(nxt["s"] == prev["s"], prev["v"]).otherwise(
         prev["v"] + slope * (F.col("slot") - prev["s"])

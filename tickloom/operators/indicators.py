@@ -100,27 +100,31 @@ def pine_rma(df: DataFrame, jobs: dict[str, tuple[str, int]]) -> DataFrame:
     """
     sources = {c: f"_{i}" for i, c in enumerate(sorted({c for c, _ in jobs.values()}))}
     so_far_ = so_far()
-    first_pass, sums, seeds, result, extra = {}, {}, {}, {}, []
+    first_pass, second_pass, result = {}, {}, {}
     for c, t in sources.items():
         broken = F.last(F.when(F.col(c).isNull(), F.col("bar")), ignorenulls=True).over(so_far_)
         first_pass[f"_k{t}"] = F.count(c).over(so_far_)
         first_pass[f"_run{t}"] = F.col("bar") - F.coalesce(broken, F.first("bar").over(so_far_) - 1)
+        first_pass[f"_sum{t}"] = F.coalesce(F.sum(c).over(so_far_), F.lit(0.0))
+        second_pass[f"_cut{t}"] = F.coalesce(
+            F.last(F.when(F.col(c).isNull(), F.col(f"_sum{t}")), ignorenulls=True).over(so_far_), F.lit(0.0)
+        )
     for o, (c, n) in jobs.items():
-        k = F.col(f"_k{sources[c]}")
-        first_pass[f"_m_{o}"] = F.avg(c).over(trailing(n))
+        t = sources[c]
+        keep = F.lit(1 - 1.0 / n)
+        k = F.col(f"_k{t}")
         first_pass[f"_e_{o}"] = decayed_mean(F.col(c), 1.0 / n, so_far_)
-        sums[f"_e_{o}"] = F.col(f"_e_{o}") * (1 - F.pow(F.lit(1 - 1.0 / n), k))
-        seeded = F.col(f"_run{sources[c]}") == n
-        for part, value in (("k", k), ("m", F.col(f"_m_{o}")), ("e", F.col(f"_e_{o}"))):
-            seeds[f"_s{part}_{o}"] = F.last(F.when(seeded, value), ignorenulls=True).over(so_far_)
-        fade = F.pow(F.lit(1 - 1.0 / n), k - F.col(f"_sk_{o}"))
-        value = F.col(f"_sm_{o}") * fade + (F.col(f"_e_{o}") - fade * F.col(f"_se_{o}"))
-        ready = F.col(c).isNotNull() & (F.col(f"_run{sources[c]}") >= n)
+        decayed_sum = F.col(f"_e_{o}") * (1 - F.pow(keep, k))
+        seeded = F.col(f"_run{t}") == n
+        for part, value in (("k", k), ("sum", F.col(f"_sum{t}")), ("e", decayed_sum)):
+            second_pass[f"_s{part}_{o}"] = F.last(F.when(seeded, value), ignorenulls=True).over(so_far_)
+        fade = F.pow(keep, k - F.col(f"_sk_{o}"))
+        seed = (F.col(f"_ssum_{o}") - F.col(f"_cut{t}")) / n
+        value = seed * fade + (decayed_sum - fade * F.col(f"_se_{o}"))
+        ready = F.col(c).isNotNull() & (F.col(f"_run{t}") >= n)
         result[o] = F.when(ready, value)
-        extra += [f"_m_{o}", f"_e_{o}"]
-    extra += list(seeds) + [f"_k{t}" for t in sources.values()] + [f"_run{t}" for t in sources.values()]
     return (
-        df.withColumns(first_pass).withColumns(sums).withColumns(seeds).withColumns(result).drop(*extra)
+        df.withColumns(first_pass).withColumns(second_pass).withColumns(result).drop(*first_pass, *second_pass)
     )
 
 

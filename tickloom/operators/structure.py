@@ -227,7 +227,9 @@ def order_blocks(
 def _later_extremes(bars: DataFrame, source: str, from_next: bool) -> DataFrame:
     """Per bar the highest and lowest mitigation price from it (or the next bar) on."""
     hi, lo = ("close", "close") if source == "close" else ("high", "low")
-    w = I.series().rowsBetween(1 if from_next else 0, Window.unboundedFollowing)
+    # Reverse order, so the frame grows instead of rescanning all later bars per row.
+    later = Window.partitionBy("symbol").orderBy(F.desc("bar"))
+    w = later.rowsBetween(Window.unboundedPreceding, -1 if from_next else 0)
     return bars.select(
         "symbol", "bar", F.max(hi).over(w).alias("later_high"), F.min(lo).over(w).alias("later_low")
     )
