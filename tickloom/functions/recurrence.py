@@ -84,23 +84,28 @@ def decayed_in_blocks(
     )
 
 
-def latched(df: DataFrame, key: str, order: str, enter: str, stop: str, out: str) -> DataFrame:
+def latch_steps(
+    enter: Column, stop: Column, window, out: str, tag: str = ""
+) -> list[dict[str, Column]]:
     """``on = enter and not on[1] ? true : stop ? false : on[1]`` without a fold.
 
     A bar with only ``enter`` sets, with only ``stop`` resets, with both toggles.
-    Hence the flag is the last set/reset, flipped once per toggle since.
+    Hence the flag is the last set/reset, flipped once per toggle since. Two sets of
+    columns, the second reading the first.
     """
-    e = F.coalesce(F.col(enter), F.lit(False))
-    s = F.coalesce(F.col(stop), F.lit(False))
-    w = growing(key, order=order)
+    e, s = F.coalesce(enter, F.lit(False)), F.coalesce(stop, F.lit(False))
     settled = e != s
-    df = df.withColumns(
-        {
-            "_flips": F.sum((e & s).cast("int")).over(w),
-            "_base": F.last(F.when(settled, e), ignorenulls=True).over(w),
-        }
-    )
-    before = F.last(F.when(settled, F.col("_flips")), ignorenulls=True).over(w)
-    odd = (F.col("_flips") - F.coalesce(before, F.lit(0))) % 2 == 1
-    flag = F.coalesce(F.col("_base"), F.lit(False)) != odd
-    return df.withColumn(out, flag).drop("_flips", "_base")
+    flips, base = f"_flips{tag}", f"_base{tag}"
+    first = {
+        flips: F.sum((e & s).cast("int")).over(window),
+        base: F.last(F.when(settled, e), ignorenulls=True).over(window),
+    }
+    before = F.last(F.when(settled, F.col(flips)), ignorenulls=True).over(window)
+    odd = (F.col(flips) - F.coalesce(before, F.lit(0))) % 2 == 1
+    return [first, {out: F.coalesce(F.col(base), F.lit(False)) != odd}]
+
+
+def latched(df: DataFrame, key: str, order: str, enter: str, stop: str, out: str) -> DataFrame:
+    """Add the latch of two boolean columns."""
+    first, second = latch_steps(F.col(enter), F.col(stop), growing(key, order=order), out)
+    return df.withColumns(first).withColumns(second).drop(*first)

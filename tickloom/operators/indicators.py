@@ -7,7 +7,7 @@ symbol had. All columns of a chain share one partitioning and one sort order.
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,12 @@ from tickloom.functions import constants as K
 from tickloom.functions.recurrence import decayed, decayed_mean, growing
 
 
+# The same windows as SQL text: a long chain is built faster from a few parsed
+# expressions than from many small column objects.
+BARS = "PARTITION BY symbol ORDER BY bar"
+SO_FAR = f"OVER ({BARS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 def series():
     return Window.partitionBy("symbol").orderBy("bar")
 
@@ -28,17 +34,22 @@ def trailing(n: int):
     return series().rowsBetween(-(n - 1), 0)
 
 
+def prev_sql(c: str, n: int = 1) -> str:
+    return f"lag({c}, {n}) OVER ({BARS})"
+
+
 def prev(col: str | Column, n: int = 1) -> Column:
-    return F.lag(col, n).over(series())
+    return F.expr(prev_sql(col, n)) if isinstance(col, str) else F.lag(col, n).over(series())
 
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _if_full(c: Column, n: int, value: Column) -> Column:
+def _full_sql(fn: str, c: str, n: int) -> str:
     """NULL unless the last ``n`` bars all have a value."""
-    return F.when(F.count(c).over(trailing(n)) == n, value)
+    frame = f"OVER ({BARS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({c}) {frame} = {n} THEN {fn}({c}) {frame} END"
 
 
 # --- averages seeded by the first value ----------------------------------------
@@ -99,61 +110,83 @@ def pine_rma(df: DataFrame, jobs: dict[str, tuple[str, int]]) -> DataFrame:
     partitioning and order the bars already have. ``bar`` must count rows without holes.
     """
     sources = {c: f"_{i}" for i, c in enumerate(sorted({c for c, _ in jobs.values()}))}
-    so_far_ = so_far()
     first_pass, second_pass, result = {}, {}, {}
     for c, t in sources.items():
-        broken = F.last(F.when(F.col(c).isNull(), F.col("bar")), ignorenulls=True).over(so_far_)
-        first_pass[f"_k{t}"] = F.count(c).over(so_far_)
-        first_pass[f"_run{t}"] = F.col("bar") - F.coalesce(broken, F.first("bar").over(so_far_) - 1)
-        first_pass[f"_sum{t}"] = F.coalesce(F.sum(c).over(so_far_), F.lit(0.0))
-        second_pass[f"_cut{t}"] = F.coalesce(
-            F.last(F.when(F.col(c).isNull(), F.col(f"_sum{t}")), ignorenulls=True).over(so_far_), F.lit(0.0)
+        broken = f"last(CASE WHEN {c} IS NULL THEN bar END, true) {SO_FAR}"
+        first_pass[f"_k{t}"] = F.expr(f"count({c}) {SO_FAR}")
+        first_pass[f"_run{t}"] = F.expr(f"bar - coalesce({broken}, first(bar) {SO_FAR} - 1)")
+        first_pass[f"_sum{t}"] = F.expr(f"coalesce(sum({c}) {SO_FAR}, 0D)")
+        second_pass[f"_cut{t}"] = F.expr(
+            f"coalesce(last(CASE WHEN {c} IS NULL THEN _sum{t} END, true) {SO_FAR}, 0D)"
         )
+    window = so_far()
     for o, (c, n) in jobs.items():
         t = sources[c]
-        keep = F.lit(1 - 1.0 / n)
-        k = F.col(f"_k{t}")
-        first_pass[f"_e_{o}"] = decayed_mean(F.col(c), 1.0 / n, so_far_)
-        decayed_sum = F.col(f"_e_{o}") * (1 - F.pow(keep, k))
-        seeded = F.col(f"_run{t}") == n
-        for part, value in (("k", k), ("sum", F.col(f"_sum{t}")), ("e", decayed_sum)):
-            second_pass[f"_s{part}_{o}"] = F.last(F.when(seeded, value), ignorenulls=True).over(so_far_)
-        fade = F.pow(keep, k - F.col(f"_sk_{o}"))
-        seed = (F.col(f"_ssum_{o}") - F.col(f"_cut{t}")) / n
-        value = seed * fade + (decayed_sum - fade * F.col(f"_se_{o}"))
-        ready = F.col(c).isNotNull() & (F.col(f"_run{t}") >= n)
-        result[o] = F.when(ready, value)
+        keep = f"{1 - 1.0 / n!r}D"
+        first_pass[f"_e_{o}"] = decayed_mean(F.col(c), 1.0 / n, window)
+        decayed_sum = f"_e_{o} * (1 - pow({keep}, _k{t}))"
+        for part, value in (("k", f"_k{t}"), ("sum", f"_sum{t}"), ("e", decayed_sum)):
+            second_pass[f"_s{part}_{o}"] = F.expr(
+                f"last(CASE WHEN _run{t} = {n} THEN {value} END, true) {SO_FAR}"
+            )
+        fade = f"pow({keep}, _k{t} - _sk_{o})"
+        seed = f"(_ssum_{o} - _cut{t}) / {n}"
+        result[o] = F.expr(
+            f"CASE WHEN {c} IS NOT NULL AND _run{t} >= {n} "
+            f"THEN {seed} * {fade} + ({decayed_sum} - {fade} * _se_{o}) END"
+        )
     return (
         df.withColumns(first_pass).withColumns(second_pass).withColumns(result).drop(*first_pass, *second_pass)
     )
 
 
+# A chain is a list of levels (columns to add, averages to take afterwards); a level may
+# read what earlier levels made. Chains run side by side: what stands on one level of
+# several chains shares its window passes.
+Level = tuple[dict[str, Column], dict[str, tuple[str, int]]]
+
+
+def run_levels(df: DataFrame, *chains: list[Level]) -> DataFrame:
+    """Run chains level by level and drop their helper columns (leading underscore)."""
+    mine = set(df.columns)
+    for level in zip_longest(*chains, fillvalue=({}, {})):
+        cols = {k: v for c, _ in level for k, v in c.items()}
+        jobs = {k: v for _, j in level for k, v in j.items()}
+        df = df.withColumns(cols) if cols else df
+        df = pine_rma(df, jobs) if jobs else df
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in mine])
+
+
 def ma_bundle(df: DataFrame, c: str = "close", lengths=K.MA_BUNDLE) -> DataFrame:
-    return pine_rma(df, {f"ma{i}": (c, n) for i, n in enumerate(lengths, 1)})
+    return run_levels(df, ma_bundle_levels(c, lengths))
 
 
 # --- window statistics -------------------------------------------------------------
 
 
-def highest(c: str | Column, n: int) -> Column:
-    return _if_full(_col(c), n, F.max(_col(c)).over(trailing(n)))
+def highest(c: str, n: int) -> Column:
+    return F.expr(_full_sql("max", c, n))
+
 
+def lowest(c: str, n: int) -> Column:
+    return F.expr(_full_sql("min", c, n))
 
-def lowest(c: str | Column, n: int) -> Column:
-    return _if_full(_col(c), n, F.min(_col(c)).over(trailing(n)))
 
+def rolling_std(c: str, n: int) -> Column:
+    return F.expr(_full_sql("stddev_pop", c, n))
 
-def rolling_std(c: str | Column, n: int) -> Column:
-    return _if_full(_col(c), n, F.stddev_pop(_col(c)).over(trailing(n)))
 
+def roc(c: str, n: int) -> Column:
+    old = prev_sql(c, n)
+    return F.expr(f"CASE WHEN {old} <> 0 THEN 100D * ({c} - {old}) / {old} END")
 
-def roc(c: str | Column, n: int) -> Column:
-    old = prev(c, n)
-    return F.when(old != 0, 100.0 * (_col(c) - old) / old)
 
+def _linreg3_sql(c: str) -> str:
+    return f"((-{prev_sql(c, 2)} + 2D * {prev_sql(c)} + 5D * {c}) / 6D)"
 
-def linreg3(c: str | Column) -> Column:
-    return (-prev(c, 2) + 2.0 * prev(c, 1) + 5.0 * _col(c)) / 6.0
+
+def linreg3(c: str) -> Column:
+    return F.expr(_linreg3_sql(c))
 
 
 def change(c: str | Column) -> Column:
@@ -164,12 +197,12 @@ def _false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def crossover(a: Column | str, b: Column | str) -> Column:
-    return _false_if_null((_col(a) > _col(b)) & (prev(a) <= prev(b)))
+def crossover(a: str, b: str) -> Column:
+    return F.expr(f"coalesce({a} > {b} AND {prev_sql(a)} <= {prev_sql(b)}, false)")
 
 
-def crossunder(a: Column | str, b: Column | str) -> Column:
-    return _false_if_null((_col(a) < _col(b)) & (prev(a) >= prev(b)))
+def crossunder(a: str, b: str) -> Column:
+    return F.expr(f"coalesce({a} < {b} AND {prev_sql(a)} >= {prev_sql(b)}, false)")
 
 
 def true_range() -> Column:
@@ -193,7 +226,7 @@ def cum_mean_tr(df: DataFrame, out: str = "mean_tr") -> DataFrame:
 
 def choppiness(df: DataFrame, n: int = 21, out: str = "chop") -> DataFrame:
     df = df.withColumn("_tr", true_range())
-    total = _if_full(F.col("_tr"), n, F.sum("_tr").over(trailing(n)))
+    total = F.expr(_full_sql("sum", "_tr", n))
     span = highest("high", n) - lowest("low", n)
     value = F.when((span > 0) & (total > 0), 100 * F.log10(total / span) / F.log10(F.lit(float(n))))
     return df.withColumn(out, value).drop("_tr")
@@ -202,75 +235,115 @@ def choppiness(df: DataFrame, n: int = 21, out: str = "chop") -> DataFrame:
 # --- oscillators --------------------------------------------------------------------
 
 
-def rsi(df: DataFrame, c: str = "close", n: int = K.RSI_LEN, out: str = "rsi") -> DataFrame:
+def rsi_levels(c: str, n: int, out: str, tag: str) -> list[Level]:
     """Wilder: averages of gains and losses; 100 without losses, 0 without gains."""
-    step = change(c)
-    df = df.withColumns({"_up": F.greatest(step, step * 0), "_dn": F.greatest(-step, step * 0)})
-    df = pine_rma(df, {"_rup": ("_up", n), "_rdn": ("_dn", n)})
+    up, dn, rup, rdn = (f"_{x}{tag}" for x in ("up", "dn", "rup", "rdn"))
+    step = f"({c} - {prev_sql(c)})"
+    moves = {up: F.expr(f"greatest({step}, 0 * {step})"), dn: F.expr(f"greatest(-{step}, 0 * {step})")}
     value = (
-        F.when(F.col("_rdn") == 0, 100.0)
-        .when(F.col("_rup") == 0, 0.0)
-        .otherwise(100.0 - 100.0 / (1.0 + F.col("_rup") / F.col("_rdn")))
-    )
-    return df.withColumn(out, F.when(F.col("_rup").isNotNull(), value)).drop(
-        "_up", "_dn", "_rup", "_rdn"
+        f"CASE WHEN {rup} IS NULL THEN NULL WHEN {rdn} = 0 THEN 100D WHEN {rup} = 0 THEN 0D "
+        f"ELSE 100D - 100D / (1D + {rup} / {rdn}) END"
     )
+    return [(moves, {rup: (up, n), rdn: (dn, n)}), ({out: F.expr(value)}, {})]
+
+
+def rsi(df: DataFrame, c: str = "close", n: int = K.RSI_LEN, out: str = "rsi") -> DataFrame:
+    return run_levels(df, rsi_levels(c, n, out, ""))
+
+
+def angle_column(c: str, n: int = K.TREND_RANGE) -> Column:
+    span = f"({_full_sql('max', c, n)} - {_full_sql('min', c, n)})"
+    rise = f"({c} - coalesce({prev_sql(c)}, 0D))"
+    return F.expr(f"CASE WHEN {span} <> 0 THEN {K.RAD_TO_DEG!r}D * atan({rise} / {span}) END")
 
 
 def angle(df: DataFrame, c: str, out: str = "angle", n: int = K.TREND_RANGE) -> DataFrame:
     """Slope of the last step in degrees, scaled by the range of the last ``n`` bars."""
-    span = highest(c, n) - lowest(c, n)
-    rise = _col(c) - F.coalesce(prev(c), F.lit(0.0))
-    return df.withColumn(out, F.when(span != 0, K.RAD_TO_DEG * F.atan(rise / span)))
+    return df.withColumn(out, angle_column(c, n))
 
 
-def osc_trend(df: DataFrame, c: str, out: str = "trend", threshold: float = K.TREND_THRESHOLD) -> DataFrame:
+def trend_levels(
+    c: str, out: str, tag: str, threshold: float = K.TREND_THRESHOLD
+) -> list[Level]:
     n = K.TREND_RANGE
-    df = angle(df, c, "_angle", n).withColumns({"_hi": highest(c, n), "_lo": lowest(c, n)})
-    df = df.withColumn("_slope", linreg3("_angle"))
-    up = _false_if_null(F.col("_slope") >= threshold) | _false_if_null(_col(c) >= F.col("_hi"))
-    down = _false_if_null(F.col("_slope") <= -threshold) | _false_if_null(_col(c) <= F.col("_lo"))
-    return df.withColumn(out, F.when(up, K.UP).when(down, K.DOWN).otherwise(K.FLAT)).drop(
-        "_angle", "_hi", "_lo", "_slope"
+    a, hi, lo = (f"_{x}{tag}" for x in ("angle", "hi", "lo"))
+    slope = _linreg3_sql(a)
+    turn = (
+        f"CASE WHEN coalesce({slope} >= {threshold!r}D, false) OR coalesce({c} >= {hi}, false) THEN {K.UP} "
+        f"WHEN coalesce({slope} <= -{threshold!r}D, false) OR coalesce({c} <= {lo}, false) THEN {K.DOWN} ELSE {K.FLAT} END"
     )
+    ranges = {a: angle_column(c, n), hi: highest(c, n), lo: lowest(c, n)}
+    return [(ranges, {}), ({out: F.expr(turn)}, {})]
+
+
+def osc_trend(df: DataFrame, c: str, out: str = "trend", threshold: float = K.TREND_THRESHOLD) -> DataFrame:
+    return run_levels(df, trend_levels(c, out, "", threshold))
+
+
+def rsi_osc_levels(c: str, fast: str, sig: str) -> list[Level]:
+    raw, once = f"_rsi_{fast}", f"_once_{fast}"
+    first, (cols, _) = rsi_levels(c, K.RSI_LEN, raw, f"_{fast}")
+    return [
+        first,
+        (cols, {once: (raw, K.RSI_MA_LEN)}),
+        ({}, {fast: (once, K.SMOOTH_LEN)}),
+        ({}, {sig: (fast, K.SIGNAL_LEN)}),
+    ]
 
 
 def rsi_osc(df: DataFrame, c: str = "close", fast: str = "rsi_fast", sig: str = "rsi_sig") -> DataFrame:
-    df = rsi(df, c, K.RSI_LEN, "_rsi")
-    df = pine_rma(df, {"_r1": ("_rsi", K.RSI_MA_LEN)})
-    df = pine_rma(df, {fast: ("_r1", K.SMOOTH_LEN)})
-    return pine_rma(df, {sig: (fast, K.SIGNAL_LEN)}).drop("_rsi", "_r1")
+    return run_levels(df, rsi_osc_levels(c, fast, sig))
 
 
-def _scaled(df: DataFrame, raw: str, fast: str, sig: str) -> DataFrame:
+def _scaled(raw: str, value: Column, fast: str, sig: str) -> list[Level]:
     """Smooth, express in percent of three deviations, add the signal line."""
-    df = pine_rma(df.withColumn("_sd", rolling_std(raw, K.STDEV_LEN)), {"_sm": (raw, K.SMOOTH_LEN)})
-    df = df.withColumn(fast, F.when(F.col("_sd") != 0, 100.0 * F.col("_sm") / (3.0 * F.col("_sd"))))
-    return pine_rma(df, {sig: (fast, K.SIGNAL_LEN)}).drop("_sd", "_sm")
+    smooth, sd = f"_smooth_{fast}", _full_sql("stddev_pop", raw, K.STDEV_LEN)
+    percent = F.expr(f"CASE WHEN {sd} <> 0 THEN 100D * {smooth} / (3D * ({sd})) END")
+    return [
+        ({raw: value}, {smooth: (raw, K.SMOOTH_LEN)}),
+        ({fast: percent}, {sig: (fast, K.SIGNAL_LEN)}),
+    ]
+
+
+def roc_osc_levels(c: str, fast: str, sig: str) -> list[Level]:
+    f, s = f"_f_{fast}", f"_s_{fast}"
+    raw = F.expr(f"CASE WHEN {s} <> 0 THEN 100D * ({f} - {s}) / {s} END")
+    return [({}, {f: (c, K.FAST_LEN), s: (c, K.SLOW_LEN)})] + _scaled(f"_raw_{fast}", raw, fast, sig)
 
 
 def roc_osc(df: DataFrame, c: str = "close", fast: str = "roc_fast", sig: str = "roc_sig") -> DataFrame:
-    df = pine_rma(df, {"_f": (c, K.FAST_LEN), "_s": (c, K.SLOW_LEN)})
-    raw = F.when(F.col("_s") != 0, 100.0 * (F.col("_f") - F.col("_s")) / F.col("_s"))
-    return _scaled(df.withColumn("_raw", raw), "_raw", fast, sig).drop("_f", "_s", "_raw")
+    return run_levels(df, roc_osc_levels(c, fast, sig))
+
+
+def _kst_parts(c: str, tag: str) -> tuple[Level, Column]:
+    """Smoothed rates of change and their weighted sum 1..4."""
+    rocs = {f"_roc{i}_{tag}": roc(c, n) for i, n in enumerate(K.KST_ROC, 1)}
+    jobs = {f"_kst{i}_{tag}": (f"_roc{i}_{tag}", n) for i, n in enumerate(K.KST_MA, 1)}
+    total = " + ".join(f"{i} * _kst{i}_{tag}" for i in range(1, 5))
+    return (rocs, jobs), F.expr(total)
 
 
 def kst_raw(df: DataFrame, c: str = "close", out: str = "kst_raw") -> DataFrame:
-    """Weighted sum 1..4 of smoothed rates of change."""
-    names = [f"_roc{i}" for i in range(1, 5)]
-    df = df.withColumns({o: roc(c, n) for o, n in zip(names, K.KST_ROC)})
-    smooth = {f"_k{i}": (f"_roc{i}", K.KST_MA[i - 1]) for i in range(1, 5)}
-    df = pine_rma(df, smooth)
-    total = reduce(lambda a, b: a + b, [F.col(f"_k{i}") * i for i in range(1, 5)])
-    return df.withColumn(out, total).drop(*names, *smooth)
+    level, total = _kst_parts(c, "raw")
+    return run_levels(df, [level, ({out: total}, {})])
+
+
+def kst_levels(c: str, fast: str, sig: str) -> list[Level]:
+    level, total = _kst_parts(c, fast)
+    return [level] + _scaled(f"_raw_{fast}", total, fast, sig)
 
 
 def kst(df: DataFrame, c: str = "close", fast: str = "kst_fast", sig: str = "kst_sig") -> DataFrame:
-    return _scaled(kst_raw(df, c, "_kraw"), "_kraw", fast, sig).drop("_kraw")
+    return run_levels(df, kst_levels(c, fast, sig))
 
 
 def vol_rsi(df: DataFrame, n: int = K.RSI_LEN, smooth: int = 21, out: str = "vol_rsi") -> DataFrame:
-    return pine_rma(rsi(df, "volume", n, "_vrsi"), {out: ("_vrsi", smooth)}).drop("_vrsi")
+    first, (cols, _) = rsi_levels("volume", n, "_vrsi", "_v")
+    return run_levels(df, [first, (cols, {out: ("_vrsi", smooth)})])
+
+
+def ma_bundle_levels(c: str = "close", lengths=K.MA_BUNDLE) -> list[Level]:
+    return [({}, {f"ma{i}": (c, n) for i, n in enumerate(lengths, 1)})]
 
 
 def lineup_status(a: Column, b: Column, c: Column, d: Column) -> Column:

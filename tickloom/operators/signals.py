@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import constants as K
 from tickloom.functions import scalar as X
-from tickloom.functions.recurrence import growing, latched
+from tickloom.functions.recurrence import growing, latch_steps, latched
 from tickloom.operators import indicators as I
 
 
@@ -24,78 +24,97 @@ def _was(c: str) -> Column:
     return F.coalesce(F.lag(c).over(I.series()), F.lit(False))
 
 
-def _machine(
-    df: DataFrame, long_ok: Column, short_ok: Column, stop: Column, buy: Column, sell: Column, out: str
-) -> DataFrame:
-    """Codes of an oscillator position from its entry, stop and side conditions."""
-    df = df.withColumns(
-        {"_el": long_ok, "_es": short_ok, "_st": stop, "_buy": buy, "_sell": sell}
-    ).withColumn("_en", F.col("_el") | F.col("_es"))
-    df = latched(df, "symbol", "bar", "_en", "_st", "_on")
-    df = df.withColumns(
-        {
-            "_was": _was("_on"),
-            "_long": F.col("_buy") & F.col("_on"),
-            "_short": F.col("_sell") & F.col("_on"),
-        }
-    )
-    df = df.withColumns({"_wl": _was("_long"), "_ws": _was("_short")})
+def _machine_levels(
+    long_ok: str, short_ok: str, stop: str, buy: str, sell: str, out: str
+) -> list[I.Level]:
+    """Codes of an oscillator position from its entry, stop and side conditions (SQL text)."""
+    el, es, st, b, s, on = (f"_{x}_{out}" for x in ("el", "es", "st", "buy", "sell", "on"))
+    first, second = latch_steps(F.expr(f"{el} OR {es}"), F.col(st), I.so_far(), on, f"_{out}")
+
+    def was(condition: str) -> str:
+        return f"coalesce(lag({condition}) OVER ({I.BARS}), false)"
+
     code = (
-        F.when(F.col("_st") & F.col("_wl"), K.EXIT_LONG)
-        .when(F.col("_st") & F.col("_ws"), K.EXIT_SHORT)
-        .when(F.col("_el") & ~F.col("_was"), K.ENTER_LONG)
-        .when(F.col("_es") & ~F.col("_was"), K.ENTER_SHORT)
-        .when(F.col("_long"), K.LONG)
-        .when(F.col("_short"), K.SHORT)
-        .otherwise(K.NEUTRAL)
-    )
-    return df.withColumn(out, code).drop(
-        "_el", "_es", "_st", "_buy", "_sell", "_en", "_on", "_was", "_long", "_short", "_wl", "_ws"
+        f"CASE WHEN {st} AND {was(f'{b} AND {on}')} THEN {K.EXIT_LONG} "
+        f"WHEN {st} AND {was(f'{s} AND {on}')} THEN {K.EXIT_SHORT} "
+        f"WHEN {el} AND NOT {was(on)} THEN {K.ENTER_LONG} WHEN {es} AND NOT {was(on)} THEN {K.ENTER_SHORT} "
+        f"WHEN {b} AND {on} THEN {K.LONG} WHEN {s} AND {on} THEN {K.SHORT} ELSE {K.NEUTRAL} END"
     )
+    inputs = {n: F.expr(text) for n, text in ((el, long_ok), (es, short_ok), (st, stop), (b, buy), (s, sell))}
+    return [(inputs, {}), (first, {}), (second, {}), ({out: F.expr(code)}, {})]
 
 
-def osc_signal(
-    df: DataFrame,
+def osc_levels(
     fast: str,
     sig: str,
+    out: str,
     center: float = 0.0,
     short_ok: bool = True,
     use_center: bool = True,
-    out: str = "code",
-) -> DataFrame:
-    df = I.osc_trend(df, fast, "_trend")
-    df = df.withColumn("_cross", I.crossover(fast, sig) | I.crossunder(fast, sig))
-    above = _t(F.col(fast) >= F.col(sig))
-    buy = above & (_t(F.col(fast) >= center) if use_center else F.lit(True))
-    sell = ~above & (_t(F.col(fast) < center) if use_center else F.lit(True))
-    df = _machine(
-        df,
-        buy & (F.col("_trend") == K.UP),
-        sell & (F.col("_trend") == K.DOWN) & F.lit(short_ok),
-        ~(buy | sell) | F.col("_cross"),
+) -> list[I.Level]:
+    """Oscillator codes on top of a fast and a signal line."""
+    trend, cross = f"_trend_{out}", f"_cross_{out}"
+    (ranges, _), (turn, _) = I.trend_levels(fast, trend, f"_{out}")
+    ranges = {**ranges, cross: I.crossover(fast, sig) | I.crossunder(fast, sig)}
+    above = f"coalesce({fast} >= {sig}, false)"
+    buy = f"({above} AND {f'coalesce({fast} >= {center}, false)' if use_center else 'true'})"
+    sell = f"(NOT {above} AND {f'coalesce({fast} < {center}, false)' if use_center else 'true'})"
+    machine = _machine_levels(
+        f"{buy} AND {trend} = {K.UP}",
+        f"{sell} AND {trend} = {K.DOWN} AND {str(short_ok).lower()}",
+        f"NOT ({buy} OR {sell}) OR {cross}",
         buy,
         sell,
         out,
     )
-    return df.drop("_trend", "_cross")
+    return [(ranges, {}), (turn, {})] + machine
+
+
+def osc_signal(df: DataFrame, fast: str, sig: str, center: float = 0.0, short_ok: bool = True,
+               use_center: bool = True, out: str = "code") -> DataFrame:
+    return I.run_levels(df, osc_levels(fast, sig, out, center, short_ok, use_center))
+
+
+def rsi_signal_levels(c: str = "close", out: str = "rsi_code") -> list[I.Level]:
+    return I.rsi_osc_levels(c, "rsi_fast", "rsi_sig") + osc_levels("rsi_fast", "rsi_sig", out, K.RSI_CENTER)
+
+
+def kst_signal_levels(c: str = "close", short_ok: bool = True, out: str = "kst_code", tag: str = "kst") -> list[I.Level]:
+    fast, sig = f"{tag}_fast", f"{tag}_sig"
+    return I.kst_levels(c, fast, sig) + osc_levels(fast, sig, out, short_ok=short_ok)
+
+
+def roc_signal_levels(c: str = "close", short_ok: bool = True, out: str = "roc_code", tag: str = "roc") -> list[I.Level]:
+    fast, sig = f"{tag}_fast", f"{tag}_sig"
+    return I.roc_osc_levels(c, fast, sig) + osc_levels(fast, sig, out, short_ok=short_ok)
+
+
+def ma_trend_levels(c: str = "close") -> list[I.Level]:
+    one, two = I.trend_levels("ma1", "ma1_trend", "_m1"), I.trend_levels("ma2", "ma2_trend", "_m2")
+    return I.ma_bundle_levels(c) + [({**a, **b}, {}) for (a, _), (b, _) in zip(one, two)]
 
 
 def rsi_signal(df: DataFrame, c: str = "close", out: str = "rsi_code") -> DataFrame:
-    return osc_signal(I.rsi_osc(df, c), "rsi_fast", "rsi_sig", K.RSI_CENTER, out=out)
+    return I.run_levels(df, rsi_signal_levels(c, out))
 
 
-def kst_signal(
-    df: DataFrame, c: str = "close", short_ok: bool = True, out: str = "kst_code", tag: str = "kst"
-) -> DataFrame:
-    df = I.kst(df, c, f"{tag}_fast", f"{tag}_sig")
-    return osc_signal(df, f"{tag}_fast", f"{tag}_sig", short_ok=short_ok, out=out)
+def kst_signal(df: DataFrame, c: str = "close", short_ok: bool = True, out: str = "kst_code", tag: str = "kst") -> DataFrame:
+    return I.run_levels(df, kst_signal_levels(c, short_ok, out, tag))
 
 
-def roc_signal(
-    df: DataFrame, c: str = "close", short_ok: bool = True, out: str = "roc_code", tag: str = "roc"
-) -> DataFrame:
-    df = I.roc_osc(df, c, f"{tag}_fast", f"{tag}_sig")
-    return osc_signal(df, f"{tag}_fast", f"{tag}_sig", short_ok=short_ok, out=out)
+def roc_signal(df: DataFrame, c: str = "close", short_ok: bool = True, out: str = "roc_code", tag: str = "roc") -> DataFrame:
+    return I.run_levels(df, roc_signal_levels(c, short_ok, out, tag))
+
+
+def signal_inputs(df: DataFrame) -> DataFrame:
+    """All inputs of the final signal at once: oscillator codes, averages and their trends."""
+    return I.run_levels(
+        df,
+        ma_trend_levels(),
+        rsi_signal_levels(),
+        kst_signal_levels(),
+        kst_signal_levels("volume", False, "vol_kst_code", "vol_kst"),
+    )
 
 
 def rsi_band_signal(
@@ -108,26 +127,28 @@ def rsi_band_signal(
     out: str = "code",
 ) -> DataFrame:
     """Entry when the center was crossed on this or the last bar, exits at the bands."""
-    x = F.col(c)
-    one, two = I.prev(c, 1), I.prev(c, 2)
+    one, two = I.prev_sql(c), I.prev_sql(c, 2)
+
+    def crossed(now: str, then: str, op: str, level: float) -> str:
+        back = "<=" if op == ">" else ">="
+        return f"coalesce({now} {op} {level} AND {then} {back} {level}, false)"
+
     marks = {
-        "_x_up": _t((x > center) & (one <= center)) | _t((one > center) & (two <= center)),
-        "_x_dn": _t((x < center) & (one >= center)) | _t((one < center) & (two >= center)),
-        "_x_exit": _t((x < high) & (one >= high)) | _t((x > low) & (one <= low)),
-        "_x_turn": _t((x >= center) & (one < center)) | _t((x < center) & (one >= center)),
+        "_x_up": f"{crossed(c, one, '>', center)} OR {crossed(one, two, '>', center)}",
+        "_x_dn": f"{crossed(c, one, '<', center)} OR {crossed(one, two, '<', center)}",
+        "_x_exit": f"{crossed(c, one, '<', high)} OR {crossed(c, one, '>', low)}",
+        "_x_turn": f"coalesce({c} >= {center} AND {one} < {center}, false) OR coalesce({c} < {center} AND {one} >= {center}, false)",
     }
-    df = df.withColumns(marks)
-    buy, sell = _t(x >= center), _t(x < center)
-    df = _machine(
-        df,
-        F.col("_x_up") & buy,
-        F.col("_x_dn") & sell & F.lit(short_ok),
-        ~(buy | sell) | F.col("_x_turn") | F.col("_x_exit"),
+    buy, sell = f"coalesce({c} >= {center}, false)", f"coalesce({c} < {center}, false)"
+    machine = _machine_levels(
+        f"_x_up AND {buy}",
+        f"_x_dn AND {sell} AND {str(short_ok).lower()}",
+        f"NOT ({buy} OR {sell}) OR _x_turn OR _x_exit",
         buy,
         sell,
         out,
     )
-    return df.drop(*marks)
+    return I.run_levels(df, [({k: F.expr(v) for k, v in marks.items()}, {})] + machine)
 
 
 def consensus(a: Column, b: Column) -> Column:
@@ -169,8 +190,7 @@ def ma_side_filter(
 
 
 def with_ma_trends(df: DataFrame, c: str = "close") -> DataFrame:
-    df = I.ma_bundle(df, c)
-    return I.osc_trend(I.osc_trend(df, "ma1", "ma1_trend"), "ma2", "ma2_trend")
+    return I.run_levels(df, ma_trend_levels(c))
 
 
 def final_signal(
@@ -432,8 +452,11 @@ def vol_osc_scan(df: DataFrame, filter_volume: bool = False, sort: str = "time",
     """Last price and volume oscillator of symbols with a price signal."""
     from tickloom.operators.bars import last_signal_time
 
-    df = roc_signal(df, "volume", short_ok=False, out="vosc_code", tag="vosc")
-    df = roc_signal(df, "close", out="posc_code", tag="posc")
+    df = I.run_levels(
+        df,
+        roc_signal_levels("volume", False, "vosc_code", "vosc"),
+        roc_signal_levels("close", True, "posc_code", "posc"),
+    )
     rows = latest_bars(last_signal_time(df, "posc_code", ts)).filter(F.col("posc_code") != K.NEUTRAL)
     active = F.col("vosc_code") != K.NEUTRAL
     if filter_volume:
@@ -472,9 +495,12 @@ def gate_alerts(
 
 def trend_panel(df: DataFrame) -> DataFrame:
     """Latest oscillator values with their states; volume only while it is active."""
-    df = rsi_signal(df)
-    df = kst_signal(df, "close")
-    df = kst_signal(df, "volume", False, "vol_kst_code", "vol_kst")
+    df = I.run_levels(
+        df,
+        rsi_signal_levels(),
+        kst_signal_levels(),
+        kst_signal_levels("volume", False, "vol_kst_code", "vol_kst"),
+    )
     active = F.col("vol_kst_code").isin(K.ENTER_LONG, K.LONG)
     return latest_bars(df).select(
         "symbol",

@@ -73,7 +73,7 @@ def signal_text(spark, d):
     ),
 )
 def consensus(spark, d):
-    h = G.kst_signal(G.rsi_signal(A.hourly(spark, d)))
+    h = I.run_levels(A.hourly(spark, d), G.rsi_signal_levels(), G.kst_signal_levels())
     return h.select("symbol", "bar", G.consensus(F.col("rsi_code"), F.col("kst_code")).alias("code"))
 
 
@@ -94,9 +94,7 @@ def ma_filter(spark, d):
 
 def _inputs(spark, d):
     """Hourly bars with all oscillator codes and MA trends."""
-    h = G.with_ma_trends(A.hourly(spark, d))
-    h = G.kst_signal(G.rsi_signal(h))
-    return G.kst_signal(h, "volume", False, "vol_kst_code", "vol_kst")
+    return G.signal_inputs(A.hourly(spark, d))
 
 
 def _final_chain(**kw):
@@ -259,7 +257,8 @@ def _scan_sql(select: str) -> str:
 
 
 def _scan(spark, d):
-    return G.scan_signals(G.rsi_signal(G.with_ma_trends(A.hourly(spark, d)), out="code"))
+    h = I.run_levels(A.hourly(spark, d), I.ma_bundle_levels(), G.rsi_signal_levels(out="code"))
+    return G.scan_signals(h)
 
 
 @query("scan_signals", _scan_sql("* FROM scan"), r="entry ltp profit max_profit")

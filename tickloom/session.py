@@ -30,6 +30,8 @@ def build_session(app: str = "tickloom", cores: str = "*", **conf: str) -> Spark
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
         .config("spark.ui.enabled", "false")
+        # Call-site capture costs more than building the plans of the long chains.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
