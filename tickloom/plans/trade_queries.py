@@ -730,3 +730,14 @@ def signal_summary(spark, d):
     return summarise(
         o.select(F.when(F.col("o_orderkey") % 2 == 0, "BUY").otherwise("SELL").alias("signal"), F.col("o_custkey").cast("string").alias("symbol"))
     )
+
+
+@query(
+    "sort_by",
+    "SELECT c_name AS symbol, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS key FROM customer",
+    r="key",
+)
+def sort_by(spark, d):
+    c = A.table(spark, d, "customer")
+    rows = c.select(F.col("c_name").alias("symbol"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("key"))
+    return X.sort_by(rows, "key", "asc")

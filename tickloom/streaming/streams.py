@@ -87,19 +87,21 @@ def bar_table_writer(store: str, tf_minutes: int = 3):
         def latest(c: str):
             return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("snap_ts"))).alias(c)
 
-        known = stored.groupBy("symbol", "day", "slot").agg(
-            latest("vol_cum"), latest("price"), F.max("snap_ts").alias("snap_ts")
-        )
-        calendar = B.snapshot_calendar(stored.select("snap_ts"), tf_minutes)
-        universe = B.symbol_universe(known, calendar)
-        before = stored.filter(F.col("batch") < batch_id)
-        old = B.symbol_universe(before, B.snapshot_calendar(before.select("snap_ts"), tf_minutes))
+        seen = stored.select("symbol", "snap_ts", "batch")
+        calendar = B.snapshot_calendar(seen, tf_minutes)
+        universe = B.symbol_universe(seen, calendar)
+        before = seen.filter(F.col("batch") < batch_id)
+        old = B.symbol_universe(before, B.snapshot_calendar(before, tf_minutes))
         grew = not universe.join(old, "symbol", "left_anti").limit(1).isEmpty()
-        days = stored if grew else mine
-        grid = B.dense_grid(universe, calendar, per_day).join(
-            days.select("day").distinct(), "day", "left_semi"
+        days = (stored if grew else mine).select("day").distinct()
+        # The day is a partition of the store: only the rebuilt days' values are read.
+        known = (
+            stored.join(days, "day", "left_semi")
+            .groupBy("symbol", "day", "slot")
+            .agg(latest("vol_cum"), latest("price"))
         )
-        rows = grid.join(known.drop("snap_ts"), ["symbol", "day", "slot"], "left")
+        grid = B.dense_grid(universe, calendar, per_day).join(days, "day", "left_semi")
+        rows = grid.join(known, ["symbol", "day", "slot"], "left")
         sinks.write_bars(B.volume_delta(B.fill_gaps(rows)), table, str(tf_minutes))
 
     return write
