@@ -31,7 +31,7 @@ def fold(xs, alpha):
     return out
 
 
-def pine(xs, n):
+def restarting(xs, n):
     """Restart with the mean of n values after every missing value."""
     out, run, last = [], [], None
     for x in xs:
@@ -67,9 +67,9 @@ def test_blocks_equal_one_pass(spark):
 def test_average_restarts_after_gaps(spark):
     rng = random.Random(9)
     xs = [None if rng.random() < 0.12 else rng.uniform(0, 9) for _ in range(400)]
-    df = I.pine_rma(series(spark, xs), {"y": ("x", 4), "z": ("x", 9)})
+    df = I.seeded_rma(series(spark, xs), {"y": ("x", 4), "z": ("x", 9)})
     for col, n in (("y", 4), ("z", 9)):
-        got, want = values(df, col), pine(xs, n)
+        got, want = values(df, col), restarting(xs, n)
         assert [v is None for v in got] == [v is None for v in want]
         assert [v for v in got if v is not None] == pytest.approx([v for v in want if v is not None], rel=1e-9)
 
@@ -78,7 +78,7 @@ def test_short_series_and_zero_warm_up(spark):
     df = series(spark, PRICES)
     assert values(df.withColumn("y", I.sma("x", 8))) == [0.0] * 7
     assert values(df.withColumn("y", I.sma("x", 7)))[-1] == pytest.approx(sum(PRICES) / 7)
-    assert values(I.pine_rma(df, {"y": ("x", 8)})) == [None] * 7
+    assert values(I.seeded_rma(df, {"y": ("x", 8)})) == [None] * 7
     assert values(df.withColumn("y", I.linreg3("x")))[2] == pytest.approx((-150 + 2 * 152.5 + 5 * 151) / 6)
 
 

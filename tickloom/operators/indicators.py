@@ -101,7 +101,7 @@ def indicator_series(
 # --- averages seeded by a simple average ----------------------------------------
 
 
-def pine_rma(df: DataFrame, jobs: dict[str, tuple[str, int]]) -> DataFrame:
+def seeded_rma(df: DataFrame, jobs: dict[str, tuple[str, int]]) -> DataFrame:
     """Add ``out: (source, n)`` averages that start with the mean of ``n`` values.
 
     A NULL input ends a series; the next ``n`` values seed it afresh. One unbroken
@@ -153,7 +153,7 @@ def run_levels(df: DataFrame, *chains: list[Level]) -> DataFrame:
         cols = {k: v for c, _ in level for k, v in c.items()}
         jobs = {k: v for _, j in level for k, v in j.items()}
         df = df.withColumns(cols) if cols else df
-        df = pine_rma(df, jobs) if jobs else df
+        df = seeded_rma(df, jobs) if jobs else df
     return df.drop(*[c for c in df.columns if c.startswith("_") and c not in mine])
 
 
@@ -214,7 +214,7 @@ def true_range() -> Column:
 
 
 def atr(df: DataFrame, n: int, out: str = "atr") -> DataFrame:
-    return pine_rma(df.withColumn("_tr", true_range()), {out: ("_tr", n)}).drop("_tr")
+    return seeded_rma(df.withColumn("_tr", true_range()), {out: ("_tr", n)}).drop("_tr")
 
 
 def cum_mean_tr(df: DataFrame, out: str = "mean_tr") -> DataFrame:

@@ -93,7 +93,7 @@ def _chain(name, build, cols, transform):
     )
 
 
-_chain("pine_rma", lambda c: c.rma({"ma": ("close", 8)}), ["ma"], lambda h: I.pine_rma(h, {"ma": ("close", 8)}))
+_chain("seeded_rma", lambda c: c.rma({"ma": ("close", 8)}), ["ma"], lambda h: I.seeded_rma(h, {"ma": ("close", 8)}))
 _chain(
     "ma_bundle",
     lambda c: c.rma({f"ma{i}": ("close", n) for i, n in enumerate((8, 21, 55, 233), 1)}),
@@ -172,5 +172,5 @@ _chain(
     ),
 )
 def crossings(spark, d):
-    h = I.pine_rma(_hourly(spark, d), {"f": ("close", 8), "s": ("close", 21)})
+    h = I.seeded_rma(_hourly(spark, d), {"f": ("close", 8), "s": ("close", 21)})
     return h.select("symbol", "bar", I.crossover("f", "s").alias("up"), I.crossunder("f", "s").alias("down"))
