@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as I
+from tickloom.session import materialise
 
 SWING, INTERNAL, EQUAL = 50, 5, 5
 
@@ -187,8 +188,11 @@ def order_blocks(
     The span starts ``n`` bars before the pivot was confirmed; those bars are covered by
     one fixed frame on the confirming bar, the rest by a running extreme per pivot.
     """
-    p, n = ("i", internal) if kind == "internal" else ("s", swing)
-    df = structure_columns(parsed_range(df, measure), swing, internal)
+    cols = structure_columns(parsed_range(df, measure), swing, internal)
+    return _blocks(cols, "i", internal) if kind == "internal" else _blocks(cols, "s", swing)
+
+
+def _blocks(df: DataFrame, p: str, n: int) -> DataFrame:
     low_first = F.struct(F.col("p_low").alias("a"), F.col("bar").alias("b"), F.col("p_high").alias("c"))
     high_first = F.struct(F.col("p_high").alias("a"), (-F.col("bar")).alias("b"), F.col("p_low").alias("c"))
     head = I.series().rowsBetween(-n, -1)
@@ -403,12 +407,13 @@ FLAGS = [
 def structure_flags(df: DataFrame, swing: int = SWING, internal: int = INTERNAL) -> DataFrame:
     """The sixteen alert flags, on bars where any is set. ``df`` should be stored bars."""
     side = F.when(F.col("bias") == 1, "bullish").otherwise("bearish")
+    # Breaks and blocks of both kinds read the same columns: computed once, stored.
+    cols = materialise(structure_columns(parsed_range(df), swing, internal), "structure")
     events = []
-    for kind in ("internal", "swing"):
-        sizes = {"swing": swing, "internal": internal}
-        br = structure_breaks(df, kind, **sizes)
+    for kind, p, n in (("internal", "i", internal), ("swing", "s", swing)):
+        br = cols.select("symbol", "bar", F.inline(_breaks(p)))
         events.append(br.select("symbol", "bar", F.concat_ws("_", F.lit(kind), side, F.lower("tag")).alias("flag")))
-        hit = mitigation_bars(order_blocks(df, kind, **sizes), df)
+        hit = mitigation_bars(_blocks(cols, p, n), df)
         events.append(
             hit.select("symbol", F.col("mitigated_bar").alias("bar"), F.concat_ws("_", F.lit(kind), side, F.lit("block")).alias("flag"))
         )
