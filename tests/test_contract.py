@@ -11,6 +11,5 @@ def test_entry_runs(spark):
 
 def test_registry():
     q, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(q)
-    assert set(q) - set(sql) == {"confirm_signal_3", "structure_breaks_confluence", "trailing_extreme_bars"}
+    assert set(q) == set(sql)
     assert all("llm" not in n for n in q) and len(q) == len(catalog.QUERIES)

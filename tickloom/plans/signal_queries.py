@@ -160,10 +160,22 @@ def _confirm_sql(level: int) -> str:
     body = CONFIRM.replace("TOP", c.top)
     if level == 1:
         body = body.replace("coalesce(close > lf, false) AS el", "t1 AS el").replace("coalesce(close < sf, false) AS es", "t2 AS es")
+    if level == 3:
+        hit = "SELECT *, NOT pa AND coalesce(close > lf, false) AS el, NOT pa AND coalesce(close < sf, false) AS es FROM ("
+        body = body.replace(
+            hit,
+            hit.replace("lf", "lg").replace("sf", "sg")
+            + """ SELECT *, CASE WHEN code = 5 THEN NULL WHEN NOT pa AND coalesce(close > lf, false) AND plg IS NULL THEN high ELSE plg END AS lg,
+            CASE WHEN code = 6 THEN NULL WHEN NOT pa AND coalesce(close < sf, false) AND psg IS NULL THEN low ELSE psg END AS sg FROM (""",
+        )
+        body = body.replace("CAST(NULL AS DOUBLE) AS sf,", "CAST(NULL AS DOUBLE) AS sf, CAST(NULL AS DOUBLE) AS lg, CAST(NULL AS DOUBLE) AS sg,")
+        body = body.replace("SELECT symbol, bar, l0, s0, lf, sf,", "SELECT symbol, bar, l0, s0, lf, sf, lg, sg,")
+        body = body.replace("p.sf AS psf,", "p.sf AS psf, p.lg AS plg, p.sg AS psg,")
+        body = body.replace("f.bar = p.bar + 1))", "f.bar = p.bar + 1)))")
     return "WITH RECURSIVE " + ",\n".join(p.strip() for p in c.parts) + body + " SELECT symbol, bar, cc AS code FROM m"
 
 
-for _level in (1, 2):
+for _level in (1, 2, 3):
     query(f"confirm_signal_{_level}", _confirm_sql(_level))(
         lambda spark, d, n=_level: G.confirm_signal(_finals(spark, d), n).select(
             "symbol", "bar", F.col("confirmed").alias("code")
@@ -171,11 +183,6 @@ for _level in (1, 2):
     )
 
 
-@query("confirm_signal_3")
-def confirm_signal_3(spark, d):
-    return G.confirm_signal(_finals(spark, d), 3).select("symbol", "bar", F.col("confirmed").alias("code"))
-
-
 # --- trades -------------------------------------------------------------------------
 
 # Trades of the RSI machine: one trade per entry, up to its exit.

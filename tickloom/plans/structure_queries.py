@@ -33,7 +33,7 @@ def _pivots(c: Chain, n: int, p: str) -> Chain:
     )
 
 
-def _struct_chain() -> Chain:
+def _struct_chain(confluence: bool = False) -> Chain:
     c = Chain().step(TR_STEP).rma({"atr": ("tr", 200)})
     c.step(
         "CASE WHEN coalesce(high - low >= 2 * atr, false) THEN low ELSE high END AS p_high, "
@@ -43,6 +43,9 @@ def _struct_chain() -> Chain:
     for p in "si":
         extra_h = "true" if p == "s" else "coalesce(i_h <> s_h, false)"
         extra_l = "true" if p == "s" else "coalesce(i_lo <> s_lo, false)"
+        if p == "i" and confluence:
+            extra_h += " AND high - greatest(close, open) > least(close, open - low)"
+            extra_l += " AND high - greatest(close, open) < least(close, open - low)"
         c.step(
             f"coalesce(close > {p}_h AND lag(close) OVER w <= lag({p}_h) OVER w, false) AND {extra_h} AS {p}_cu, "
             f"coalesce(close < {p}_lo AND lag(close) OVER w >= lag({p}_lo) OVER w, false) AND {extra_l} AS {p}_cd"
@@ -123,7 +126,7 @@ for _p, _kind in (("s", "swing"), ("i", "internal")):
     )
 
 
-@query("structure_breaks_confluence")
+@query("structure_breaks_confluence", _struct_chain(True).sql("symbol, bar, bias, tag, level FROM br_i"))
 def structure_breaks_confluence(spark, d):
     return M.structure_breaks(_h(spark, d), "internal", use_confluence=True, **SIZES)
 
@@ -213,9 +216,21 @@ def trailing_extremes(spark, d):
     return M.trailing_extremes(_h(spark, d), **SIZES).drop("top_bar", "bottom_bar")
 
 
-@query("trailing_extreme_bars")
+EXTREME_BARS = """, xb AS MATERIALIZED (SELECT e.symbol, e.bar, e.ch, e.cl, x.top, l.bottom, CASE WHEN x.top = e.high THEN e.bar END AS th, CASE WHEN l.bottom = e.low THEN e.bar END AS tl
+  FROM e1 e JOIN ext x USING (symbol, bar) JOIN exl l USING (symbol, bar))
+SELECT a.symbol, a.bar, coalesce(CASE WHEN a.top IS NOT NULL THEN coalesce(max(b.th) FILTER (b.bar > coalesce(a.ch, 0)), a.ch - 20) END, -1) AS top_bar,
+  coalesce(CASE WHEN a.bottom IS NOT NULL THEN coalesce(max(b.tl) FILTER (b.bar > coalesce(a.cl, 0)), a.cl - 20) END, -1) AS bottom_bar
+FROM xb a JOIN xb b ON a.symbol = b.symbol AND b.bar <= a.bar GROUP BY a.symbol, a.bar, a.top, a.bottom, a.ch, a.cl"""
+
+
+@query("trailing_extreme_bars", _ext_sql("1").removesuffix(" SELECT 1") + EXTREME_BARS)
 def trailing_extreme_bars(spark, d):
-    return M.trailing_extremes(_h(spark, d), **SIZES).select("symbol", "bar", "top_bar", "bottom_bar")
+    return M.trailing_extremes(_h(spark, d), **SIZES).select(
+        "symbol",
+        "bar",
+        F.coalesce("top_bar", F.lit(-1)).alias("top_bar"),
+        F.coalesce("bottom_bar", F.lit(-1)).alias("bottom_bar"),
+    )
 
 
 @query(
