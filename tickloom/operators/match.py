@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import constants as K
 from tickloom.functions import scalar as X
+from tickloom.session import materialise
 
 
 def _trigrams(word: Column) -> Column:
@@ -204,8 +205,10 @@ def search_instruments(
     share; contracts enter only after the attribute filters.
     """
     entries, vocab = build_search_index(instruments)
-    parsed = parse_queries(queries.select("query").distinct(), aliases)
     entries = entries.withColumn("doc", F.xxhash64("symbol", F.array_join("tokens", " ")))
+    # Several branches read each of these: tokenise and parse once.
+    entries, vocab = materialise(entries, "entries"), materialise(vocab, "vocab")
+    parsed = materialise(parse_queries(queries.select("query").distinct(), aliases), "queries")
     docs = entries.groupBy("doc").agg(F.first("symbol").alias("symbol"), F.first("tokens").alias("tokens"))
 
     asked = parsed.select("query", F.posexplode("name_tokens").alias("pos", "token"))
