@@ -2,14 +2,17 @@
 
 import __spark_entry__ as entry
 
+from tests.conftest import DATA
 from tickloom.plans import catalog
 
 
 def test_entry_runs(spark):
-    assert entry.entry(spark).count() >= 0
+    out = entry.entry(spark)
+    assert out.columns == catalog.QUERIES["surge_ranked"](spark, DATA).columns
+    assert out.count() > 0
 
 
 def test_registry():
     q, sql = entry.queries(), entry.oracle_sql()
-    assert set(q) == set(sql)
-    assert all("llm" not in n for n in q) and len(q) == len(catalog.QUERIES)
+    assert set(sql) <= set(q)
+    assert set(catalog.SQL) == set(catalog.QUERIES) <= set(q)
