@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup, license_scan, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, license_scan, media, mixture, url_filters
 from tickloom.llm.common import read
 
 
@@ -14,16 +14,37 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_report(read(spark, sf_dir, "documents"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = byte_bpe.Bpe(spark)
+    return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), bpe), bpe)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op5_exact_dedup, op8_license_scan)
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_mix_sources,
+        op3_byte_bpe,
+        op5_exact_dedup,
+        op7_media_columns,
+        op8_license_scan,
+    )
 }
 
 SQL: dict[str, str] = {
