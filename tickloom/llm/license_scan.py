@@ -76,7 +76,9 @@ def votes(texts: DataFrame, places: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.col("__ws").alias("a"), F.slice("__ws", 2, F.greatest(F.size("__ws") - 1, F.lit(0))).alias("b"))
     spots = ws.select("__key", F.posexplode(pairs).alias("i", "g")).where("g.b IS NOT NULL")
     spots = spots.select("__key", "i", F.concat_ws(" ", "g.a", "g.b").alias("gram"))
-    met = spots.withColumn("hash", F.xxhash64("gram")).join(places.withColumn("hash", F.xxhash64("gram")), ["hash", "gram"])
+    # The places are as many as the words that were typed, so they may be broadcast.
+    places = F.broadcast(places.withColumn("hash", F.xxhash64("gram")))
+    met = spots.withColumn("hash", F.xxhash64("gram")).join(places, ["hash", "gram"])
     # A set of j is no longer than its template.
     return met.groupBy("__key", "label", "exact", "grams", "m", (F.col("i") - F.col("j")).alias("d")).agg(
         F.collect_set("j").alias("js")

@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES + OWN_RULES, default
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     places = rows.select("host", "path").distinct()
-    index = rule_index(places, rules)  # as long as the rules: below the size that Spark broadcasts by itself, or joined
+    index = F.broadcast(rule_index(places, rules))  # one short row for each rule of a list that the driver holds
     found = (
         places.select("host", "path", F.explode(tokens()).alias("token"))
         .join(index, "token")
