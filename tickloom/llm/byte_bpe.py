@@ -87,7 +87,8 @@ class Codec:
 
 
 def _cut(text: str, c: int) -> bool:
-    return text[c].isspace() and not text[c - 1].isspace()
+    # Python counts a few control characters as white space that the pattern does not: none of them is on the right.
+    return text[c] in " \t\n\r" and not text[c - 1].isspace()
 
 
 def _last_cut(text: str, lo: int, hi: int) -> int | None:

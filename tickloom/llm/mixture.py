@@ -158,7 +158,8 @@ def numbered(rows: DataFrame, mix: list[Source]) -> DataFrame:
     table = rows.sparkSession.createDataFrame(
         [(s.name, i, s.size, float(s.target)) for i, s in enumerate(mix)], "__s string, number long, source_size long, target double"
     )
-    return rows.join(table, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    # One row per source, from the driver's list.
+    return rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
 
 def n_words(text: Column) -> Column:
