@@ -16,7 +16,7 @@ from tickloom.llm.common import stored, whole_text
 BITMAP_BITS = 32768
 
 #: Cells of the filter for each of the two probes. The filter is at most PROBES * FILTER_BITS / 8 bytes
-#: (16 MB), whatever the input, and may be broadcast. Take about 8 cells a row; with fewer the result is
+#: (16 MB), whatever the input, and each probe's half may be broadcast. Take about 8 cells a row; with fewer the result is
 #: the same and more rows shuffle.
 FILTER_BITS = 1 << 26
 PROBES = 2
@@ -36,10 +36,11 @@ def repeated_cells(hashed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
 def maybe_repeated(hashed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``hashed`` (any columns and __sha) with __maybe: false only for rows that have no copy."""
-    cells = F.broadcast(repeated_cells(hashed, bits))
+    cells = stored(repeated_cells(hashed, bits), "cells")
     out, tests = hashed, []
     for p in range(PROBES):
-        side = cells.select(F.col("__bucket").alias(f"__b{p}"), F.col("__bits").alias(f"__bits{p}"))
+        own = cells.where(F.col("__bucket").between(p * bits // BITMAP_BITS, ((p + 1) * bits - 1) // BITMAP_BITS))
+        side = F.broadcast(own).select(F.col("__bucket").alias(f"__b{p}"), F.col("__bits").alias(f"__bits{p}"))
         cell = _cell(p, bits)
         out = out.join(side, F.floor(cell / BITMAP_BITS) == F.col(f"__b{p}"), "left")
         place = (cell % BITMAP_BITS).cast("int")
