@@ -10,43 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.bitfilter import BITMAP_BITS, bitmaps, cell, with_test
 from tickloom.llm.common import stored, whole_text
 
-#: Bits of one bitmap that ``bitmap_construct_agg`` builds.
-BITMAP_BITS = 32768
-
-#: Cells of the filter for each of the two probes. The filter is at most PROBES * FILTER_BITS / 8 bytes
-#: (16 MB), whatever the input, and each probe's half may be broadcast. Take about 8 cells a row; with fewer the result is
-#: the same and more rows shuffle.
+#: Cells of the filter for each of the two probes, which has at most FILTER_BITS / 8 bytes (8 MB) whatever the
+#: input, and may be broadcast. Take about 8 cells a row; with fewer the result is the same and more rows shuffle.
 FILTER_BITS = 1 << 26
 PROBES = 2
 
 
 def _cell(probe: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64("__sha", F.lit(probe)), F.lit(bits)) + F.lit(probe * bits)
+    return cell(F.xxhash64("__sha", F.lit(probe)), bits) + F.lit(probe * bits)
 
 
 def repeated_cells(hashed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Bitmaps (__bucket, __bits) of the cells that two or more rows hit: at most PROBES * bits / 32768 rows."""
+    """Bitmaps of the cells that two or more rows hit: at most PROBES * bits / 32768 rows."""
     cells = hashed.select(F.explode(F.array(*[_cell(p, bits) for p in range(PROBES)])).alias("__cell"))
     twice = cells.groupBy("__cell").agg(F.count("*").alias("__n")).where("__n > 1")
-    bucket, bit = F.floor(F.col("__cell") / BITMAP_BITS), F.col("__cell") % BITMAP_BITS
-    return twice.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    return bitmaps(twice, F.col("__cell"))
 
 
 def maybe_repeated(hashed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``hashed`` (any columns and __sha) with __maybe: false only for rows that have no copy."""
     cells = stored(repeated_cells(hashed, bits), "cells")
-    out, tests = hashed, []
+    out = hashed
     for p in range(PROBES):
-        own = cells.where(F.col("__bucket").between(p * bits // BITMAP_BITS, ((p + 1) * bits - 1) // BITMAP_BITS))
-        side = F.broadcast(own).select(F.col("__bucket").alias(f"__b{p}"), F.col("__bits").alias(f"__bits{p}"))
-        cell = _cell(p, bits)
-        out = out.join(side, F.floor(cell / BITMAP_BITS) == F.col(f"__b{p}"), "left")
-        place = (cell % BITMAP_BITS).cast("int")
-        byte = F.col(f"__bits{p}").substr(F.floor(place / 8).cast("int") + 1, F.lit(1))
-        tests.append(F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place % 8) == 1, F.lit(False)))
-    return out.select(*hashed.columns, (tests[0] & tests[1]).alias("__maybe"))
+        own = F.col("__bucket").between(p * bits // BITMAP_BITS, ((p + 1) * bits - 1) // BITMAP_BITS)
+        out = with_test(out, cells.where(own), _cell(p, bits), f"__maybe{p}")
+    return out.select(*hashed.columns, F.expr(" AND ".join(f"__maybe{p}" for p in range(PROBES))).alias("__maybe"))
 
 
 def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
