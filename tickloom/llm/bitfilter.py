@@ -36,11 +36,13 @@ def with_test(rows: DataFrame, filters: DataFrame, of: Column, name: str) -> Dat
     return out.select(*rows.columns, test.alias(name))
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``docs`` without the rows whose ``key`` is in ``gone``: only rows that may be there shuffle."""
-    hashed = cell(F.xxhash64(key))
+def drop_rows(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """``docs`` without the rows whose columns ``on`` are in ``gone`` (null equals null): only rows that may be there shuffle."""
+    hashed = cell(F.xxhash64(*on))
     tested = with_test(docs, bitmaps(gone, hashed), hashed, "__maybe")
-    left = tested.where("__maybe").drop("__maybe").join(gone.select(key).distinct(), key, "left_anti")
+    out = gone.select([F.col(c).alias(f"__gone{i}") for i, c in enumerate(on)]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__gone{i}")) for i, c in enumerate(on)]
+    left = tested.where("__maybe").drop("__maybe").join(out, same, "left_anti")
     return tested.where("not __maybe").drop("__maybe").unionByName(left)
 
 

@@ -137,10 +137,11 @@ def encode(docs: DataFrame, bpe: Bpe) -> DataFrame:
     return docs.select("doc_id", bpe.encode(whole_text()).alias("ids"))
 
 
-def digests(encoded: DataFrame, bpe: Bpe) -> DataFrame:
+def digests(encoded: DataFrame, bpe: Bpe, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digest of the ids in decimal and digest of the bytes that they decode to."""
     return encoded.select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.bitfilter import only_rows
+from tickloom.llm.bitfilter import drop_rows, only_rows
 from tickloom.llm.common import stored, whole_text
 from tickloom.llm.components import components
 from tickloom.llm.textblocks import SPACE, U64, Block, blocks, mix, words
@@ -181,7 +181,7 @@ def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, kept.
+    """One row per document: doc_id, class_id, class_size, kept, and th, the hash of the text.
 
     Documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more;
     a class is what links connect, named by its smallest doc_id, which is kept. Texts of the same words
@@ -195,9 +195,19 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     reps = full.groupBy("key").agg(one, F.first("sig").alias("sig")).select("key", "one.*", "sig")
     reps = stored(reps, "reps")
     tree = stored(components(links(docs, reps, least)), "tree")
-    nodes = full.select("doc_id", "key").join(tree.withColumnRenamed("node", "key"), "key", "left")
-    nodes = nodes.select("doc_id", F.coalesce("root", "key").alias("root"))
+    nodes = full.select("doc_id", "th", "key").join(tree.withColumnRenamed("node", "key"), "key", "left")
+    nodes = nodes.select("doc_id", "th", F.coalesce("root", "key").alias("root"))
     sizes = nodes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    empty = rows.where("length(key) = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    out = nodes.join(sizes, "root").select("doc_id", "class_id", "class_size").unionByName(empty)
+    empty = rows.where("length(key) = 0").select("doc_id", "th", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    out = nodes.join(sizes, "root").select("doc_id", "th", "class_id", "class_size").unionByName(empty)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents that are kept, with all their columns (names that start with ``__`` are reserved).
+
+    Of a row that is there more than once, with id and text, all repeats stay or go.
+    """
+    gone = stored(near_copies(docs, least).where("not kept").select("doc_id", F.col("th").alias("__th")), "gone")
+    rows = docs.withColumn("__th", F.xxhash64(whole_text()))
+    return drop_rows(rows, gone, ["doc_id", "__th"]).select(*docs.columns)

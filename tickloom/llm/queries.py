@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, license_scan, media, mixture, near_dedup, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, license_scan, media, mixture, near_dedup, toxicity, url_filters
 from tickloom.llm.common import read
 
 
@@ -35,8 +35,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_copies(read(spark, sf_dir, "documents"))
+    return near_dedup.near_copies(read(spark, sf_dir, "documents")).drop("th")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op7_media_columns,
         op8_license_scan,
+        op9_toxicity,
         op10_minhash,
     )
 }
