@@ -36,18 +36,34 @@ def with_test(rows: DataFrame, filters: DataFrame, of: Column, name: str) -> Dat
     return out.select(*rows.columns, test.alias(name))
 
 
+def _split(docs: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose columns ``on`` are surely not among ``keys``, and the others."""
+    hashed = cell(F.xxhash64(*on))
+    tested = with_test(docs, bitmaps(keys, hashed), hashed, "__maybe")
+    return tested.where("not __maybe").drop("__maybe"), tested.where("__maybe").drop("__maybe")
+
+
+def _same(keys: DataFrame, on: list[str]) -> tuple[DataFrame, list[Column], list[str]]:
+    names = [f"__on{i}" for i in range(len(on))]
+    renamed = keys.withColumnsRenamed(dict(zip(on, names, strict=True)))
+    return renamed, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(on, names, strict=True)], names
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """``docs`` without the rows whose columns ``on`` are in ``gone`` (null equals null): only rows that may be there shuffle."""
-    hashed = cell(F.xxhash64(*on))
-    tested = with_test(docs, bitmaps(gone, hashed), hashed, "__maybe")
-    out = gone.select([F.col(c).alias(f"__gone{i}") for i, c in enumerate(on)]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"__gone{i}")) for i, c in enumerate(on)]
-    left = tested.where("__maybe").drop("__maybe").join(out, same, "left_anti")
-    return tested.where("not __maybe").drop("__maybe").unionByName(left)
+    alone, maybe = _split(docs, gone, on)
+    keys, same, _ = _same(gone.select(*on).distinct(), on)
+    return alone.unionByName(maybe.join(keys, same, "left_anti"))
 
 
 def only_rows(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of ``docs`` whose columns ``on`` are in ``keys`` (which may add columns): only rows that may be there shuffle."""
-    hashed = cell(F.xxhash64(*on))
-    tested = with_test(docs, bitmaps(keys, hashed), hashed, "__maybe").where("__maybe").drop("__maybe")
-    return tested.join(keys, on)
+    """The rows of ``docs`` that join ``keys``, with its other columns."""
+    renamed, same, names = _same(keys, on)
+    return _split(docs, keys, on)[1].join(renamed, same).drop(*names)
+
+
+def with_rows(docs: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` that surely join nothing; and the others, left joined with ``keys``."""
+    renamed, same, names = _same(keys, on)
+    alone, maybe = _split(docs, keys, on)
+    return alone, maybe.join(renamed, same, "left").drop(*names)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, license_scan, media, mixture, near_dedup, toxicity, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, license_scan, media, mixture, near_dedup, suffix_dedup, toxicity, url_filters
 from tickloom.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(read(spark, sf_dir, "documents"), bpe), bpe)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.drop_repeats(read(spark, sf_dir, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_url_filters,
         op2_mix_sources,
         op3_byte_bpe,
+        op4_suffix_dedup,
         op5_exact_dedup,
         op7_media_columns,
         op8_license_scan,
