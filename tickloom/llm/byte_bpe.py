@@ -113,13 +113,16 @@ class Bpe:
 
         def encoded(texts: pa.Array) -> pa.Array:
             c = codec(sent.value, pattern)
-            rows = [c.encode(t or "") for t in texts.to_pylist()]
+            rows = [c.encode(t.as_py() or "") for t in texts]
             ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
 
         def decoded(ids: pa.Array) -> pa.Array:
             c = codec(sent.value, pattern)
-            return pa.array([None if x is None else c.decode(x) for x in ids.to_pylist()], pa.binary())
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            spans = zip(ids.is_valid().to_pylist(), ends[:-1], ends[1:], strict=True)
+            # The ids of one text at a time are Python numbers.
+            return pa.array([c.decode(flat[a:b].tolist()) if ok else None for ok, a, b in spans], pa.binary())
 
         self._encode, self._decode = F.arrow_udf(encoded, "array<int>"), F.arrow_udf(decoded, "binary")
 
