@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, license_scan, media, mixture, near_dedup, suffix_dedup, toxicity, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, mixture, near_dedup, suffix_dedup, toxicity, url_filters
 from tickloom.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_byte_bpe,
         op4_suffix_dedup,
         op5_exact_dedup,
+        op6_language_id,
         op7_media_columns,
         op8_license_scan,
         op9_toxicity,
