@@ -150,7 +150,8 @@ def taken_spans(rows: DataFrame, mix: list[Source], block: int = BLOCK, shard: i
     )
     lo, hi = F.greatest(F.col("block") * block, F.col("__start")), F.least((F.col("block") + 1) * block, F.col("__start") + F.col("size"))
     packed = packed.select("number", "block", "__start", (lo - F.col("__start")).alias("from"), (hi - F.col("__start")).alias("to"))
-    return plan.join(packed, ["number", "block"])
+    # Both sides grow with the words; the planner can't see how many slots a draw makes, so it must not broadcast them.
+    return plan.join(packed.hint("merge"), ["number", "block"])
 
 
 def numbered(rows: DataFrame, mix: list[Source]) -> DataFrame:
