@@ -221,6 +221,7 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t or "", [(int(s["from"]), int(s["to"])) for s in x]) for t, x in zip(text, spans, strict=True)], dtype=object)
 
-    out = rows.join(spans, ["number", "__start"]).withColumn("__text", cut("__doc.text", "spans"))
+    # A document without words has the start of the next one.
+    out = rows.where("size > 0").join(spans, ["number", "__start"]).withColumn("__text", cut("__doc.text", "spans"))
     changed = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*(changed.get(c, F.col("__doc")[c]).alias(c) for c in docs.columns))

@@ -35,7 +35,7 @@ SECOND = frozenset("you your yours yourself du dich dir dein deine ihr euch tu t
 #: Signs that stand for letters.
 MASKED = str.maketrans("013457@$", "oieastas")
 
-WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
+WORD = re.compile(r"[@$]?[^\W_]+(?:[@$][^\W_]+)*")
 FEATURES = (
     "hits", "density", "weight", "most", "near", "seed", "capitals", "shouted", "marks", "punctuation", "masked", "length",
 )
@@ -137,7 +137,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
                 held = {t for w in set(WORD.findall(text.lower())) for t in terms_of(w)}
-                yield pd.DataFrame({"term": list(held), "label": label})
+                if held:
+                    yield pd.DataFrame({"term": list(held), "label": label})
 
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
