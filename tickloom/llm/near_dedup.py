@@ -28,6 +28,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Four standard deviations of the estimate below the threshold.
 ESTIMATE = 0.65
+#: Nodes of a band that are drawn first.
+HUBS = 8
 STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -149,35 +151,40 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float =
 
 
 def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links (a, b) that connect what similar pairs in common bands connect, without all pairs of a band.
+    """Verified links (a, b) between nodes that share bands.
 
-    In each round the node of a band that shares the most bands with others, as the text that the others
-    were made of does, is paired with the rest of the band. Nodes that the links so far connect with it
-    leave the band, and the rest goes on with the next such node. A band ends when all that is left in it
-    is one node or one class.
+    First every node of a band is paired with its hub, the node that shares the most bands with others, as
+    the text does that the others were made of. What the links so far connect with the hub then leaves the
+    band. Of the rest, a few nodes drawn by hash are paired with all that are not yet in their class, then
+    eight times as many, until every node has been drawn, so no pair of the rest is left out. A band whose
+    texts are alike thus makes as many pairs as it has nodes, not their square.
     """
-    spark = docs.sparkSession
     rows = stored(banded(reps), "bands")
     popular = rows.groupBy("node").agg(F.sum("n").alias("pop"))
-    rows = stored(rows.join(popular, "node").select("band", "node", "pop"), "bands")
-    found = tried = None
+    hub = rows.join(popular, "node").groupBy("band").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"))
+    rows = stored(rows.join(hub, "band").where("node <> hub").select("band", "node", "hub"), "hubs")
+    pairs = stored(rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    tried = pairs
+    found = stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links")
+    drawn = HUBS
     while True:
-        hub = rows.groupBy("band").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"), F.count("*").alias("n")).where("n > 1")
-        rows = stored(rows.join(hub.drop("n"), "band"), "hubs")
-        pairs = rows.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty() and rows.isEmpty():
-            return found if found is not None else spark.createDataFrame([], "a binary, b binary")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        near = stored(estimated(pairs, reps), "estimated")
-        new = stored(verified(near, docs, reps, least), "links")
-        found = new if found is None else stored(found.unionByName(new), "links")
         tree = stored(components(found), "tree")
         root = lambda c, name: tree.select(F.col("node").alias(c), F.col("root").alias(name))
-        rows = rows.where("node <> hub").join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
-        rows = rows.where(F.coalesce("rn", "node") != F.coalesce("rh", "hub")).select("band", "node", "pop")
+        rest = rows.join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
+        rest = rest.select("band", "node", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("rh"))
+        rest = stored(rest.where("class <> rh").drop("rh"), "rest")
+        sizes = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+        share = F.pmod(F.xxhash64("band", "node"), F.lit(1 << 30)) / float(1 << 30)
+        rest = rest.join(sizes.select("band", "n"), "band").withColumn("drawn", share < drawn / F.col("n"))
+        other = rest.where("drawn").select("band", F.col("node").alias("other"), F.col("class").alias("oc"))
+        met = rest.join(other, "band").where("class <> oc AND (NOT drawn OR node < other)")
+        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        found = found.unionByName(stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links"))
+        if drawn >= (sizes.agg(F.max("n")).first()[0] or 0):
+            return found
+        drawn *= 8
 
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
