@@ -39,21 +39,29 @@ FIRST = LENGTH // 16
 ANCHOR = 2 * FIRST
 #: Starts that are refined together in step 2.
 PIECE = 16
-TURN = U64(0xD6E8FEB86659FD93)
+LEFT, RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The name of a bucket that two buckets make."""
-    return mix(a * TURN + mix(b))
+    x = a * LEFT
+    x += b * RIGHT
+    return mix(x)
+
+
+def first_seen(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Where a key stands for the first time in a task; ``seen`` holds the task's keys so far."""
+    found, at = np.unique(keys, return_index=True)
+    new = np.array([k not in seen for k in found.tolist()], bool)
+    seen.update(found[new].tolist())
+    return np.sort(at[new])
 
 
 class Suffixes:
     """Buckets of all suffixes of a block by depth, and the runs of starts that share an anchor."""
 
     def __init__(self, block: Block):
-        n = len(block.data)
-        at = np.arange(max(0, n - FIRST + 1))
-        self.depth = {FIRST: block.hashes(1).of(at, at + FIRST)}
+        self.depth = {FIRST: block.hashes(1).all_of(FIRST)}
         d = FIRST
         while d < LENGTH:
             b = self.depth[d]
@@ -73,10 +81,11 @@ class Suffixes:
         behind = np.minimum.accumulate(keys[:, ::-1], axis=1)[:, ::-1].ravel()
         n = len(block.data) - LENGTH + 1
         anchor = (low - (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low)).astype(np.int64)
-        start = np.arange(n)
-        row = np.searchsorted(block.ends, start, side="right")
-        inside = start + LENGTH <= block.ends[row]
-        start, anchor, row = start[inside], anchor[inside], row[inside]
+        whole = block.ends - block.begins >= LENGTH
+        begins, count = block.begins[whole], (block.ends - block.begins - LENGTH + 1)[whole]
+        row = np.repeat(np.flatnonzero(whole), count)
+        start = np.arange(count.sum()) + np.repeat(begins - (np.cumsum(count) - count), count)
+        anchor = anchor[start]
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(start) else start
         self.row, self.begin, self.anchor = row[new], start[new], anchor[new]
         self.end = start[np.r_[new[1:] - 1, len(start) - 1]] if len(start) else start
@@ -110,14 +119,15 @@ KEYS = "doc_id long, th int, lo int, hi int, k1 long, k2 long"
 
 
 def _scan(texts: DataFrame, rows_of, schema: str) -> DataFrame:
-    """``rows_of(suffixes)`` gives row, lo, hi (places in the block), k1, k2."""
+    """``rows_of(suffixes, seen)`` gives row, lo, hi (places in the block), k1, k2; ``seen`` is the task's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for b in blocks(batch["text"]):
                 if len(b.data) < LENGTH:
                     continue
-                row, lo, hi, k1, k2 = rows_of(Suffixes(b))
+                row, lo, hi, k1, k2 = rows_of(Suffixes(b), seen)
                 cols = {"k1": k1.view(np.int64), "k2": k2.view(np.int64)}
                 if "doc_id" in schema:
                     ids, own = pa.array(b.first + row), b.begins[row]
@@ -148,7 +158,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, th, lo, hi: every 400-byte string that starts at lo to hi of the text is somewhere else too."""
     texts = _texts(docs)
 
-    def every(s: Suffixes):
+    def every(s: Suffixes, seen: set[int]):
         return s.row, s.begin, s.end, s.bucket, mix(s.whole ^ s.gram)
 
     runs = stored(_scan(texts, every, "k1 long, k2 long").groupBy("k1", "k2").agg(F.count("*").alias("n")), "runs")
@@ -156,10 +166,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     mixed = runs.join(buckets.where("kinds > 1 AND least = 1"), "k1")
     equal, unlike = Marked(runs.where("n > 1"), "k2"), Marked(mixed, "k2")
 
-    def some(s: Suffixes):
+    # A run that is like another is settled as a whole and only stands for others to be compared with, so a task
+    # cuts up one of them. Runs that are alone are all cut up, as each is the first of its kind.
+    def some(s: Suffixes, seen: set[int]):
         whole = mix(s.whole ^ s.gram)
-        same = np.flatnonzero(equal(whole))
-        run, lo, hi, shared, all_ = s.pieces(np.flatnonzero(unlike(whole)))
+        same, cut = np.flatnonzero(equal(whole)), np.flatnonzero(unlike(whole))
+        run, lo, hi, shared, all_ = s.pieces(cut[first_seen(whole[cut], seen)])
         return (
             np.r_[s.row[same], s.row[run]], np.r_[s.begin[same], lo], np.r_[s.end[same], hi],
             np.r_[s.bucket[same], shared], np.r_[whole[same], all_],
@@ -170,9 +182,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     open_ = kinds.groupBy("k1").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
     left = Marked(open_, "k1")
 
-    def single(s: Suffixes):
-        run, lo, hi, shared, _ = s.pieces(np.flatnonzero(unlike(mix(s.whole ^ s.gram))))
+    # The same holds for pieces.
+    def single(s: Suffixes, seen: set[int]):
+        run, lo, hi, shared, all_ = s.pieces(np.flatnonzero(unlike(mix(s.whole ^ s.gram))))
         on = np.flatnonzero(left(shared))
+        on = on[first_seen(all_[on] ^ shared[on], seen)]
         run, lo, shared, count = run[on], lo[on], shared[on], hi[on] - lo[on] + 1
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         return s.row[np.repeat(run, count)], at, at, np.repeat(shared, count), s.b400[at]

@@ -17,9 +17,12 @@ BASE = 0x9E3779B97F4A7C15 | 1
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 @functools.lru_cache(maxsize=4)
@@ -64,6 +67,14 @@ class RollingHash:
     def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[begins]) * self.down[begins] + (ends - begins).astype(U64))
 
+    def all_of(self, size: int) -> np.ndarray:
+        """Of every stretch of one size."""
+        n = len(self.sums) - size
+        x = self.sums[size:] - self.sums[:n]
+        x *= self.down[:n]
+        x += U64(size)
+        return mix(x)
+
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """The batch in blocks of whole texts; null counts as empty."""
