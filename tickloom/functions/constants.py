@@ -9,18 +9,6 @@ TIMEFRAME_MINUTES = {"3": 3, "15": 15, "D": 375}
 FAST_LEN, SLOW_LEN, BASE_LEN = 8, 21, 89
 TICKER_RENAMES = {"LTIM": "LTM"}
 
-# Fields of a surge row, in output order.
-SURGE_FIELDS = [
-    "symbol",
-    "volume_fast",
-    "volume_slow",
-    "vol_surge",
-    "ltp",
-    "price_surge",
-    "price_ma_action",
-    "vol_ma_action",
-]
-
 # Signal codes.
 NEUTRAL, LONG, SHORT, ENTER_LONG, ENTER_SHORT, EXIT_LONG, EXIT_SHORT = range(7)
 SIGNAL_TEXT = {5: "XU", 6: "XD", 3: "U", 4: "D", 1: "Up", 2: "Dn", 0: "Na"}

@@ -197,7 +197,7 @@ def match_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def search_instruments(
-    queries: DataFrame, instruments: DataFrame, limit: int = 30, aliases: dict[str, str] | None = None
+    queries: DataFrame, instruments: DataFrame, limit: int, aliases: dict[str, str] | None = None
 ) -> DataFrame:
     """Best ``limit`` instruments per distinct query, with their scores.
 

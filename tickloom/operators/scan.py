@@ -92,7 +92,7 @@ def price_buckets(scan: DataFrame, width: int = 1000) -> DataFrame:
     )
 
 
-def topk_union(scan: DataFrame, keys: list[str], k: int = 40) -> DataFrame:
+def topk_union(scan: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Rows that are in the top ``k`` of any key. Each branch is a bounded top-k."""
     tops = [scan.orderBy(F.desc_nulls_last(key), "symbol").limit(k) for key in keys if key]
     out = tops[0]
@@ -120,8 +120,9 @@ def with_forced(ranked: DataFrame, forced: DataFrame) -> DataFrame:
 
 
 def sector_heat(
-    scan: DataFrame, sectors: DataFrame, sort: str = "heat", order: str = "desc"
+    scan: DataFrame, sectors: DataFrame, sort: str = "volume_fast", order: str = "desc"
 ) -> DataFrame:
+    """Average volumes of each sector, ordered by ``sort``: volume_fast, volume_slow or name."""
     rows = sectors.join(scan, "symbol")
     heat = rows.groupBy("sector").agg(
         F.avg("volume_fast").alias("avg_fast"),
@@ -131,7 +132,7 @@ def sector_heat(
         F.array_sort(F.collect_set("symbol")).alias("symbols"),
     )
     heat = heat.withColumn("heat", F.least(F.col("avg_fast") / 200, F.lit(1.0)))
-    key = F.col(sort)
+    key = F.col({"volume_fast": "avg_fast", "volume_slow": "avg_slow", "name": "sector"}[sort])
     return heat.orderBy(key.desc_nulls_last() if order == "desc" else key.asc_nulls_first(), "sector")
 
 

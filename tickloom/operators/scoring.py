@@ -147,7 +147,7 @@ def consistency_averages(stats: DataFrame) -> DataFrame:
     )
 
 
-def most_consistent(stats: DataFrame, n: int = 10) -> DataFrame:
+def most_consistent(stats: DataFrame, n: int) -> DataFrame:
     return stats.orderBy(F.asc_nulls_last("cv"), "symbol").limit(n)
 
 

@@ -427,7 +427,7 @@ def scan_signals(df: DataFrame, code: str = "code", c: str = "close", ts: str =
 
 def alert_table(
     scan: DataFrame,
-    top: int = 40,
+    top: int | None = None,
     exclude_losses: bool = False,
     exclude_weak: bool = False,
     only_gains: bool = False,
@@ -435,7 +435,7 @@ def alert_table(
     weak: int = 10,
     gain: float = 0.1,
 ) -> DataFrame:
-    """Non-neutral symbols, newest signal first; the cap counts shown rows."""
+    """Non-neutral symbols, newest signal first; ``top``, if given, counts shown rows."""
     rows = scan.filter(F.col("code") != K.NEUTRAL).withColumn(
         "strength", profit_strength(F.col("max_profit"), F.col("profit"))
     )
@@ -445,7 +445,8 @@ def alert_table(
         rows = rows.filter(F.col("strength") > weak)
     if only_gains:
         rows = rows.filter(F.col("max_profit") > gain)
-    return rows.orderBy(F.desc_nulls_last("signal_ts"), "symbol").limit(top)
+    rows = rows.orderBy(F.desc_nulls_last("signal_ts"), "symbol")
+    return rows if top is None else rows.limit(top)
 
 
 def vol_osc_scan(df: DataFrame, filter_volume: bool = False, sort: str = "time", ts: str = "bar_ts") -> DataFrame:
@@ -513,7 +514,7 @@ def trend_panel(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_symbol_list(df: DataFrame, cap: int | None = 40, pos: str = "pos") -> DataFrame:
+def clean_symbol_list(df: DataFrame, cap: int | None = None, pos: str = "pos") -> DataFrame:
     """Trimmed, non-blank, first occurrence kept, in input order; ``cap`` is the feature's list length."""
     rows = df.select(F.trim("symbol").alias("symbol"), pos).filter("symbol <> ''")
     rows = rows.groupBy("symbol").agg(F.min(pos).alias(pos)).orderBy(pos)

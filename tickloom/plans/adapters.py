@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as trades: symbol T0..T19, price, size."""
+    """Events as deals: one symbol per user, price, size."""
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("T"), (F.col("user_id") % 20).cast("string")).alias("symbol"),
+        F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("symbol"),
         "ts",
         F.col("event_id").alias("seq"),
         F.col("value").alias("price"),
@@ -36,7 +36,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     w = Window.partitionBy("symbol", "day").orderBy("minute")
     stamp = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))
-    return per_minute.filter("minute < 1440").select(
+    # The last minute of a day is stamped at the next day's 00:00.
+    return per_minute.select(
         "symbol",
         stamp.alias("snap_ts"),
         F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("vol_cum"),
@@ -92,7 +93,7 @@ def index_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TICKS_SQL = """
 ticks AS MATERIALIZED (
-  SELECT 'T' || CAST(user_id % 20 AS VARCHAR) AS symbol, ts, event_id AS seq, value AS price,
+  SELECT 'T' || CAST(user_id AS VARCHAR) AS symbol, ts, event_id AS seq, value AS price,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS size
   FROM events)"""
 
@@ -107,7 +108,7 @@ snaps AS MATERIALIZED (
   SELECT symbol, CAST(day AS TIMESTAMP) + to_minutes(minute) AS snap_ts, day, minute,
          sum(size) OVER (PARTITION BY symbol, day ORDER BY minute ROWS UNBOUNDED PRECEDING) AS vol_cum,
          price
-  FROM per_minute WHERE minute < 1440)"""
+  FROM per_minute)"""
 )
 
 BARS_SQL = (

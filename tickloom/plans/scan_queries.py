@@ -115,15 +115,20 @@ def price_buckets(spark, d):
     return S.price_buckets(_scan(spark, d), 100)
 
 
-# Sectors of the tick symbols: nations by number modulo five.
-TICK_SECTORS_SQL = """tick_sectors AS (SELECT n_name AS sector, 'T' || (n_nationkey % 20) AS symbol FROM nation
-  UNION SELECT r_name, 'T' || (n_nationkey % 20) FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+# Sectors of the tick symbols: the nation of the same number, and its region.
+TICK_SECTORS_SQL = """tick_sectors AS (SELECT n_name AS sector, 'T' || n_nationkey AS symbol FROM nation
+  UNION SELECT r_name, 'T' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def _placed(ordered):
+    """The place of each row in the order that the operator gave it (a report has few rows)."""
+    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
 
 
 def tick_sectors(spark, d):
     n = A.table(spark, d, "nation")
     r = A.table(spark, d, "region")
-    symbol = F.concat(F.lit("T"), (F.col("n_nationkey") % 20).cast("string")).alias("symbol")
+    symbol = F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("symbol")
     narrow = n.select(F.col("n_name").alias("sector"), symbol)
     broad = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("sector"), symbol)
     return narrow.union(broad).distinct()
@@ -134,11 +139,12 @@ def tick_sectors(spark, d):
     f"""{SCAN}, {TICK_SECTORS_SQL}
 SELECT sector, avg(volume_fast) AS avg_fast, avg(volume_slow) AS avg_slow, count(*) AS n_symbols,
   arg_max(symbol, (volume_fast, symbol)) AS top_symbol, array_to_string(list_sort(list(symbol)), ',') AS symbols,
-  least(avg(volume_fast) / 200, 1.0) AS heat
+  least(avg(volume_fast) / 200, 1.0) AS heat,
+  row_number() OVER (ORDER BY avg(volume_fast) DESC NULLS LAST, sector) AS place
 FROM tick_sectors JOIN scan USING (symbol) GROUP BY sector""", r="avg_fast avg_slow heat")
 def sector_heat(spark, d):
     heat = S.sector_heat(_scan(spark, d), tick_sectors(spark, d))
-    return heat.withColumn("symbols", F.array_join("symbols", ","))
+    return _placed(heat.withColumn("symbols", F.array_join("symbols", ",")))
 
 
 @query(

@@ -150,7 +150,7 @@ def consistency_averages(spark, d):
 
 @query("most_consistent", f"{P}, {CONSISTENCY} SELECT * FROM stats ORDER BY cv, symbol LIMIT 10", r=STATS)
 def most_consistent(spark, d):
-    return S.most_consistent(S.volume_consistency(A.panel(spark, d)))
+    return S.most_consistent(S.volume_consistency(A.panel(spark, d)), 10)
 
 
 @query(

@@ -282,19 +282,21 @@ STRENGTH = "CAST(CASE WHEN max_profit = 0 THEN 100 ELSE greatest(floor((1 - (max
     r="entry ltp profit max_profit",
 )
 def alert_table(spark, d):
-    return G.alert_table(_scan(spark, d), exclude_losses=True, exclude_weak=True)
+    return G.alert_table(_scan(spark, d), 40, exclude_losses=True, exclude_weak=True)
 
 
 @query(
     "gate_alerts",
-    _scan_sql("symbol, code FROM scan WHERE code >= 3 AND symbol NOT IN ('T1', 'T2') AND signal_ts = bt FROM scan").replace(
-        "signal_ts = bt FROM scan", "signal_ts IS NOT NULL"
+    _scan_sql(
+        "symbol, code, signal_ts FROM scan, (SELECT max(bar_ts) AS now FROM hourly) "
+        "WHERE code >= 3 AND symbol NOT IN ('T1', 'T2') AND coalesce(signal_ts, now) = now"
     ),
 )
 def gate_alerts(spark, d):
-    """Current bar of each symbol is its own last bar, so every last-bar signal is fresh."""
-    scan = _scan(spark, d)
-    return G.gate_alerts(scan, "60", ["60", "240"], F.col("signal_ts"), ["T1", "T2"], show_commodity=False).select("symbol", "code")
+    """Fresh means on the newest bar that any symbol has."""
+    now = A.hourly(spark, d).agg(F.max("bar_ts")).scalar()
+    alerts = G.gate_alerts(_scan(spark, d), "60", ["60", "240"], now, ["T1", "T2"], show_commodity=False)
+    return alerts.select("symbol", "code", "signal_ts")
 
 
 @query(

@@ -3,15 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A lookup table made from options is small because a person typed it; anything
-# longer than this loses the broadcast hint and is left to the optimizer.
-MAX_HINTED_ROWS = 10_000
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -19,7 +13,11 @@ ROCKSDB_PROVIDER = (
 
 
 def build_session(app: str = "tickloom", cores: str = "*", **conf: str) -> SparkSession:
-    """Local session with the settings the jobs rely on; a cluster passes its own."""
+    """Local session with the settings the jobs rely on; a cluster passes its own.
+
+    A cluster also names the folder its executors share (``spark.checkpoint.dir``); in
+    local mode a folder below the working folder stands in where nothing names it.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -36,24 +34,36 @@ def build_session(app: str = "tickloom", cores: str = "*", **conf: str) -> Spark
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        # Local mode only: driver and executors are one process.
+        spark.stop()
+        spark = builder.config("spark.checkpoint.dir", f"file://{os.path.abspath('spark-checkpoints')}").getOrCreate()
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only when the cluster names none (tests) a temporary one is made and set.
-    """
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path in the application's own part of the shared folder.
+
+    What an application stores there lies below one folder, named by its id, so it can be
+    removed as a whole when the application has ended (``drop_scratch``).
+    """
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all that this application stored. Results that still read from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -65,10 +75,5 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
-
+    return spark.read.schema(df.schema).parquet(path)
 
-def option_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A lookup table from options, hinted for broadcast while it is provably small."""
-    table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= MAX_HINTED_ROWS else table
