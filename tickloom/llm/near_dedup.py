@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.bitfilter import drop_rows, only_rows
 from tickloom.llm.common import stored, whole_text
 from tickloom.llm.components import components
-from tickloom.llm.textblocks import SPACE, U64, Block, blocks, mix, words
+from tickloom.llm.textblocks import BLOCK_BYTES, SPACE, U64, Block, blocks, mix, words
 
 SHINGLE, LEAST = 5, 0.8
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8^5)^24, under one in ten thousand.
@@ -130,9 +131,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float =
     @F.arrow_udf("double")
     def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
         out, lo = np.zeros(len(x)), 0
-        size = np.cumsum([len(a) + len(b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)])
+        size = np.cumsum(np.add(*(pc.binary_length(c).to_numpy(zero_copy_only=False) for c in (x, y))))
         while lo < len(x):
-            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (4 << 20), side="right")))
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOCK_BYTES, side="right")))
             (rx, hx, _, _), (ry, hy, _, _) = (shingles(next(blocks(c.slice(lo, hi - lo), 1 << 40))) for c in (x, y))
             spread = lambda r, h: mix(h + r.astype(U64) * STEP)
             _, met, _ = np.intersect1d(spread(rx, hx), spread(ry, hy), assume_unique=True, return_indices=True)

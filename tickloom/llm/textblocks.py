@@ -11,7 +11,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes that are worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64."""
     up = np.full(1 << bits, U64(base))
