@@ -29,6 +29,8 @@ AFFIX, GRAM = 3, 3
 STRETCH, JOINED, BATCH, PASSES, RATE = 40, 3, 64, 3, 0.5
 #: Words that a long chain is cut into; the parts are linked by products of their transitions, exactly.
 CHUNK = 128
+#: Bytes of text whose chains run side by side.
+CHAINED = 2 << 20
 UNKNOWN = "und"
 
 LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
@@ -208,9 +210,11 @@ def _expected(scores: np.ndarray, row: np.ndarray, moves: np.ndarray) -> tuple[n
 
 
 def learn(docs: DataFrame, max_rows: int = MAX_ROWS, parts: int = PARTS) -> Crf | None:
-    """The field of the rows that are not held out (fold 2 of 4); None if none of them has a language and text."""
-    known = docs.where(F.col("lang").isNotNull() & (id_fold(4) != 2) & (F.length(whole_text()) > 0))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", "text", "lang")
+    """The field of the rows that are not held out (fold 2 of 4); None if none of them has an id, a language and text."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_fold(4) != 2) & (F.length(whole_text()) > 0))
+    # Ids are drawn before texts are read; no more than max_rows of them.
+    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = known.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang")
     known = known.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)).cast("int")).cache()
     labels = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not labels:
@@ -244,7 +248,7 @@ def languages(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch["text"]):
+            for b in blocks(batch["text"], CHAINED):
                 n = len(b.ends)
                 lang, score = [UNKNOWN] * n, np.zeros(n)
                 if sent.value is not None:
