@@ -148,6 +148,31 @@ def test_stream_equals_batch(spark, corpus, tmp_path_factory):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "batches",
+    [
+        # A day that was cut short ends when the next begins.
+        [[("A", 1, "09:16"), ("A", 1, "09:20")], [("A", 2, "09:16")]],
+        # A symbol that the last file lacks leaves the universe.
+        [[("A", 1, "09:16"), ("B", 1, "09:16")], [("A", 1, "09:20")]],
+        # An earlier day comes late and moves the number of the others.
+        [[("A", 2, "09:16")], [("A", 3, "09:16")], [("A", 1, "09:19"), ("A", 1, "15:30")]],
+    ],
+)
+def test_bar_table_equals_reload(spark, tmp_path, batches):
+    writer, rows = S.bar_table_writer(str(tmp_path / "store")), []
+    cols = ["symbol", "day", "bar", "vol_cum", "price", "volume", "last_bar"]
+    for k, batch in enumerate(batches):
+        new = [(s, f"2024-01-0{d} {t}:00", 10.0 * k + i, 5.0) for i, (s, d, t) in enumerate(batch)]
+        rows += new
+        frame = lambda r: spark.createDataFrame(r, "symbol STRING, t STRING, vol_cum DOUBLE, price DOUBLE").selectExpr(
+            "symbol", "CAST(t AS TIMESTAMP_NTZ) AS snap_ts", "vol_cum", "price"
+        )
+        writer(frame(new), k)
+        got = W.read_bars(spark, str(tmp_path / "store/bars"), "3").select(*cols).orderBy("symbol", "bar").collect()
+        assert got == B.build_bars(frame(rows)).select(*cols).orderBy("symbol", "bar").collect()
+
+
 def test_replayed_batch_changes_nothing(spark, corpus, tmp_path):
     snaps = R.read_snapshots(spark, corpus)
     writer = S.bar_table_writer(str(tmp_path / "store"))

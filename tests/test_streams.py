@@ -39,3 +39,26 @@ def test_alerts_over_batches(spark, tmp_path):
     want = S.dedup_alerts(df, block=7)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert S.dedup_alerts(df, enabled=False).count() == 60
+
+
+def test_late_bars_are_told(spark, tmp_path):
+    S.use_rocksdb(spark)
+    root, schema = str(tmp_path / "in"), "symbol STRING, day STRING, bar INT, vol_cum DOUBLE"
+    want = []
+    for bars, late in (([1, 2, 5], []), ([3, 6], [3]), ([6, 7], [6])):
+        spark.createDataFrame([("A", "d", b, float(b)) for b in bars], schema).coalesce(1).write.mode("append").parquet(root)
+        got = run(S.stream_moving_average(spark.readStream.schema(schema).parquet(root)), tmp_path)
+        want += late
+    rows = got.collect()
+    assert sorted(r.bar for r in rows if r.late) == want and sorted(r.bar for r in rows if not r.late) == [1, 2, 5, 6, 7]
+
+
+def test_same_deal_passes_once_in_each_scan(spark, tmp_path):
+    rows = [("NSE", "A", "BUY", f"2024-01-01 {h}:0{m}:00") for h in (10, 11, 12) for m in (0, 1)]
+    rows += [("NSE", "A", "SELL", "2024-01-01 10:01:00"), ("NSE", "A", "BUY", "2024-01-01 10:03:00")]
+    df = spark.createDataFrame(rows, "exch STRING, symbol STRING, signal STRING, t STRING").selectExpr("*", "CAST(t AS TIMESTAMP) AS ts").drop("t")
+    df.write.parquet(str(tmp_path / "in"))
+    got = run(S.once_per_scan(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), tmp_path)
+    assert sorted((r.signal, r.scan_start.strftime("%H:%M")) for r in got.collect()) == [
+        ("BUY", "10:00"), ("BUY", "10:03"), ("BUY", "11:00"), ("BUY", "12:00"), ("SELL", "10:00")
+    ]

@@ -10,6 +10,7 @@ from tickloom.plans import adapters as A
 from tickloom.plans.registry import query
 from tickloom.plans.signal_sql import Chain
 from tickloom.session import scratch_path
+from tickloom.sources import sinks as W
 from tickloom.streaming import streams as S
 
 
@@ -21,6 +22,19 @@ def _as_stream(df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def _fed(df, key, name, make, parts=3):
+    """Follow a table that grows in parts, by ``key``; the job is restarted for each part."""
+    spark = df.sparkSession
+    root, out, check = (scratch_path(spark, f"{name}-{x}") for x in ("in", "out", "checkpoint"))
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    step = (hi - lo) // parts + 1 if lo is not None else 1
+    for k in range(parts):
+        part = df if lo is None else df.filter((F.col(key) >= lo + k * step) & (F.col(key) < lo + (k + 1) * step))
+        part.write.mode("append").parquet(root)
+        got = make(spark.readStream.schema(df.schema).parquet(root), out, check)
+    return got
+
+
 def _run(stream, name):
     spark = stream.sparkSession
     return S.run_to_files(stream, scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint"))
@@ -48,7 +62,8 @@ def stream_bars(spark, d):
 def stream_moving_average(spark, d):
     S.use_rocksdb(spark)
     bars = A.base_bars(spark, d).select("symbol", F.col("day").cast("string").alias("day"), "bar", "vol_cum")
-    return _run(S.stream_moving_average(_as_stream(bars, "bars")), "ma")
+    out = _fed(bars, "bar", "ma", lambda rows, path, check: S.run_to_files(S.stream_moving_average(rows), path, check))
+    return out.filter("NOT late").drop("late")
 
 
 ALERTS_SQL = """SELECT symbol, alert_id, signal FROM (SELECT *, lag(signal) OVER (PARTITION BY symbol ORDER BY alert_id) AS p FROM (
@@ -77,18 +92,36 @@ def stream_dedup_alerts(spark, d):
 
 @query(
     "stream_once_per_scan",
-    "SELECT DISTINCT 'NSE' AS exch, 'T' || user_id AS symbol, event_type AS signal FROM events",
+    """SELECT DISTINCT 'NSE' AS exch, 'T' || user_id AS symbol, event_type AS signal,
+      strftime(time_bucket(INTERVAL 3 MINUTE, ts), '%Y-%m-%d %H:%M') AS scan_start FROM events""",
 )
 def stream_once_per_scan(spark, d):
-    """All events arrive in one batch here, so each trade key passes once."""
+    """A deal passes once in each scan; all files are there, so none is late."""
     e = A.table(spark, d, "events").select(
         F.lit("NSE").alias("exch"),
         F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("symbol"),
         F.col("event_type").alias("signal"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
-    out = _run(S.once_per_scan(_as_stream(e.coalesce(1), "trades")), "guard")
-    return out.select("exch", "symbol", "signal")
+    out = _run(S.once_per_scan(_as_stream(e, "deals")), "guard")
+    return out.select("exch", "symbol", "signal", F.date_format("scan_start", "yyyy-MM-dd HH:mm").alias("scan_start"))
+
+
+@query(
+    "stream_bar_table",
+    f"WITH {A.BARS_SQL} SELECT symbol, bar, vol_cum, price, volume FROM bars",
+    r="vol_cum price volume",
+)
+def stream_bar_table(spark, d):
+    """The bar table after three restarts of the job, with new days and symbols in each."""
+    store = scratch_path(spark, "bar-table")
+    snaps = A.snapshots(spark, d).withColumn("at", F.unix_timestamp("snap_ts"))
+
+    def write(rows, path, check):
+        S.follow(rows.drop("at"), S.bar_table_writer(store), check, live=False).awaitTermination()
+        return W.read_bars(spark, f"{store}/bars", "3")
+
+    return _fed(snaps, "at", "table", write).select("symbol", "bar", "vol_cum", "price", "volume")
 
 
 @query(
@@ -100,6 +133,7 @@ def stream_osc_signal(spark, d):
     rows = I.rsi_osc(A.hourly(spark, d)).select(
         "symbol", "bar", F.col("rsi_fast").alias("fast"), F.col("rsi_sig").alias("sig")
     )
-    out = _run(S.stream_osc_signal(_as_stream(rows, "osc"), 50), "codes")
+    out = _fed(rows, "bar", "codes", lambda r, path, check: S.run_to_files(S.stream_osc_signal(r, 50), path, check))
+    out = out.filter("NOT late").drop("late")
     ready = rows.filter("sig IS NOT NULL").select("symbol", "bar")
     return out.join(ready, ["symbol", "bar"], "left_semi")

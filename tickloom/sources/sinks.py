@@ -43,4 +43,5 @@ def write_bars(bars: DataFrame, path: str, tf: str) -> None:
 def read_bars(spark: SparkSession, path: str, tf: str) -> DataFrame:
     """Stored bars of one timeframe; ``last_bar`` comes from the newest partition's rows."""
     bars = spark.read.parquet(path).filter(F.col("tf") == tf).drop("tf", "last_bar")
-    return bars.withColumn("last_bar", bars.agg(F.max("bar")).scalar())
+    newest = bars.agg(F.max("day")).scalar()  # of partition values alone
+    return bars.withColumn("last_bar", bars.filter(F.col("day") == newest).agg(F.max("bar")).scalar())

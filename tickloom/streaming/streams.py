@@ -57,50 +57,61 @@ def stream_bars(
     )
 
 
+def _last_of_days(slots: DataFrame) -> DataFrame:
+    """Per day the rows of its last snapshot: all that calendar and universe depend on."""
+    last = slots.groupBy("day").agg(F.max("snap_ts").alias("snap_ts"))
+    return slots.join(last, ["day", "snap_ts"]).select("symbol", "day", "snap_ts").distinct()
+
+
 def bar_table_writer(store: str, tf_minutes: int = 3):
     """A foreachBatch function that keeps a bar table equal to a full reload.
 
-    The slotted rows of a batch are stored under its batch id (a replay replaces them),
-    then the touched days are rebuilt from the stored slots and only their partitions
-    are replaced. A batch with symbols the universe did not have rebuilds all days,
+    The slotted rows of a batch and the symbols of the last snapshots of its days are
+    stored under its batch id (a replay replaces them). Calendar and universe come from
+    the second, small table. Days are rebuilt that the batch touched, that were the
+    newest until now (a newest day ends at its last snapshot), or whose number changed
+    because an earlier day came late; all days if the universe gained or lost a symbol,
     since each day has a row for every symbol.
     """
-    slots, table = f"{store}/slots", f"{store}/bars"
+    slots, lasts, table = f"{store}/slots", f"{store}/lasts", f"{store}/bars"
     per_day = -(-K.SESSION_MINUTES // tf_minutes)
 
+    def add(rows: DataFrame, path: str, *parts: str) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*parts).parquet(path)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        (
-            B.slot_snapshots(batch, tf_minutes)
-            .withColumn("batch", F.lit(batch_id))
-            .repartition("day")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "day")
-            .parquet(slots)
-        )
+        mine = B.slot_snapshots(batch, tf_minutes).withColumn("batch", F.lit(batch_id))
+        add(mine.repartition("day"), slots, "batch", "day")
         stored = spark.read.parquet(slots)
         mine = stored.filter(F.col("batch") == batch_id)
-        if mine.limit(1).isEmpty():
+        touched = {r["day"] for r in mine.select("day").distinct().collect()}  # of one batch, at most the calendar
+        if not touched:
             return
+        add(_last_of_days(mine).withColumn("batch", F.lit(batch_id)), lasts, "batch")
+
+        def state(rows: DataFrame) -> tuple[DataFrame, DataFrame, list]:
+            calendar = B.snapshot_calendar(rows, tf_minutes)
+            return B.symbol_universe(rows, calendar), calendar, [r["day"] for r in calendar.select("day").orderBy("day").collect()]
+
+        seen = spark.read.parquet(lasts)
+        universe, calendar, days = state(seen)
+        old, _, old_days = state(seen.filter(F.col("batch") < batch_id))
+        moved = universe.exceptAll(old).unionByName(old.exceptAll(universe))
+        first_new = min(set(days) - set(old_days), default=None)
+        if not moved.isEmpty():
+            again = days
+        else:
+            again = [d for d in days if d in touched or d == old_days[-1] or (first_new and d >= first_new)]
 
         def latest(c: str):
             return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("snap_ts"))).alias(c)
 
-        seen = stored.select("symbol", "snap_ts", "batch")
-        calendar = B.snapshot_calendar(seen, tf_minutes)
-        universe = B.symbol_universe(seen, calendar)
-        before = seen.filter(F.col("batch") < batch_id)
-        old = B.symbol_universe(before, B.snapshot_calendar(before, tf_minutes))
-        grew = not universe.join(old, "symbol", "left_anti").limit(1).isEmpty()
-        days = (stored if grew else mine).select("day").distinct()
         # The day is a partition of the store: only the rebuilt days' values are read.
-        known = (
-            stored.join(days, "day", "left_semi")
-            .groupBy("symbol", "day", "slot")
-            .agg(latest("vol_cum"), latest("price"))
-        )
-        grid = B.dense_grid(universe, calendar, per_day).join(days, "day", "left_semi")
+        wanted = F.col("day").isin(again)
+        known = stored.filter(wanted).groupBy("symbol", "day", "slot").agg(latest("vol_cum"), latest("price"))
+        grid = B.dense_grid(universe, calendar, per_day).filter(wanted)
         rows = grid.join(known, ["symbol", "day", "slot"], "left")
         sinks.write_bars(B.volume_delta(B.fill_gaps(rows)), table, str(tf_minutes))
 
@@ -118,28 +129,37 @@ class _Average(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         bar, day, cum, ma = self.state.get() if self.state.exists() else (0, None, 0.0, None)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("bar").itertuples(index=False):
-            if r.bar <= bar:  # older than what was already folded in
-                continue
-            vol = r.vol_cum if r.day != day else max(r.vol_cum - cum, 0.0)
-            ma = vol if ma is None else self.alpha * vol + (1 - self.alpha) * ma
-            bar, day, cum = r.bar, r.day, r.vol_cum
-            out.append((key[0], bar, vol, ma))
-        if out:
-            self.state.update((int(bar), day, float(cum), float(ma)))
-        yield pd.DataFrame(out, columns=["symbol", "bar", "volume", "ma"])
+        for part in rows:
+            part = part.sort_values("bar")
+            new = part[part["bar"] > bar]
+            if len(new):
+                cums, before = new["vol_cum"].to_numpy(float), new["day"].shift(1)
+                before.iloc[0] = day
+                same = (before == new["day"]).to_numpy()
+                vol = np.where(same, np.maximum(cums - np.r_[cum, cums[:-1]], 0.0), cums)
+                chain = vol if ma is None else np.r_[ma, vol]
+                mas = pd.Series(chain).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[-len(vol) :]
+                bar, day, cum, ma = int(new["bar"].iloc[-1]), new["day"].iloc[-1], float(cums[-1]), float(mas[-1])
+                self.state.update((bar, day, cum, ma))
+                yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "volume": vol, "ma": mas, "late": False})
+            old = part[~part.index.isin(new.index)]
+            if len(old):
+                yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "volume": np.nan, "ma": np.nan, "late": True})
 
     def close(self) -> None:
         pass
 
 
 def stream_moving_average(bars: DataFrame, kind: str = "rma", n: int = K.FAST_LEN) -> DataFrame:
-    """(symbol, day, bar, vol_cum) stream to per-bar volume and its moving average."""
+    """(symbol, day, bar, vol_cum) stream to per-bar volume and its moving average.
+
+    A bar that is not newer than what was folded in comes out as a row with ``late``
+    set and no values, so that late bars can be counted and reloaded.
+    """
     alpha = 2.0 / (n + 1) if kind == "ema" else 1.0 / n
     rows = bars.select("symbol", F.col("day").cast("string").alias("day"), "bar", "vol_cum")
     return rows.groupBy("symbol").transformWithStateInPandas(
-        _Average(alpha), "symbol STRING, bar INT, volume DOUBLE, ma DOUBLE", "append", "None"
+        _Average(alpha), "symbol STRING, bar INT, volume DOUBLE, ma DOUBLE, late BOOLEAN", "append", "None"
     )
 
 
@@ -191,9 +211,17 @@ def dedup_alerts(alerts: DataFrame, enabled: bool = True, block: int = 100_000)
     )
 
 
-def once_per_scan(trades: DataFrame, ts: str = "ts", scan: str = "3 minutes") -> DataFrame:
-    """Stream guard: one trade per exchange, symbol and signal within a scan's time."""
-    return trades.withWatermark(ts, scan).dropDuplicatesWithinWatermark(["exch", "symbol", "signal"])
+def once_per_scan(deals: DataFrame, ts: str = "ts", scan: str = "3 minutes") -> DataFrame:
+    """Stream guard: one deal per exchange, symbol and signal in each scan, with the start of the scan.
+
+    Scans are the windows of length ``scan``; the next one lets the same deal pass again.
+    """
+    keys = ["exch", "symbol", "signal"]
+    # The deal's own time travels inside a struct: state is dropped by the end of the window alone.
+    deal = F.struct(*[c for c in deals.columns if c not in keys]).alias("deal")
+    rows = deals.withWatermark(ts, scan).select(F.window(ts, scan).alias("window"), *keys, deal)
+    rows = rows.dropDuplicates(["window", *keys])
+    return rows.select(*keys, "deal.*", F.col("window.start").alias("scan_start"))
 
 
 class _Oscillator(StatefulProcessor):
@@ -209,66 +237,86 @@ class _Oscillator(StatefulProcessor):
             "active BOOLEAN, was_long BOOLEAN, was_short BOOLEAN",
         )
 
-    def _trend(self, recent: list, angles: list) -> int:
-        n, x = K.TREND_RANGE, recent[-1]
-        full = len(recent) == n and not np.isnan(recent).any()
-        span = max(recent) - min(recent) if full else np.nan
-        old = recent[-2] if len(recent) > 1 and not np.isnan(recent[-2]) else 0.0
-        steep = K.RAD_TO_DEG * np.arctan((x - old) / span) if full and span else np.nan
-        angles.append(steep)
-        slope = (-angles[-3] + 2 * angles[-2] + 5 * angles[-1]) / 6 if len(angles) > 2 else np.nan
-        if slope >= K.TREND_THRESHOLD or (full and x >= max(recent)):
-            return K.UP
-        return K.DOWN if slope <= -K.TREND_THRESHOLD or (full and x <= min(recent)) else K.FLAT
+    def _trend(self, recent: np.ndarray, angles: np.ndarray, fast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Direction of each new bar, and the angles with the carried ones in front."""
+        n, x = K.TREND_RANGE, pd.Series(np.r_[recent, fast])
+        top, low = (getattr(x.rolling(n), f)().to_numpy()[len(recent) :] for f in ("max", "min"))
+        before = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]]
+        before = np.where(np.isnan(before), 0.0, before)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            steep = K.RAD_TO_DEG * np.arctan((fast - before) / np.where(top > low, top - low, np.nan))
+        angles = np.r_[angles, steep]
+        slope = np.full(len(angles), np.nan)
+        slope[2:] = (-angles[:-2] + 2 * angles[1:-1] + 5 * angles[2:]) / 6
+        slope = slope[-len(fast) :]
+        up = (slope >= K.TREND_THRESHOLD) | (fast >= top)
+        down = (slope <= -K.TREND_THRESHOLD) | (fast <= low)
+        return np.where(up, K.UP, np.where(down, K.DOWN, K.FLAT)), angles
+
+    @staticmethod
+    def _latch(go: np.ndarray, stop: np.ndarray, active: bool) -> np.ndarray:
+        """On at go, off at stop, turned where both meet: turns are counted since the last plain step."""
+        at = np.arange(len(go))
+        plain = go != stop
+        last = np.maximum.accumulate(np.where(plain, at, -1))
+        turns = np.cumsum(go & stop)
+        start = np.where(last >= 0, go[last], active)
+        return start ^ ((turns - np.where(last >= 0, turns[last], 0)) % 2 == 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         start = (0, [], [], np.nan, False, False, False)
         bar, recent, angles, sig, active, was_l, was_s = self.state.get() if self.state.exists() else start
-        recent, angles = list(recent), list(angles)
-        out = []
-        for r in pd.concat(list(rows)).sort_values("bar").itertuples(index=False):
-            if r.bar <= bar:
-                continue
-            old, fast = (recent[-1] if recent else np.nan), r.fast
-            recent = (recent + [fast])[-K.TREND_RANGE :]
-            trend = self._trend(recent, angles)
-            angles = angles[-2:]
-            above = fast >= r.sig
-            crossed = (fast > r.sig and old <= sig) or (fast < r.sig and old >= sig)
-            buy, sell = above and fast >= self.center, not above and fast < self.center
-            go_l, go_s = buy and trend == K.UP, sell and trend == K.DOWN and self.short_ok
-            stop = not (buy or sell) or crossed
-            was = active
-            active = True if (go_l or go_s) and not was else (False if stop else was)
-            long, short = buy and active, sell and active
-            code = (
-                K.EXIT_LONG if stop and was_l
-                else K.EXIT_SHORT if stop and was_s
-                else K.ENTER_LONG if go_l and not was
-                else K.ENTER_SHORT if go_s and not was
-                else K.LONG if long
-                else K.SHORT if short
-                else K.NEUTRAL
-            )
-            bar, sig, was_l, was_s = r.bar, r.sig, long, short
-            out.append((key[0], bar, code))
-        if out:
-            self.state.update(
-                (int(bar), [float(v) for v in recent], [float(v) for v in angles], float(sig), bool(active), bool(was_l), bool(was_s))
-            )
-        yield pd.DataFrame(out, columns=["symbol", "bar", "code"])
+        recent, angles = np.array(recent, float), np.array(angles, float)
+        for part in rows:
+            part = part.sort_values("bar")
+            new = part[part["bar"] > bar]
+            if len(new):
+                fast, sigs = new["fast"].to_numpy(float), new["sig"].to_numpy(float)
+                trend, angles = self._trend(recent, angles, fast)
+                old_fast, old_sig = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]], np.r_[sig, sigs[:-1]]
+                above = fast >= sigs
+                crossed = ((fast > sigs) & (old_fast <= old_sig)) | ((fast < sigs) & (old_fast >= old_sig))
+                buy, sell = above & (fast >= self.center), ~above & (fast < self.center)
+                go_l, go_s = buy & (trend == K.UP), sell & (trend == K.DOWN) & self.short_ok
+                stop = ~(buy | sell) | crossed
+                on = self._latch(go_l | go_s, stop, active)
+                was = np.r_[active, on[:-1]]
+                long, short = buy & on, sell & on
+                had_l, had_s = np.r_[was_l, long[:-1]], np.r_[was_s, short[:-1]]
+                code = np.select(
+                    [stop & had_l, stop & had_s, go_l & ~was, go_s & ~was, long, short],
+                    [K.EXIT_LONG, K.EXIT_SHORT, K.ENTER_LONG, K.ENTER_SHORT, K.LONG, K.SHORT],
+                    K.NEUTRAL,
+                )
+                bar, sig, active = int(new["bar"].iloc[-1]), float(sigs[-1]), bool(on[-1])
+                was_l, was_s = bool(long[-1]), bool(short[-1])
+                recent, angles = np.r_[recent, fast][-K.TREND_RANGE :], angles[-2:]
+                self.state.update((bar, recent.tolist(), angles.tolist(), sig, active, was_l, was_s))
+                yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "code": code, "late": False})
+            old = part[~part.index.isin(new.index)]
+            if len(old):
+                yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "code": None, "late": True})
 
     def close(self) -> None:
         pass
 
 
 def stream_osc_signal(rows: DataFrame, center: float = 0.0, short_ok: bool = True) -> DataFrame:
-    """(symbol, bar, fast, sig) of closed bars to signal codes; state is 20 values per symbol."""
+    """(symbol, bar, fast, sig) of closed bars to signal codes; state is 20 values per symbol.
+
+    Late bars come out with ``late`` set and no code, as in ``stream_moving_average``.
+    """
     return rows.select("symbol", "bar", "fast", "sig").groupBy("symbol").transformWithStateInPandas(
-        _Oscillator(center, short_ok), "symbol STRING, bar INT, code INT", "append", "None"
+        _Oscillator(center, short_ok), "symbol STRING, bar INT, code INT, late BOOLEAN", "append", "None"
     )
 
 
+def follow(stream: DataFrame, write, checkpoint: str, live: bool = True):
+    """Start a foreachBatch job: at the polling cadence, or once over what is there."""
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(CADENCE if live else {"availableNow": True})).start()
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, output: T.StructType | None = None) -> DataFrame:
     """Process what is there, into Parquet; a rerun continues from the checkpoint."""
     q = (
