@@ -29,8 +29,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Four standard deviations of the estimate below the threshold.
 ESTIMATE = 0.65
-#: Nodes of a band that are drawn first.
-HUBS = 8
+#: Nodes around a class that are drawn first.
+HUBS = 512
 STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -155,10 +155,11 @@ def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
     """Verified links (a, b) between nodes that share bands.
 
     First every node of a band is paired with its hub, the node that shares the most bands with others, as
-    the text does that the others were made of. What the links so far connect with the hub then leaves the
-    band. Of the rest, a few nodes drawn by hash are paired with all that are not yet in their class, then
-    eight times as many, until every node has been drawn, so no pair of the rest is left out. A band whose
-    texts are alike thus makes as many pairs as it has nodes, not their square.
+    the text does that the others were made of. So a band whose texts are alike makes as many pairs as it
+    has nodes, not their square. What the links so far connect with the hub is then done. The rest of all
+    bands around one class is gathered, and nodes of it that are drawn by hash are paired with all that are
+    not yet in their class, in each round eight times as many, until every node has been drawn: no pair of
+    the rest is left out.
     """
     rows = stored(banded(reps), "bands")
     popular = rows.groupBy("node").agg(F.sum("n").alias("pop"))
@@ -172,13 +173,13 @@ def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
         tree = stored(components(found), "tree")
         root = lambda c, name: tree.select(F.col("node").alias(c), F.col("root").alias(name))
         rest = rows.join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
-        rest = rest.select("band", "node", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("rh"))
-        rest = stored(rest.where("class <> rh").drop("rh"), "rest")
-        sizes = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-        share = F.pmod(F.xxhash64("band", "node"), F.lit(1 << 30)) / float(1 << 30)
-        rest = rest.join(sizes.select("band", "n"), "band").withColumn("drawn", share < drawn / F.col("n"))
-        other = rest.where("drawn").select("band", F.col("node").alias("other"), F.col("class").alias("oc"))
-        met = rest.join(other, "band").where("class <> oc AND (NOT drawn OR node < other)")
+        rest = rest.select("node", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("around"))
+        rest = stored(rest.where("class <> around").distinct(), "rest")
+        sizes = rest.groupBy("around").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+        share = F.pmod(F.xxhash64("around", "node"), F.lit(1 << 30)) / float(1 << 30)
+        rest = rest.join(sizes.select("around", "n"), "around").withColumn("drawn", share < drawn / F.col("n"))
+        other = rest.where("drawn").select("around", F.col("node").alias("other"), F.col("class").alias("oc"))
+        met = rest.join(other, "around").where("class <> oc AND (NOT drawn OR node < other)")
         pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
