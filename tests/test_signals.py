@@ -1,4 +1,4 @@
-"""Signal machines, trades, zones and extremes against bar-by-bar loops."""
+"""Signal machines, deals, zones and extremes against bar-by-bar loops."""
 
 import random
 
@@ -102,18 +102,18 @@ def test_confirmation_ladder(spark, level):
         assert [r.confirmed for r in got[s]] == want
 
 
-def test_trades(spark):
+def test_deals(spark):
     rows = [("A", b, c, k) for b, (c, k) in enumerate(
         [(10.0, 0), (10.0, 3), (12.0, 1), (11.0, 5), (11.0, 0), (20.0, 4), (16.0, 2), (25.0, 6), (25.0, 3), (30.0, 1)], 1)]
     df = spark.createDataFrame(rows, "symbol STRING, bar INT, close DOUBLE, code INT")
-    led = G.trade_ledger(df).orderBy("trade").collect()
+    led = G.deal_ledger(df).orderBy("deal").collect()
     assert [(r.entry, round(r.profit, 4), round(r.max_profit, 4), r.closed) for r in led] == [
         (10, 10, 20, True), (20, -20, 25, True), (25, 20, 20, False)
     ]
-    closed = G.trade_stats(G.trade_ledger(df), count_open=False).first()
-    assert (closed.trades, closed.wins, round(closed.total_max_profit, 4)) == (2, 1, 45)
-    every = G.trade_stats(G.trade_ledger(df)).first()
-    assert (every.trades, every.wins) == (3, 2)
+    closed = G.deal_stats(G.deal_ledger(df), count_open=False).first()
+    assert (closed.deals, closed.wins, round(closed.total_max_profit, 4)) == (2, 1, 45)
+    every = G.deal_stats(G.deal_ledger(df)).first()
+    assert (every.deals, every.wins) == (3, 2)
     s = spark.createDataFrame([(4.0, 1.0), (0.0, 0.0)], "m DOUBLE, p DOUBLE")
     assert [r.x for r in s.select(G.profit_strength(F.col("m"), F.col("p")).alias("x")).collect()] == [25, 100]
 

@@ -197,7 +197,7 @@ def ohlc_bars(
 ) -> DataFrame:
     """Right-closed OHLCV bars from ticks (symbol, ts, price, size, seq).
 
-    ``seq`` is the running trade number; one long orders trades, so the aggregation
+    ``seq`` is the running deal number; one long orders deals, so the aggregation
     keeps fixed-width buffers and needs no sort.
     Only bars that traded exist. ``bar`` numbers them per symbol from 1. One map-side
     combined aggregation; the numbering window sees one row per bar of the calendar.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.ranking import range_numbers
+
 OTHERS = "OTHERS"
 
 
@@ -53,8 +55,7 @@ def category_counts(assigned: DataFrame) -> DataFrame:
 
 def category_matrix(assigned: DataFrame, categories: list[str]) -> DataFrame:
     """One column per category, symbols sorted downwards, padded with ''."""
-    w = Window.partitionBy("category").orderBy("symbol")
-    placed = assigned.withColumn("row", F.row_number().over(w))
+    placed = range_numbers(assigned, "category", [F.col("symbol")], "row")
     wide = placed.groupBy("row").pivot("category", categories).agg(F.first("symbol"))
     return wide.na.fill("", categories)
 

@@ -1,7 +1,7 @@
 """Moving averages and oscillators as window columns.
 
 Input: one row per (symbol, bar). The bar builders guarantee that, so a window over
-one symbol holds as many rows as the calendar has bars, however many trades the
+one symbol holds as many rows as the calendar has bars, however many deals the
 symbol had. All columns of a chain share one partitioning and one sort order.
 """
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.ranking import range_numbers
+
 
 def read_daily_panel(df: DataFrame, value_col: str, ltp_col: str = "ltp") -> DataFrame:
     """Daily files (symbol, day, ...) to the panel; the latest price of a symbol is kept too."""
@@ -30,9 +32,9 @@ def ltp_latest_filter(panel: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def daily_percentile(panel: DataFrame) -> DataFrame:
     """100 for the highest value of a day, falling by equal steps; ties by symbol."""
-    day = Window.partitionBy("day_idx")
-    rank = F.row_number().over(day.orderBy(F.desc("value"), "symbol")) - 1
-    return panel.withColumn("percentile", 100.0 * (1.0 - rank / F.count("*").over(day)))
+    ranked = range_numbers(panel, "day_idx", [F.desc("value"), F.col("symbol")], "_place", "_of")
+    share = (F.col("_place") - 1) / F.col("_of")
+    return ranked.withColumn("percentile", 100.0 * (1.0 - share)).drop("_place", "_of")
 
 
 def percentile_ewma(

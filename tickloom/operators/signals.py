@@ -1,4 +1,4 @@
-"""Signal codes, trades and alert tables from bars with indicators.
+"""Signal codes, deals and alert tables from bars with indicators.
 
 Each machine is a set/reset/toggle flag over bars, evaluated by windows (see
 ``latched``), so every step stays on the symbol partitioning of the indicators.
@@ -261,7 +261,7 @@ def confirm_signal(
 
     The bar after an entry fixes the first trigger: the high of three bars plus the
     average range (mirrored for shorts). A close beyond it makes that bar's high the
-    next trigger. Each trade is its own window partition, so the carried prices are
+    next trigger. Each deal is its own window partition, so the carried prices are
     plain first values.
     """
     df = I.atr(df, K.TRIGGER_ATR_LEN, "_atr")
@@ -269,30 +269,30 @@ def confirm_signal(
         {
             "_hi3": F.greatest("high", I.prev("high", 1), I.prev("high", 2)) + F.col("_atr"),
             "_lo3": F.least("low", I.prev("low", 1), I.prev("low", 2)) - F.col("_atr"),
-            "_trade": F.sum(F.col(code).isin(K.ENTER_LONG, K.ENTER_SHORT).cast("int")).over(I.so_far()),
+            "_deal": F.sum(F.col(code).isin(K.ENTER_LONG, K.ENTER_SHORT).cast("int")).over(I.so_far()),
         }
     )
-    trade = growing("symbol", "_trade", order="bar")
+    deal = growing("symbol", "_deal", order="bar")
     is_exit = F.col(code).isin(K.EXIT_LONG, K.EXIT_SHORT)
     df = df.withColumns(
         {
-            "_k": F.count("*").over(trade),
-            "_long": F.first(F.col(code) == K.ENTER_LONG).over(trade),
-            "_done": F.sum(is_exit.cast("int")).over(trade),
+            "_k": F.count("*").over(deal),
+            "_long": F.first(F.col(code) == K.ENTER_LONG).over(deal),
+            "_done": F.sum(is_exit.cast("int")).over(deal),
         }
     )
-    live = (F.col("_trade") > 0) & (F.col("_done") == 0)
+    live = (F.col("_deal") > 0) & (F.col("_done") == 0)
     start = F.when((F.col("_k") == 2) & live, F.when(F.col("_long"), F.col("_hi3")).otherwise(F.col("_lo3")))
-    df = df.withColumn("_level", F.first(start, ignorenulls=True).over(trade))
+    df = df.withColumn("_level", F.first(start, ignorenulls=True).over(deal))
     reach = F.when(F.col("_long"), F.col("high")).otherwise(F.col("low"))
     for step in range(level):
         beyond = F.when(F.col("_long"), F.col(c) > F.col("_level")).otherwise(F.col(c) < F.col("_level"))
         df = df.withColumn("_hit", _t(beyond & live))
         if step < level - 1:
             df = df.withColumn(
-                "_level", F.first(F.when(F.col("_hit"), reach), ignorenulls=True).over(trade)
+                "_level", F.first(F.when(F.col("_hit"), reach), ignorenulls=True).over(deal)
             )
-    df = df.withColumn("_hits", F.sum(F.col("_hit").cast("int")).over(trade))
+    df = df.withColumn("_hits", F.sum(F.col("_hit").cast("int")).over(deal))
     held = F.col("_hits") > 0
     first = F.col("_hit") & (F.col("_hits") == 1)
     longs = F.col("_long")
@@ -304,21 +304,21 @@ def confirm_signal(
     )
     # A repeated hit while the position is held is not counted again.
     return df.withColumn(out, value).drop(
-        "_atr", "_hi3", "_lo3", "_trade", "_k", "_long", "_done", "_level", "_hit", "_hits"
+        "_atr", "_hi3", "_lo3", "_deal", "_k", "_long", "_done", "_level", "_hit", "_hits"
     )
 
 
-# --- trades -----------------------------------------------------------------------
+# --- deals -----------------------------------------------------------------------
 
 
-def trade_marks(df: DataFrame, code: str = "code", c: str = "close") -> DataFrame:
-    """Per bar: trade number, entry price, running profit % and its maximum so far.
+def deal_marks(df: DataFrame, code: str = "code", c: str = "close") -> DataFrame:
+    """Per bar: deal number, entry price, running profit % and its maximum so far.
 
     Long profit is relative to the entry, short profit to the current price.
     """
     entry = F.col(code).isin(K.ENTER_LONG, K.ENTER_SHORT)
-    df = df.withColumn("trade", F.sum(entry.cast("int")).over(I.so_far()))
-    seg = growing("symbol", "trade", order="bar")
+    df = df.withColumn("deal", F.sum(entry.cast("int")).over(I.so_far()))
+    seg = growing("symbol", "deal", order="bar")
     is_exit = F.col(code).isin(K.EXIT_LONG, K.EXIT_SHORT)
     df = df.withColumns(
         {
@@ -326,24 +326,24 @@ def trade_marks(df: DataFrame, code: str = "code", c: str = "close") -> DataFram
             "_ended": F.sum(is_exit.cast("int")).over(seg),
         }
     )
-    in_trade = (
-        (F.col("trade") > 0)
+    in_deal = (
+        (F.col("deal") > 0)
         & (F.col(code) != K.NEUTRAL)
         & ((F.col("_ended") == 0) | (is_exit & (F.col("_ended") == 1)))
     )
     long_side = F.col(code).isin(K.ENTER_LONG, K.LONG, K.EXIT_LONG)
     bought = F.when(long_side, F.col("_p")).otherwise(F.col(c))
     sold = F.when(long_side, F.col(c)).otherwise(F.col("_p"))
-    df = df.withColumns({"entry": F.when(in_trade, F.col("_p")), "in_trade": in_trade})
-    df = df.withColumn("profit", F.when(in_trade, (sold - bought) * 100 / bought))
+    df = df.withColumns({"entry": F.when(in_deal, F.col("_p")), "in_deal": in_deal})
+    df = df.withColumn("profit", F.when(in_deal, (sold - bought) * 100 / bought))
     best = F.max(F.greatest("profit", F.lit(0.0))).over(seg)
-    return df.withColumn("max_profit", F.when(F.col("in_trade"), best)).drop("_p", "_ended")
+    return df.withColumn("max_profit", F.when(F.col("in_deal"), best)).drop("_p", "_ended")
 
 
-def trade_ledger(df: DataFrame, code: str = "code", c: str = "close") -> DataFrame:
-    """One row per trade; ``closed`` is false for a trade still open on the last bar."""
-    rows = trade_marks(df, code, c).filter("in_trade")
-    return rows.groupBy("symbol", "trade").agg(
+def deal_ledger(df: DataFrame, code: str = "code", c: str = "close") -> DataFrame:
+    """One row per deal; ``closed`` is false for a deal still open on the last bar."""
+    rows = deal_marks(df, code, c).filter("in_deal")
+    return rows.groupBy("symbol", "deal").agg(
         F.min("bar").alias("entry_bar"),
         F.max("bar").alias("last_bar"),
         F.first("entry").alias("entry"),
@@ -353,11 +353,11 @@ def trade_ledger(df: DataFrame, code: str = "code", c: str = "close") -> DataFra
     )
 
 
-def trade_stats(ledger: DataFrame, symbols: DataFrame | None = None, count_open: bool = True) -> DataFrame:
-    """Trades, wins and summed maximum profit per symbol (symbols without trades: zeros)."""
+def deal_stats(ledger: DataFrame, symbols: DataFrame | None = None, count_open: bool = True) -> DataFrame:
+    """Deals, wins and summed maximum profit per symbol (symbols without deals: zeros)."""
     counted = F.lit(True) if count_open else F.col("closed")
     per = ledger.groupBy("symbol").agg(
-        F.count_if(counted).alias("trades"),
+        F.count_if(counted).alias("deals"),
         F.count_if(counted & (F.col("profit") >= 0)).alias("wins"),
         F.sum(F.when(counted, F.col("max_profit")).otherwise(0.0)).alias("total_max_profit"),
     )
@@ -368,11 +368,11 @@ def trade_stats(ledger: DataFrame, symbols: DataFrame | None = None, count_open:
 
 def stats_table(stats: DataFrame, sort: str = "total_max_profit", order: str = "desc") -> DataFrame:
     """Statistics with averages and a Total row whose ratios come from the sums."""
-    t = F.col("trades")
+    t = F.col("deals")
     rows = (
         stats.rollup("symbol")
         .agg(
-            F.sum("trades").alias("trades"),
+            F.sum("deals").alias("deals"),
             F.sum("wins").alias("wins"),
             F.sum("total_max_profit").alias("total_max_profit"),
             F.grouping("symbol").alias("is_total"),
@@ -380,7 +380,7 @@ def stats_table(stats: DataFrame, sort: str = "total_max_profit", order: str = "
         .select(
             F.when(F.col("is_total") == 1, "Total").otherwise(F.col("symbol")).alias("symbol"),
             "is_total",
-            "trades",
+            "deals",
             F.round("total_max_profit", 2).alias("total_max_profit"),
             F.round(F.when(t == 0, 0.0).otherwise(F.col("total_max_profit") / t), 2).alias("avg_max_profit"),
             F.round(F.when(t == 0, 0.0).otherwise(F.col("wins") / t), 2).alias("win_rate"),
@@ -406,7 +406,7 @@ def scan_signals(df: DataFrame, code: str = "code", c: str = "close", ts: str =
     """State of every symbol on its last bar (needs ma1..ma4 for the lineup)."""
     from tickloom.operators.bars import last_signal_time
 
-    marked = last_signal_time(trade_marks(df, code, c), code, ts)
+    marked = last_signal_time(deal_marks(df, code, c), code, ts)
     over = F.col(code).isin(K.EXIT_LONG, K.EXIT_SHORT)
 
     def shown(col: str) -> Column:

@@ -158,7 +158,7 @@ def order_tickets(
         F.when(F.col("route") == "UNDERLYING_ALERT", F.col("signal")).otherwise(F.col("final_signal")),
     )
     t = price_levels(t, "raw_price", "ladder_side", is_opt & (F.col("route") == "SUPER"), ladder)
-    sized = order_quantity(F.col("trade_amount"), F.col("entry"), F.col("lot"), F.col("quant"))
+    sized = order_quantity(F.col("deal_amount"), F.col("entry"), F.col("lot"), F.col("quant"))
     operator = F.when(F.col("ladder_side") == "BUY", "GREATER_THAN").otherwise("LESS_THAN")
     alert = F.col("route").isin("ALERT", "UNDERLYING_ALERT")
     return t.withColumns(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
+from tickloom.operators.scoring import read_daily_panel
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One poll per minute and traded symbol: cumulative size of the day and last price.
 
-    Trades are folded to one row per symbol and minute first, so the running sum
+    Deals are folded to one row per symbol and minute first, so the running sum
     covers at most a day of minutes.
     """
     t = ticks(spark, sf_dir)
@@ -63,8 +64,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("l_quantity").alias("value"),
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("ltp"),
     )
-    days = li.select(F.to_date("l_shipdate").alias("day"))
-    return daily.join(B.day_numbers(days), "day")
+    return read_daily_panel(daily, "value")
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tickloom.plans import (  # noqa: F401
     source_queries,
     stream_queries,
     structure_queries,
-    trade_queries,
+    deal_queries,
 )
 from tickloom.plans.registry import QUERIES, SQL
 

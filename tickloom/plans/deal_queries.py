@@ -459,7 +459,7 @@ def _settings(spark, d):
         F.when(F.col("n_regionkey") == 1, "OPT").alias("order_mode"),
         F.when(F.col("n_regionkey") == 2, "2024-07-01").alias("expiry"),
         F.when(F.col("n_regionkey") == 3, 3).alias("quantity"),
-        *[F.lit(None).cast("double").alias(c) for c in ("trade_amount", "call_strike", "put_strike", "any_strike")],
+        *[F.lit(None).cast("double").alias(c) for c in ("deal_amount", "call_strike", "put_strike", "any_strike")],
     ).filter("grp IS NOT NULL")
     r = A.table(spark, d, "region").filter("r_regionkey < 2")
     first = F.col("r_regionkey") == 0
@@ -471,11 +471,11 @@ def _settings(spark, d):
         F.when(first, "FUT").otherwise("EQ").alias("order_mode"),
         F.lit(None).cast("string").alias("expiry"),
         F.lit(None).cast("int").alias("quantity"),
-        F.when(~first, 60000.0).alias("trade_amount"),
+        F.when(~first, 60000.0).alias("deal_amount"),
         *[F.lit(None).cast("double").alias(c) for c in ("call_strike", "put_strike", "any_strike")],
     )
     defaults = {
-        "order_mode": "NA", "expiry": "2024-03-04", "quantity": 1, "trade_amount": 50000.0,
+        "order_mode": "NA", "expiry": "2024-03-04", "quantity": 1, "deal_amount": 50000.0,
         "call_strike": None, "put_strike": None, "any_strike": None,
     }
     return sym, grp, defaults
@@ -485,7 +485,7 @@ SETTINGS_SQL = """sig AS (SELECT o_orderkey AS ticket_id, CASE WHEN c_nationkey
   CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS signal, CASE WHEN o_orderstatus = 'O' THEN 4 ELSE 1 END AS quant, o_totalprice / 500 AS price FROM orders JOIN customer ON o_custkey = c_custkey),
 cfg AS MATERIALIZED (SELECT *, exch = 'NSE' AND rk = 0 AS is_index, CASE WHEN exch = 'MCX' THEN 'NA' WHEN rk = 0 THEN 'FUT' WHEN rk = 1 THEN 'OPT' ELSE 'EQ' END AS order_mode,
   CASE WHEN exch = 'NSE' AND rk = 2 THEN '2024-07-01' ELSE '2024-03-04' END AS expiry, CASE WHEN exch = 'NSE' AND rk = 3 THEN 3 ELSE 1 END AS quantity,
-  CASE WHEN exch = 'NSE' AND rk > 0 THEN 60000.0 ELSE 50000.0 END AS trade_amount FROM sig)"""
+  CASE WHEN exch = 'NSE' AND rk > 0 THEN 60000.0 ELSE 50000.0 END AS deal_amount FROM sig)"""
 
 
 def _signals(spark, d):
@@ -502,12 +502,12 @@ def _signals(spark, d):
 
 @query(
     "resolve_settings",
-    f"WITH {SETTINGS_SQL} SELECT ticket_id, order_mode, expiry, quantity, trade_amount, is_index FROM cfg",
-    r="trade_amount",
+    f"WITH {SETTINGS_SQL} SELECT ticket_id, order_mode, expiry, quantity, deal_amount, is_index FROM cfg",
+    r="deal_amount",
 )
 def resolve_settings(spark, d):
     out = N.resolve_settings(_signals(spark, d), *_settings(spark, d))
-    return out.select("ticket_id", "order_mode", "expiry", "quantity", "trade_amount", "is_index")
+    return out.select("ticket_id", "order_mode", "expiry", "quantity", "deal_amount", "is_index")
 
 
 TICKETS_SQL = f"""WITH {INDEX_SQL}, {SETTINGS_SQL},
@@ -526,7 +526,7 @@ s5 AS (SELECT t.*, coalesce(a.security_id, b.security_id, b2.security_id) AS id,
   LEFT JOIN contracts b2 ON b.security_id IS NULL AND t.seg = 'OPTSTK' AND b2.exch = t.exch AND b2.inst = t.seg AND b2.symbol = t.symbol AND b2.expiry = t.ue AND b2.strike = t.mk AND t.mk <> t.k AND b2.opt_type = t.ot),
 s6 AS (SELECT *, CASE WHEN side = 'BUY' THEN ceil(price * (1 + 0.13::DOUBLE / 100)) ELSE floor(price * (1 - 0.13::DOUBLE / 100)) END AS entry FROM s5 WHERE id IS NOT NULL)
 SELECT ticket_id, id AS security_id, side, fell AS fell_back, CASE WHEN seg = 'OPTSTK' THEN 'SIMPLE' ELSE 'SUPER' END AS route, entry,
-  CAST(CASE WHEN seg = 'OPTSTK' THEN q * lot ELSE ceil(trade_amount / (entry * lot)) * lot END AS BIGINT) AS quantity,
+  CAST(CASE WHEN seg = 'OPTSTK' THEN q * lot ELSE ceil(deal_amount / (entry * lot)) * lot END AS BIGINT) AS quantity,
   CASE WHEN side = 'BUY' THEN ceil(entry * (1 + 4.0::DOUBLE / 100)) ELSE floor(entry * (1 - 4.0::DOUBLE / 100)) END AS target,
   'NSE_' || CASE WHEN seg = 'EQUITY' THEN 'EQ' ELSE 'FNO' END AS exchange_seg FROM s6"""
 

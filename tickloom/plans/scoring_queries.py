@@ -227,18 +227,22 @@ def category_counts(spark, d):
     return C.category_counts(C.assign_categories(_universe(spark, d), A.index_members(spark, d), True))
 
 
+# The names of all lists in the given tables.
+NAMES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", *(f"NATION_{i}" for i in range(25)), "OTHERS"]
+
+
 @query(
     "category_matrix",
-    f"""{M}, {ASSIGN_MULTI}, placed AS (SELECT category, symbol, row_number() OVER (PARTITION BY category ORDER BY symbol) AS row FROM assigned
-      WHERE category IN ('ASIA', 'EUROPE', 'OTHERS'))
-    SELECT CAST(row AS INT) AS row, coalesce(max(symbol) FILTER (category = 'ASIA'), '') AS "ASIA",
-      coalesce(max(symbol) FILTER (category = 'EUROPE'), '') AS "EUROPE",
-      coalesce(max(symbol) FILTER (category = 'OTHERS'), '') AS "OTHERS" FROM placed GROUP BY row""",
+    f"""{M}, {ASSIGN_MULTI}, placed AS (SELECT category, symbol, row_number() OVER (PARTITION BY category ORDER BY symbol) AS row FROM assigned)
+    SELECT row, """
+    + ", ".join(f"""coalesce(max(symbol) FILTER (category = '{c}'), '') AS "{c}\"""" for c in NAMES)
+    + " FROM placed GROUP BY row",
 )
 def category_matrix(spark, d):
-    names = ["ASIA", "EUROPE", "OTHERS"]
-    a = C.assign_categories(_universe(spark, d), A.index_members(spark, d), False)
-    return C.category_matrix(a.filter(F.col("category").isin(names)), names)
+    members = A.index_members(spark, d)
+    # The names of the lists are the columns, so there are as many as someone reads.
+    names = [r["index_name"] for r in members.select("index_name").distinct().orderBy("index_name").collect()]
+    return C.category_matrix(C.assign_categories(_universe(spark, d), members, False), [*names, "OTHERS"])
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Signal machines, trades and alert tables over hourly bars."""
+"""Signal machines, deals and alert tables over hourly bars."""
 
 from __future__ import annotations
 
@@ -183,59 +183,59 @@ for _level in (1, 2, 3):
     )
 
 
-# --- trades -------------------------------------------------------------------------
+# --- deals -------------------------------------------------------------------------
 
-# Trades of the RSI machine: one trade per entry, up to its exit.
-TRADES = """, t0 AS (SELECT *, sum(CASE WHEN code IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS trade FROM TOP),
-e AS (SELECT symbol, trade, min(bar) AS entry_bar, arg_min(close, bar) AS p, min(bar) FILTER (code IN (5, 6)) AS exit_bar FROM t0 WHERE trade > 0 GROUP BY 1, 2),
+# Deals of the RSI machine: one deal per entry, up to its exit.
+DEALS = """, t0 AS (SELECT *, sum(CASE WHEN code IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS deal FROM TOP),
+e AS (SELECT symbol, deal, min(bar) AS entry_bar, arg_min(close, bar) AS p, min(bar) FILTER (code IN (5, 6)) AS exit_bar FROM t0 WHERE deal > 0 GROUP BY 1, 2),
 marks AS MATERIALIZED (SELECT t0.*, e.p, e.entry_bar, CASE WHEN code IN (1, 3, 5) THEN (close - p) * 100 / p ELSE (p - close) * 100 / close END AS profit
-  FROM t0 JOIN e USING (symbol, trade) WHERE code <> 0 AND bar <= coalesce(exit_bar, bar)),
-ledger AS MATERIALIZED (SELECT symbol, CAST(trade AS BIGINT) AS trade, min(bar) AS entry_bar, max(bar) AS last_bar, any_value(p) AS entry, arg_max(profit, bar) AS profit,
+  FROM t0 JOIN e USING (symbol, deal) WHERE code <> 0 AND bar <= coalesce(exit_bar, bar)),
+ledger AS MATERIALIZED (SELECT symbol, CAST(deal AS BIGINT) AS deal, min(bar) AS entry_bar, max(bar) AS last_bar, any_value(p) AS entry, arg_max(profit, bar) AS profit,
   greatest(max(profit), 0) AS max_profit, bool_or(code IN (5, 6)) AS closed FROM marks GROUP BY 1, 2),
-stats AS MATERIALIZED (SELECT s.symbol, count(trade) AS trades, count(*) FILTER (profit >= 0) AS wins, coalesce(sum(max_profit), 0) AS total_max_profit
+stats AS MATERIALIZED (SELECT s.symbol, count(deal) AS deals, count(*) FILTER (profit >= 0) AS wins, coalesce(sum(max_profit), 0) AS total_max_profit
   FROM (SELECT DISTINCT symbol FROM hourly) s LEFT JOIN ledger USING (symbol) GROUP BY 1)"""
 
 
-def _rsi_trades_sql(select: str) -> str:
+def _rsi_deals_sql(select: str) -> str:
     c = Chain().rsi_osc().osc("rsi_fast", "rsi_sig", "code", 50)
-    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in c.parts) + TRADES.replace("TOP", c.top) + f" SELECT {select}"
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in c.parts) + DEALS.replace("TOP", c.top) + f" SELECT {select}"
 
 
 def _rsi_bars(spark, d):
     return G.rsi_signal(A.hourly(spark, d), out="code")
 
 
-@query("trade_marks", _rsi_trades_sql(
-    "symbol, bar, p AS entry, profit, greatest(max(profit) OVER (PARTITION BY symbol, trade ORDER BY bar ROWS UNBOUNDED PRECEDING), 0) AS max_profit FROM marks"
+@query("deal_marks", _rsi_deals_sql(
+    "symbol, bar, p AS entry, profit, greatest(max(profit) OVER (PARTITION BY symbol, deal ORDER BY bar ROWS UNBOUNDED PRECEDING), 0) AS max_profit FROM marks"
 ), r="entry profit max_profit")
-def trade_marks(spark, d):
-    m = G.trade_marks(_rsi_bars(spark, d)).filter("in_trade")
+def deal_marks(spark, d):
+    m = G.deal_marks(_rsi_bars(spark, d)).filter("in_deal")
     return m.select("symbol", "bar", "entry", "profit", "max_profit")
 
 
-@query("trade_ledger", _rsi_trades_sql("* FROM ledger"), r="entry profit max_profit")
-def trade_ledger(spark, d):
-    return G.trade_ledger(_rsi_bars(spark, d))
+@query("deal_ledger", _rsi_deals_sql("* FROM ledger"), r="entry profit max_profit")
+def deal_ledger(spark, d):
+    return G.deal_ledger(_rsi_bars(spark, d))
 
 
-@query("trade_stats", _rsi_trades_sql("* FROM stats"), r="total_max_profit")
-def trade_stats(spark, d):
+@query("deal_stats", _rsi_deals_sql("* FROM stats"), r="total_max_profit")
+def deal_stats(spark, d):
     bars = _rsi_bars(spark, d)
     symbols = A.ticks(spark, d).select("symbol").distinct()
-    return G.trade_stats(G.trade_ledger(bars), symbols)
+    return G.deal_stats(G.deal_ledger(bars), symbols)
 
 
-STATS_TABLE = """symbol, CAST(g AS INT) AS is_total, CAST(trades AS BIGINT) AS trades, round(mp, 2) AS total_max_profit,
-  round(CASE WHEN trades = 0 THEN 0 ELSE mp / trades END, 2) AS avg_max_profit, round(CASE WHEN trades = 0 THEN 0 ELSE wins / trades END, 2) AS win_rate
-  FROM (SELECT symbol, 0 AS g, trades, wins, total_max_profit AS mp FROM stats
-        UNION ALL SELECT 'Total', 1, sum(trades), sum(wins), sum(total_max_profit) FROM stats)"""
+STATS_TABLE = """symbol, CAST(g AS INT) AS is_total, CAST(deals AS BIGINT) AS deals, round(mp, 2) AS total_max_profit,
+  round(CASE WHEN deals = 0 THEN 0 ELSE mp / deals END, 2) AS avg_max_profit, round(CASE WHEN deals = 0 THEN 0 ELSE wins / deals END, 2) AS win_rate
+  FROM (SELECT symbol, 0 AS g, deals, wins, total_max_profit AS mp FROM stats
+        UNION ALL SELECT 'Total', 1, sum(deals), sum(wins), sum(total_max_profit) FROM stats)"""
 
 
-@query("stats_table", _rsi_trades_sql(STATS_TABLE), r="total_max_profit avg_max_profit win_rate")
+@query("stats_table", _rsi_deals_sql(STATS_TABLE), r="total_max_profit avg_max_profit win_rate")
 def stats_table(spark, d):
     bars = _rsi_bars(spark, d)
     symbols = A.ticks(spark, d).select("symbol").distinct()
-    out = G.stats_table(G.trade_stats(G.trade_ledger(bars), symbols))
+    out = G.stats_table(G.deal_stats(G.deal_ledger(bars), symbols))
     return out.withColumn("is_total", F.col("is_total").cast("int"))
 
 
@@ -248,7 +248,7 @@ def last_signal_time(spark, d):
 
 SCAN = """, last AS (SELECT * FROM (SELECT *, max(bar) OVER (PARTITION BY symbol) AS mb,
     last_value(CASE WHEN code >= 3 THEN bar_ts END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS signal_ts FROM TOP) WHERE bar = mb),
-lm AS (SELECT symbol, bar, p, profit, greatest(max(profit) OVER (PARTITION BY symbol, trade ORDER BY bar ROWS UNBOUNDED PRECEDING), 0) AS mp FROM marks),
+lm AS (SELECT symbol, bar, p, profit, greatest(max(profit) OVER (PARTITION BY symbol, deal ORDER BY bar ROWS UNBOUNDED PRECEDING), 0) AS mp FROM marks),
 scan AS MATERIALIZED (SELECT l.symbol, l.bar, l.code, CASE WHEN l.code IN (5, 6) THEN 0 ELSE coalesce(m.p, 0) END AS entry, l.close AS ltp,
   round(CASE WHEN l.code IN (5, 6) THEN 0 ELSE coalesce(m.profit, 0) END, 2) AS profit,
   round(CASE WHEN l.code IN (5, 6) THEN 0 ELSE coalesce(m.mp, 0) END, 2) AS max_profit, l.signal_ts,
@@ -260,7 +260,7 @@ scan AS MATERIALIZED (SELECT l.symbol, l.bar, l.code, CASE WHEN l.code IN (5, 6)
 
 def _scan_sql(select: str) -> str:
     c = Chain().ma_bundle().rsi_osc().osc("rsi_fast", "rsi_sig", "code", 50)
-    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in c.parts) + (TRADES + SCAN).replace("TOP", c.top) + f" SELECT {select}"
+    return "WITH RECURSIVE " + ",\n".join(p.strip() for p in c.parts) + (DEALS + SCAN).replace("TOP", c.top) + f" SELECT {select}"
 
 
 def _scan(spark, d):

@@ -12,8 +12,8 @@ from tickloom.plans.registry import query
 from tickloom.plans.scan_queries import COLS, SCAN, surge_sql
 from tickloom.plans.scoring_queries import ASSIGN_MULTI
 from tickloom.plans.scoring_queries import M as MEMBERS
-from tickloom.plans.trade_queries import MASTER_SQL, OB_SQL, POS_SQL
-from tickloom.plans.trade_queries import _book_orders, _master, _positions
+from tickloom.plans.deal_queries import MASTER_SQL, OB_SQL, POS_SQL
+from tickloom.plans.deal_queries import _book_orders, _master, _positions
 from tickloom.session import scratch_path
 from tickloom.sources import files as R
 from tickloom.sources import sinks as W
@@ -22,9 +22,9 @@ DATED = r"d=(\d{8})/hm=(\d{4})/[^/]*\.csv$"
 
 
 def _snapshot_files(spark, d):
-    """Snapshots as one CSV folder per day and poll; polls every 75 minutes keep files few."""
-    s = B.slot_snapshots(A.snapshots(spark, d), 75)
-    end = X.bar_end_ts(F.col("day"), F.col("slot"), 75)
+    """Snapshots as one CSV folder per day and poll; a poll every 3 minutes, as the session has them."""
+    s = B.slot_snapshots(A.snapshots(spark, d), 3)
+    end = X.bar_end_ts(F.col("day"), F.col("slot"), 3)
     path = scratch_path(spark, "csv")
     (
         s.select(
@@ -43,8 +43,8 @@ def _snapshot_files(spark, d):
     return path
 
 
-POLLS = f"""WITH {A.SNAPSHOTS_SQL}, s AS (SELECT symbol, day, CAST(day AS TIMESTAMP) + to_minutes(CAST(555 + 75 * slot AS INT)) AS snap_ts, vol_cum, price FROM (
-  SELECT symbol, day, CAST(ceil((minute - 555) / 75.0) AS INT) AS slot, arg_max(vol_cum, snap_ts) AS vol_cum, arg_max(price, snap_ts) AS price
+POLLS = f"""WITH {A.SNAPSHOTS_SQL}, s AS (SELECT symbol, day, CAST(day AS TIMESTAMP) + to_minutes(CAST(555 + 3 * slot AS INT)) AS snap_ts, vol_cum, price FROM (
+  SELECT symbol, day, CAST(ceil((minute - 555) / 3.0) AS INT) AS slot, arg_max(vol_cum, snap_ts) AS vol_cum, arg_max(price, snap_ts) AS price
   FROM snaps WHERE minute > 555 AND minute <= 930 GROUP BY 1, 2, 3))"""
 
 
@@ -122,14 +122,14 @@ def parse_constituents(spark, d):
 
 @query(
     "unpivot_sectors",
-    f"{MEMBERS}, {ASSIGN_MULTI} SELECT category AS sector, symbol FROM assigned WHERE category IN ('ASIA', 'EUROPE', 'OTHERS')",
+    f"{MEMBERS}, {ASSIGN_MULTI} SELECT category AS sector, symbol FROM assigned",
 )
 def unpivot_sectors(spark, d):
     from tickloom.plans.scoring_queries import category_matrix
 
     wide = category_matrix(spark, d).drop("row")
     path = scratch_path(spark, "wide")
-    W.write_watchlist(wide, path)
+    wide.write.option("header", True).csv(path)
     return R.read_sector_map(spark, path)
 
 
