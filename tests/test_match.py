@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalar as X
 from tickloom.operators import instruments as N
 from tickloom.operators import match as M
 from tickloom.operators import tickets as T
@@ -83,3 +84,10 @@ def test_query_parsing(spark):
     assert (a.name_tokens, a.strike_int, a.opt, a.month, a.want_fut) == (["NIFTY"], 22500, "CE", "MAY", False)
     assert (b.name_tokens, b.strike_int, b.opt, b.month, b.want_fut) == (["BANK"], None, None, None, True)
     assert "x" not in got
+
+
+def test_sorted_output_keeps_its_order(spark):
+    rows = spark.createDataFrame([("B", 2.0), ("A", None), ("C", 3.0), ("D", 2.0)], "symbol STRING, key DOUBLE")
+    for way, want in (("asc", "BDC"), ("desc", "CBD")):
+        got = "".join(r.symbol for r in X.sort_by(rows, "key", way).collect())
+        assert got.replace("A", "") == want, got

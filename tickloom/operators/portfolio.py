@@ -177,7 +177,7 @@ def live_payload(report: DataFrame) -> DataFrame:
     )
 
 
-def live_payload_maps(report: DataFrame, buckets: int = 256) -> DataFrame:
+def live_payload_maps(report: DataFrame, buckets: int) -> DataFrame:
     """The payload as maps, one per hash bucket of keys, so no map holds all positions."""
     rows = live_payload(report).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     return rows.groupBy("bucket").agg(

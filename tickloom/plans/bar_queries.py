@@ -185,7 +185,7 @@ def time_text(spark, d):
 
 @query(
     "look_back_window",
-    "SELECT symbol, count(*) AS n FROM (SELECT 'T' || CAST(user_id % 20 AS VARCHAR) AS symbol, ts FROM events) "
+    "SELECT symbol, count(*) AS n FROM (SELECT 'T' || CAST(user_id AS VARCHAR) AS symbol, ts FROM events) "
     "WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY - INTERVAL 12 HOUR GROUP BY 1",
 )
 def look_back_window(spark, d):

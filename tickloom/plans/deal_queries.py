@@ -610,9 +610,16 @@ def close_tickets(spark, d):
     return P.close_tickets(_report(spark, d)).withColumn("price", F.coalesce("price", F.lit(0.0)))
 
 
-@query("live_payload", f"WITH {REPORT_SQL} SELECT status || '_' || security_id AS key FROM rep")
+@query(
+    "live_payload",
+    f"""WITH {REPORT_SQL} SELECT status || '_' || security_id AS key, CAST(pnl AS DOUBLE) AS pnl, CAST(qty AS DOUBLE) AS qty, trading_symbol,
+      exchange_seg, CAST(buy_qty AS BIGINT) AS buy_qty, CAST(sell_qty AS BIGINT) AS sell_qty, status FROM rep""",
+    r="pnl qty",
+)
 def live_payload(spark, d):
-    return P.live_payload(_report(spark, d)).select("key")
+    """What a reader of the payload gets."""
+    fields = "pnl double, qty double, trading_symbol string, exchange_seg string, buy_qty bigint, sell_qty bigint, status string"
+    return P.live_payload(_report(spark, d)).select("key", F.from_json("payload", fields).alias("p")).select("key", "p.*")
 
 
 @query(

@@ -47,11 +47,11 @@ for _kind in ("rma", "ema", "sma"):
 
 @query(
     "surge_scan_subset",
-    f"WITH {A.BARS_SQL}, {surge_sql()} SELECT {COLS} FROM scan WHERE symbol IN (SELECT 'T' || (user_id % 20) FROM events WHERE value > 450)",
+    f"WITH {A.BARS_SQL}, {surge_sql()} SELECT {COLS} FROM scan WHERE symbol IN (SELECT 'T' || user_id FROM events WHERE value > 150)",
     2,
 )
 def surge_scan_subset(spark, d):
-    wanted = A.ticks(spark, d).filter("price > 450").select("symbol")
+    wanted = A.ticks(spark, d).filter("price > 150").select("symbol")
     return S.surge_scan(A.base_bars(spark, d), symbols=wanted)
 
 
@@ -89,7 +89,7 @@ def surge_ranked(spark, d):
     "forced_watch_list",
     RANKED_SQL
     + """, n AS (SELECT symbol, row_number() OVER (ORDER BY rank_sum, symbol) AS pos FROM r)
-SELECT 0 AS part, 0 AS pos, symbol FROM (SELECT DISTINCT 'T' || (user_id % 20) AS symbol FROM events WHERE value > 480)
+SELECT 0 AS part, 0 AS pos, symbol FROM (SELECT DISTINCT 'T' || user_id AS symbol FROM events WHERE value > 480)
 UNION ALL SELECT 1, pos, symbol FROM n""",
 )
 def forced_watch_list(spark, d):

@@ -311,10 +311,12 @@ def tag_exchange(spark, d):
     """WITH a AS (SELECT o_orderkey, o_totalprice AS price, o_orderstatus AS status FROM orders),
     b AS (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice) AS price, max(l_linestatus) AS status FROM lineitem GROUP BY 1),
     j AS (SELECT o_orderkey, a.price AS ap, b.price AS bp, a.status AS ast, b.status AS bst FROM a FULL JOIN b USING (o_orderkey))
-    SELECT o_orderkey, '*' AS "column", 'missing_left' AS kind FROM j WHERE ast IS NULL
-    UNION ALL SELECT o_orderkey, '*', 'missing_right' FROM j WHERE bst IS NULL
-    UNION ALL SELECT o_orderkey, 'price', 'mismatch' FROM j WHERE abs(ap - bp) >= 50000
-    UNION ALL SELECT o_orderkey, 'status', 'mismatch' FROM j WHERE ast <> bst""",
+    SELECT o_orderkey, '*' AS "column", 'missing_left' AS kind, NULL::DOUBLE AS left_number, NULL::DOUBLE AS right_number,
+      NULL::VARCHAR AS left_text, NULL::VARCHAR AS right_text FROM j WHERE ast IS NULL
+    UNION ALL SELECT o_orderkey, '*', 'missing_right', NULL, NULL, NULL, NULL FROM j WHERE bst IS NULL
+    UNION ALL SELECT o_orderkey, 'price', 'mismatch', ap, bp, NULL, NULL FROM j WHERE abs(ap - bp) >= 50000
+    UNION ALL SELECT o_orderkey, 'status', 'mismatch', NULL, NULL, ast, bst FROM j WHERE ast <> bst""",
+    r="left_number right_number",
 )
 def table_diff(spark, d):
     """Order headers against totals of their lines."""
@@ -326,7 +328,16 @@ def table_diff(spark, d):
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.sum("l_extendedprice").alias("price"), F.max("l_linestatus").alias("status"))
     )
-    return D.table_diff(a, b, ["o_orderkey"], 50000).select("o_orderkey", "column", "kind")
+    text = F.col("column") == "status"
+    sides = [
+        column
+        for side in ("left", "right")
+        for column in (
+            F.when(~text, F.col(f"{side}_value").cast("double")).alias(f"{side}_number"),
+            F.when(text, F.col(f"{side}_value")).alias(f"{side}_text"),
+        )
+    ]
+    return D.table_diff(a, b, ["o_orderkey"], 50000).select("o_orderkey", "column", "kind", *sides)
 
 
 @query(
