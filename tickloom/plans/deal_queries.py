@@ -332,7 +332,7 @@ def search_instruments(spark, d):
         F.col("load_pos").alias("entry_id"), "symbol", "display", "inst_type", "expiry", "strike", "opt_type", "month_tag",
         F.lit("").alias("company"),
     )
-    return M.search_instruments(p.select(text.alias("query")), inst).select("query", "rank", "score", "entry_id")
+    return M.search_instruments(p.select(text.alias("query")), inst, 30).select("query", "rank", "score", "entry_id")
 
 
 # --- strikes and ladders --------------------------------------------------------------
