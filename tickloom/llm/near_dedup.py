@@ -151,8 +151,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float =
     return both.where(jaccard("ta", "tb") >= least).select("a", "b")
 
 
-def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links (a, b) between nodes that share bands.
+def classes(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
+    """(node, root) of the nodes that verified links between nodes in common bands connect.
 
     First every node of a band is paired with its hub, the node that shares the most bands with others, as
     the text does that the others were made of. So a band whose texts are alike makes as many pairs as it
@@ -167,10 +167,9 @@ def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
     rows = stored(rows.join(hub, "band").where("node <> hub").select("band", "node", "hub"), "hubs")
     pairs = stored(rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     tried = pairs
-    found = stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links")
-    drawn = HUBS
+    found = verified(stored(estimated(pairs, reps), "near"), docs, reps, least)
+    tree, drawn = stored(components(stored(found, "links")), "tree"), HUBS
     while True:
-        tree = stored(components(found), "tree")
         root = lambda c, name: tree.select(F.col("node").alias(c), F.col("root").alias(name))
         rest = rows.join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
         rest = rest.select("node", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("around"))
@@ -183,9 +182,13 @@ def links(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
         pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        found = found.unionByName(stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links"))
+        found = stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links")
+        if not found.isEmpty():
+            # Stars of the classes so far stand for their links.
+            stars = tree.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            tree = stored(components(found.unionByName(stars)), "tree")
         if drawn >= (sizes.agg(F.max("n")).first()[0] or 0):
-            return found
+            return tree
         drawn *= 8
 
 
@@ -203,7 +206,7 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     one = F.min(F.struct("doc_id", "th")).alias("one")
     reps = full.groupBy("key").agg(one, F.first("sig").alias("sig")).select("key", "one.*", "sig")
     reps = stored(reps, "reps")
-    tree = stored(components(links(docs, reps, least)), "tree")
+    tree = classes(docs, reps, least)
     nodes = full.select("doc_id", "th", "key").join(tree.withColumnRenamed("node", "key"), "key", "left")
     nodes = nodes.select("doc_id", "th", F.coalesce("root", "key").alias("root"))
     sizes = nodes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
