@@ -29,8 +29,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Four standard deviations of the estimate below the threshold.
 ESTIMATE = 0.65
-#: Nodes around a class that are drawn first.
-HUBS = 512
+#: How often what the hubs leave is dealt anew; then, how many nodes around a class are drawn first.
+LEVELS, HUBS = 3, 64
 STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -104,12 +104,10 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(band, node): the bands that two or more nodes share, and how many share them (n)."""
+    """(band, node)"""
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(BANDS)])
-    rows = reps.select(F.col("key").alias("node"), F.explode(keys).alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, "band")
+    return reps.select(F.col("key").alias("node"), F.explode(keys).alias("band"))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -151,42 +149,77 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float =
     return both.where(jaccard("ta", "tb") >= least).select("a", "b")
 
 
+def starred(rows: DataFrame) -> DataFrame:
+    """(band, node) with hub, the node of the band that is in the most and largest bands."""
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(rows.join(shared, "band"), "bands")
+    popular = rows.groupBy("node").agg(F.sum("n").alias("pop"))
+    hub = rows.join(popular, "node").groupBy("band").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"))
+    return stored(rows.join(hub, "band").where("node <> hub").select("node", "hub").distinct(), "hubs")
+
+
+def parted(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """(band, node): around each hub, what a node holds in the registers where it differs from the hub."""
+
+    @F.arrow_udf("array<long>")
+    def own(x: pa.Array, y: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(len(c), REGISTERS) for c in (x, y))
+        keys = mix(a.astype(U64) + STEP * np.arange(1, REGISTERS + 1, dtype=U64)).view(np.int64)
+        ends = np.r_[0, np.cumsum((a != b).sum(axis=1))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[a != b]))
+
+    sig = reps.select("key", "sig")
+    both = rest.join(sig.withColumnsRenamed({"key": "node", "sig": "sn"}), "node").join(sig.withColumnsRenamed({"key": "hub", "sig": "sh"}), "hub")
+    return both.select("node", "hub", F.explode(own("sn", "sh")).alias("own")).select(F.xxhash64("hub", "own").alias("band"), "node")
+
+
 def classes(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
     """(node, root) of the nodes that verified links between nodes in common bands connect.
 
-    First every node of a band is paired with its hub, the node that shares the most bands with others, as
-    the text does that the others were made of. So a band whose texts are alike makes as many pairs as it
-    has nodes, not their square. What the links so far connect with the hub is then done. The rest of all
-    bands around one class is gathered, and nodes of it that are drawn by hash are paired with all that are
-    not yet in their class, in each round eight times as many, until every node has been drawn: no pair of
-    the rest is left out.
+    Every node of a band is paired with its hub, the node that shares the most bands with others, as the
+    text does that the others were made of. So a band makes as many pairs as it has nodes, not their
+    square. What the links connect with the hub is done. Two of the others that are nearer to each other
+    than to the hub share something that the hub lacks, so they are dealt anew by what they hold in the
+    registers where they differ from it, and go through the same again, LEVELS times in all; texts that
+    were changed each on its own have nothing in common then. If some still meet beside a hub, nodes drawn
+    by hash are paired with all that are not yet in their class, in each round eight times as many, until
+    every node has been drawn: no pair of the rest is left out.
     """
-    rows = stored(banded(reps), "bands")
-    popular = rows.groupBy("node").agg(F.sum("n").alias("pop"))
-    hub = rows.join(popular, "node").groupBy("band").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"))
-    rows = stored(rows.join(hub, "band").where("node <> hub").select("band", "node", "hub"), "hubs")
-    pairs = stored(rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    tried = pairs
-    found = verified(stored(estimated(pairs, reps), "near"), docs, reps, least)
-    tree, drawn = stored(components(stored(found, "links")), "tree"), HUBS
-    while True:
-        root = lambda c, name: tree.select(F.col("node").alias(c), F.col("root").alias(name))
-        rest = rows.join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
-        rest = rest.select("node", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("around"))
-        rest = stored(rest.where("class <> around").distinct(), "rest")
-        sizes = rest.groupBy("around").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-        share = F.pmod(F.xxhash64("around", "node"), F.lit(1 << 30)) / float(1 << 30)
-        rest = rest.join(sizes.select("around", "n"), "around").withColumn("drawn", share < drawn / F.col("n"))
-        other = rest.where("drawn").select("around", F.col("node").alias("other"), F.col("class").alias("oc"))
-        met = rest.join(other, "around").where("class <> oc AND (NOT drawn OR node < other)")
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    tree = reps.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
+    tried = tree.withColumnsRenamed({"node": "a", "root": "b"})
+
+    def tested(pairs: DataFrame) -> None:
+        nonlocal tree, tried
+        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         found = stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links")
         if not found.isEmpty():
             # Stars of the classes so far stand for their links.
             stars = tree.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
             tree = stored(components(found.unionByName(stars)), "tree")
+
+    def beside(rows: DataFrame) -> DataFrame:
+        root = lambda c, name: tree.select(F.col("node").alias(c), F.col("root").alias(name))
+        rows = rows.join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
+        rows = rows.select("node", "hub", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("around"))
+        return stored(rows.where("class <> around"), "rest")
+
+    rest = None
+    for _ in range(LEVELS):
+        rows = starred(banded(reps) if rest is None else parted(rest.select("node", "hub"), reps))
+        tested(rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
+        rest = beside(rows)
+        if rest.isEmpty():
+            return tree
+    drawn = HUBS
+    while True:
+        now = beside(rest.select("node", "hub")).select("node", "class", "around").distinct()
+        sizes = now.groupBy("around").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+        share = F.pmod(F.xxhash64("around", "node"), F.lit(1 << 30)) / float(1 << 30)
+        now = now.join(sizes.select("around", "n"), "around").withColumn("drawn", share < drawn / F.col("n"))
+        other = now.where("drawn").select("around", F.col("node").alias("other"), F.col("class").alias("oc"))
+        met = now.join(other, "around").where("class <> oc AND (NOT drawn OR node < other)")
+        tested(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
         if drawn >= (sizes.agg(F.max("n")).first()[0] or 0):
             return tree
         drawn *= 8
