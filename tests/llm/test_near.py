@@ -66,6 +66,29 @@ def test_hub_and_chain(spark):
     assert got(docs) == brute(texts_of(docs))
 
 
+def test_copy_of_a_copy_beside_a_hub(spark, monkeypatch):
+    """Texts that are near to one copy each, a member of the hub's class, but not to the hub."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        copy = list(base)
+        copy[5 * k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+        if k % 2:
+            at = [5 * j for j in range(1, 59) if abs(j - k) > 1]
+            for j in rng.sample(at[rng.randrange(2) :: 2], 6):
+                copy[j] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts_of(docs))
+    assert len(want) == 91 and {size for _, _, size in want} == {91}
+    assert got(docs) == want
+    monkeypatch.setattr(nd, "TILE", 8, raising=False)
+    assert got(docs) == want
+
+
 def test_estimate_is_probability_jaccard():
     rng = np.random.default_rng(1)
     a = {int(k): float(w) for k, w in zip(rng.integers(1, 2**62, 40), rng.uniform(1, 4, 40), strict=True)}

@@ -29,8 +29,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Four standard deviations of the estimate below the threshold.
 ESTIMATE = 0.65
-#: How often what the hubs leave is dealt anew; then, how many nodes around a class are drawn first.
-LEVELS, HUBS = 3, 64
+#: Nodes of a band that are compared with as many others at once.
+TILE = 256
 STEP = U64(0x9E3779B97F4A7C15)
 
 
@@ -104,10 +104,10 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(band, node)"""
+    """(node, number, band): the bands of a node, by number and by what it holds there."""
     width = 4 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(BANDS)])
-    return reps.select(F.col("key").alias("node"), F.explode(keys).alias("band"))
+    return reps.select(F.col("key").alias("node"), F.posexplode(keys).alias("number", "band"))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -150,79 +150,104 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, least: float =
 
 
 def starred(rows: DataFrame) -> DataFrame:
-    """(band, node) with hub, the node of the band that is in the most and largest bands."""
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.join(shared, "band"), "bands")
+    """(a, b): each node of a band with its hub, the node of the band that is in the most and largest bands."""
     popular = rows.groupBy("node").agg(F.sum("n").alias("pop"))
     hub = rows.join(popular, "node").groupBy("band").agg(F.max(F.struct("pop", "node"))["node"].alias("hub"))
-    return stored(rows.join(hub, "band").where("node <> hub").select("node", "hub").distinct(), "hubs")
+    both = rows.join(hub, "band").where("node <> hub")
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def parted(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """(band, node): around each hub, what a node holds in the registers where it differs from the hub."""
+def crossing(rows: DataFrame, tree: DataFrame, reps: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b): the pairs of a band that are not in one class and agree in a share of ESTIMATE of the registers.
 
-    @F.arrow_udf("array<long>")
-    def own(x: pa.Array, y: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(len(c), REGISTERS) for c in (x, y))
-        keys = mix(a.astype(U64) + STEP * np.arange(1, REGISTERS + 1, dtype=U64)).view(np.int64)
-        ends = np.r_[0, np.cumsum((a != b).sum(axis=1))].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[a != b]))
+    A band is cut into tiles of about TILE nodes, and each pair of tiles is compared on its own, so that a
+    large band spreads over tasks and signatures travel once a pair of tiles, not once a pair of nodes.
+    With ``nearest`` only the nearest partner of each node in each pair of tiles.
+    """
+    need = round(ESTIMATE * REGISTERS)
+
+    def compare(part: pa.Table) -> pa.Table:
+        number, lo, hi, kind, second, band = (part[c].to_numpy() for c in ("number", "lo", "hi", "class", "second", "band"))
+        sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint32).reshape(len(part), REGISTERS)
+        cuts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
+        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            y = s + np.flatnonzero(second[s:e]) if lo[s] < hi[s] else np.arange(s, e)
+            x = s + np.flatnonzero(~second[s:e])
+            if not len(x) or not len(y) or (kind[x] == kind[s]).all() and (kind[y] == kind[s]).all():
+                continue
+            step = max(1, (1 << 22) // (len(y) * REGISTERS))
+            agree = np.concatenate([(sig[x[k : k + step], None] == sig[None, y]).sum(axis=2) for k in range(0, len(x), step)])
+            agree[(agree < need) | (kind[x][:, None] == kind[y]) | (x[:, None] >= y if lo[s] == hi[s] else False)] = 0
+            i, j = np.nonzero(agree)
+            if nearest:
+                best = (agree[i, j] == agree.max(axis=1)[i]) | (agree[i, j] == agree.max(axis=0)[j])
+            else:  # a pair that shares several bands comes out of the first
+                best = (sig[x[i]] == sig[y[j]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == number[s]
+            xs.append(x[i[best]])
+            ys.append(y[j[best]])
+        node = part["node"].combine_chunks()
+        return pa.table({"a": node.take(pa.array(np.concatenate(xs))), "b": node.take(pa.array(np.concatenate(ys)))})
 
-    sig = reps.select("key", "sig")
-    both = rest.join(sig.withColumnsRenamed({"key": "node", "sig": "sn"}), "node").join(sig.withColumnsRenamed({"key": "hub", "sig": "sh"}), "hub")
-    return both.select("node", "hub", F.explode(own("sn", "sh")).alias("own")).select(F.xxhash64("hub", "own").alias("band"), "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if held is None else pa.concat_tables([held, part])
+            if not len(part):
+                continue
+            # What belongs with the last row may go on in the next batch.
+            keys = [part[c].to_numpy() for c in ("band", "lo", "hi")]
+            before = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            end = int(before[-1]) + 1 if len(before) else 0
+            held = part.slice(end)
+            if end:
+                yield from compare(part.slice(0, end)).to_batches()
+        if held is not None and len(held):
+            yield from compare(held).to_batches()
+
+    rows = rows.join(tree, "node", "left").select("band", "number", "n", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = rows.join(mixed, "band").withColumn("tile", F.pmod(F.xxhash64("band", "node"), tiles).cast("int"))
+    rows = rows.join(reps.select(F.col("key").alias("node"), "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rows = rows.select(
+        "band", "number", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
+        (F.col("tile") > F.col("other")).alias("second"), F.xxhash64("root").alias("class"), "node", "sig",
+    )
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    pairs = rows.mapInArrow(run, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
     """(node, root) of the nodes that verified links between nodes in common bands connect.
 
-    Every node of a band is paired with its hub, the node that shares the most bands with others, as the
-    text does that the others were made of. So a band makes as many pairs as it has nodes, not their
-    square. What the links connect with the hub is done. Two of the others that are nearer to each other
-    than to the hub share something that the hub lacks, so they are dealt anew by what they hold in the
-    registers where they differ from it, and go through the same again, LEVELS times in all; texts that
-    were changed each on its own have nothing in common then. If some still meet beside a hub, nodes drawn
-    by hash are paired with all that are not yet in their class, in each round eight times as many, until
-    every node has been drawn: no pair of the rest is left out.
+    Every node of a band is first paired with its hub, the node that shares the most bands with others, as
+    the text does that the others were made of. So a band makes as many pairs as it has nodes, and most
+    copies are in one class then. Next, each node is paired with the nearest of those that it shares a band
+    with and that are not yet in its class, and last with all of them, whether or not they are in the class
+    of the hub: no pair of a band is left out unless it is in one class or its estimate is too low.
     """
+    rows = banded(reps)
+    rows = stored(rows.join(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"), "bands")
     tree = reps.select(F.col("key").alias("node"), F.col("key").alias("root")).where("false")
     tried = tree.withColumnsRenamed({"node": "a", "root": "b"})
 
-    def tested(pairs: DataFrame) -> None:
+    def tested(near: DataFrame) -> None:
         nonlocal tree, tried
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
-        found = stored(verified(stored(estimated(pairs, reps), "near"), docs, reps, least), "links")
+        near = stored(near.join(tried, ["a", "b"], "left_anti"), "near")
+        tried = tried.unionByName(near)
+        found = stored(verified(near, docs, reps, least), "links")
         if not found.isEmpty():
             # Stars of the classes so far stand for their links.
             stars = tree.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
             tree = stored(components(found.unionByName(stars)), "tree")
 
-    def beside(rows: DataFrame) -> DataFrame:
-        root = lambda c, name: tree.select(F.col("node").alias(c), F.col("root").alias(name))
-        rows = rows.join(root("node", "rn"), "node", "left").join(root("hub", "rh"), "hub", "left")
-        rows = rows.select("node", "hub", F.coalesce("rn", "node").alias("class"), F.coalesce("rh", "hub").alias("around"))
-        return stored(rows.where("class <> around"), "rest")
-
-    rest = None
-    for _ in range(LEVELS):
-        rows = starred(banded(reps) if rest is None else parted(rest.select("node", "hub"), reps))
-        tested(rows.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-        rest = beside(rows)
-        if rest.isEmpty():
-            return tree
-    drawn = HUBS
-    while True:
-        now = beside(rest.select("node", "hub")).select("node", "class", "around").distinct()
-        sizes = now.groupBy("around").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
-        share = F.pmod(F.xxhash64("around", "node"), F.lit(1 << 30)) / float(1 << 30)
-        now = now.join(sizes.select("around", "n"), "around").withColumn("drawn", share < drawn / F.col("n"))
-        other = now.where("drawn").select("around", F.col("node").alias("other"), F.col("class").alias("oc"))
-        met = now.join(other, "around").where("class <> oc AND (NOT drawn OR node < other)")
-        tested(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
-        if drawn >= (sizes.agg(F.max("n")).first()[0] or 0):
-            return tree
-        drawn *= 8
+    tested(estimated(starred(rows), reps))
+    tested(crossing(rows, tree, reps, True))
+    tested(crossing(rows, tree, reps, False))
+    return tree
 
 
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
