@@ -89,6 +89,21 @@ def test_copy_of_a_copy_beside_a_hub(spark, monkeypatch):
     assert got(docs) == want
 
 
+def test_repeats_do_not_hide_a_link(spark):
+    """Shared passages that one text repeats 50 times and the other has once."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(6):
+        passages = [[f"w{rng.randrange(10**6)}" for _ in range(14)] for _ in range(10)]
+        tail = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        texts.append(" ".join(w for p in passages for w in p + tail[:1]) + " " + " ".join(tail))
+        texts.append(" ".join(w for p in passages for w in (p + tail[:1]) * 50) + " " + " ".join(tail))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts_of(docs))
+    assert {size for _, _, size in want} == {2}
+    assert got(docs) == want
+
+
 def test_estimate_is_probability_jaccard():
     rng = np.random.default_rng(1)
     a = {int(k): float(w) for k, w in zip(rng.integers(1, 2**62, 40), rng.uniform(1, 4, 40), strict=True)}

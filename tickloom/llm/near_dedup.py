@@ -4,7 +4,8 @@ The weighted word shingles of a text arrive as Poisson processes: a shingle of w
 arrival at a random one of M registers, which keeps the first to come. Once a shingle's next arrival is
 later than what all registers hold, it and all that follow of it can change nothing, so most shingles
 stop after one or two. Two texts agree in a register with the probability Jaccard similarity of their
-weights. Bands of registers give candidates, whole signatures an estimate, and shingle sets the verdict.
+weights; here all weigh 1, so it is the Jaccard similarity of their shingle sets. Bands of registers give
+candidates, whole signatures an estimate, and the shingle sets themselves the verdict.
 """
 
 from __future__ import annotations
@@ -79,11 +80,6 @@ def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return holds.reshape(n, registers)
 
 
-def weights(count: np.ndarray) -> np.ndarray:
-    """A shingle that is repeated weighs more, but a repeated line does not outweigh the text."""
-    return 1 + np.log(count)
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, __th (hash of the text), key (digest of its words, empty if none) and sig."""
 
@@ -91,8 +87,9 @@ def sketch(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for b in blocks(batch["text"]):
                 n = len(b.ends)
-                row, h, count, digests = shingles(b)
-                sig = signatures(row, h, weights(count), n)
+                row, h, _, digests = shingles(b)
+                # One weight for all: the registers then agree with the similarity that verified() judges.
+                sig = signatures(row, h, np.ones(len(h)), n)
                 rows = batch.slice(b.first, n)
                 yield pa.RecordBatch.from_arrays(
                     [rows["doc_id"], rows["th"], pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
