@@ -53,6 +53,32 @@ def test_late_bars_are_told(spark, tmp_path):
     assert sorted(r.bar for r in rows if r.late) == want and sorted(r.bar for r in rows if not r.late) == [1, 2, 5, 6, 7]
 
 
+def test_bars_of_one_batch_come_in_any_order(spark, tmp_path):
+    """A key's micro-batch is handed over in several parts, none of them in order; nothing of it is late."""
+    S.use_rocksdb(spark)
+    bars = [(b * 37) % 101 for b in range(1, 101)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        rows = [("A", f"d{b // 20}", b, float((b % 20) * 7 + b % 3)) for b in bars]
+        df = spark.createDataFrame(rows, "symbol STRING, day STRING, bar INT, vol_cum DOUBLE").coalesce(1)
+        (tmp_path / "ma").mkdir()
+        got = run(S.stream_moving_average(feed(spark, tmp_path / "ma", df, 1, "bar"), "rma", 8), tmp_path / "ma")
+        out = got.withColumn("want", I.rma("volume", 8)).collect()
+        assert len(out) == 100 and not any(r.late for r in out) and all(abs(r.ma - r.want) < 1e-9 for r in out)
+        osc = df.selectExpr("symbol", "bar", "sin(bar / 5D) AS fast", "sin((bar - 2) / 5D) AS sig").coalesce(1)
+        codes = []
+        for name, rows, many in (("mixed", osc, "7"), ("whole", osc.orderBy("bar"), "10000")):
+            spark.conf.set(size, many)
+            (tmp_path / name).mkdir()
+            got = run(S.stream_osc_signal(feed(spark, tmp_path / name, rows, 1, "bar")), tmp_path / name)
+            codes.append(sorted((r.bar, r.code, r.late) for r in got.collect()))
+        assert len(codes[0]) == 100 and codes[0] == codes[1] and not any(late for _, _, late in codes[0])
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_same_deal_passes_once_in_each_scan(spark, tmp_path):
     rows = [("NSE", "A", "BUY", f"2024-01-01 {h}:0{m}:00") for h in (10, 11, 12) for m in (0, 1)]
     rows += [("NSE", "A", "SELL", "2024-01-01 10:01:00"), ("NSE", "A", "BUY", "2024-01-01 10:03:00")]

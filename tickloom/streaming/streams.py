@@ -129,22 +129,22 @@ class _Average(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         bar, day, cum, ma = self.state.get() if self.state.exists() else (0, None, 0.0, None)
-        for part in rows:
-            part = part.sort_values("bar")
-            new = part[part["bar"] > bar]
-            if len(new):
-                cums, before = new["vol_cum"].to_numpy(float), new["day"].shift(1)
-                before.iloc[0] = day
-                same = (before == new["day"]).to_numpy()
-                vol = np.where(same, np.maximum(cums - np.r_[cum, cums[:-1]], 0.0), cums)
-                chain = vol if ma is None else np.r_[ma, vol]
-                mas = pd.Series(chain).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[-len(vol) :]
-                bar, day, cum, ma = int(new["bar"].iloc[-1]), new["day"].iloc[-1], float(cums[-1]), float(mas[-1])
-                self.state.update((bar, day, cum, ma))
-                yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "volume": vol, "ma": mas, "late": False})
-            old = part[~part.index.isin(new.index)]
-            if len(old):
-                yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "volume": np.nan, "ma": np.nan, "late": True})
+        # A key's rows come in parts of no order; what is late was told by the state before all of them.
+        part = pd.concat(list(rows), ignore_index=True).sort_values("bar")
+        new = part[part["bar"] > bar]
+        if len(new):
+            cums, before = new["vol_cum"].to_numpy(float), new["day"].shift(1)
+            before.iloc[0] = day
+            same = (before == new["day"]).to_numpy()
+            vol = np.where(same, np.maximum(cums - np.r_[cum, cums[:-1]], 0.0), cums)
+            chain = vol if ma is None else np.r_[ma, vol]
+            mas = pd.Series(chain).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[-len(vol) :]
+            bar, day, cum, ma = int(new["bar"].iloc[-1]), new["day"].iloc[-1], float(cums[-1]), float(mas[-1])
+            self.state.update((bar, day, cum, ma))
+            yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "volume": vol, "ma": mas, "late": False})
+        old = part[~part.index.isin(new.index)]
+        if len(old):
+            yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "volume": np.nan, "ma": np.nan, "late": True})
 
     def close(self) -> None:
         pass
@@ -267,35 +267,35 @@ class _Oscillator(StatefulProcessor):
         start = (0, [], [], np.nan, False, False, False)
         bar, recent, angles, sig, active, was_l, was_s = self.state.get() if self.state.exists() else start
         recent, angles = np.array(recent, float), np.array(angles, float)
-        for part in rows:
-            part = part.sort_values("bar")
-            new = part[part["bar"] > bar]
-            if len(new):
-                fast, sigs = new["fast"].to_numpy(float), new["sig"].to_numpy(float)
-                trend, angles = self._trend(recent, angles, fast)
-                old_fast, old_sig = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]], np.r_[sig, sigs[:-1]]
-                above = fast >= sigs
-                crossed = ((fast > sigs) & (old_fast <= old_sig)) | ((fast < sigs) & (old_fast >= old_sig))
-                buy, sell = above & (fast >= self.center), ~above & (fast < self.center)
-                go_l, go_s = buy & (trend == K.UP), sell & (trend == K.DOWN) & self.short_ok
-                stop = ~(buy | sell) | crossed
-                on = self._latch(go_l | go_s, stop, active)
-                was = np.r_[active, on[:-1]]
-                long, short = buy & on, sell & on
-                had_l, had_s = np.r_[was_l, long[:-1]], np.r_[was_s, short[:-1]]
-                code = np.select(
-                    [stop & had_l, stop & had_s, go_l & ~was, go_s & ~was, long, short],
-                    [K.EXIT_LONG, K.EXIT_SHORT, K.ENTER_LONG, K.ENTER_SHORT, K.LONG, K.SHORT],
-                    K.NEUTRAL,
-                )
-                bar, sig, active = int(new["bar"].iloc[-1]), float(sigs[-1]), bool(on[-1])
-                was_l, was_s = bool(long[-1]), bool(short[-1])
-                recent, angles = np.r_[recent, fast][-K.TREND_RANGE :], angles[-2:]
-                self.state.update((bar, recent.tolist(), angles.tolist(), sig, active, was_l, was_s))
-                yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "code": code, "late": False})
-            old = part[~part.index.isin(new.index)]
-            if len(old):
-                yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "code": None, "late": True})
+        # A key's rows come in parts of no order; what is late was told by the state before all of them.
+        part = pd.concat(list(rows), ignore_index=True).sort_values("bar")
+        new = part[part["bar"] > bar]
+        if len(new):
+            fast, sigs = new["fast"].to_numpy(float), new["sig"].to_numpy(float)
+            trend, angles = self._trend(recent, angles, fast)
+            old_fast, old_sig = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]], np.r_[sig, sigs[:-1]]
+            above = fast >= sigs
+            crossed = ((fast > sigs) & (old_fast <= old_sig)) | ((fast < sigs) & (old_fast >= old_sig))
+            buy, sell = above & (fast >= self.center), ~above & (fast < self.center)
+            go_l, go_s = buy & (trend == K.UP), sell & (trend == K.DOWN) & self.short_ok
+            stop = ~(buy | sell) | crossed
+            on = self._latch(go_l | go_s, stop, active)
+            was = np.r_[active, on[:-1]]
+            long, short = buy & on, sell & on
+            had_l, had_s = np.r_[was_l, long[:-1]], np.r_[was_s, short[:-1]]
+            code = np.select(
+                [stop & had_l, stop & had_s, go_l & ~was, go_s & ~was, long, short],
+                [K.EXIT_LONG, K.EXIT_SHORT, K.ENTER_LONG, K.ENTER_SHORT, K.LONG, K.SHORT],
+                K.NEUTRAL,
+            )
+            bar, sig, active = int(new["bar"].iloc[-1]), float(sigs[-1]), bool(on[-1])
+            was_l, was_s = bool(long[-1]), bool(short[-1])
+            recent, angles = np.r_[recent, fast][-K.TREND_RANGE :], angles[-2:]
+            self.state.update((bar, recent.tolist(), angles.tolist(), sig, active, was_l, was_s))
+            yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "code": code, "late": False})
+        old = part[~part.index.isin(new.index)]
+        if len(old):
+            yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "code": None, "late": True})
 
     def close(self) -> None:
         pass
