@@ -36,3 +36,11 @@ def test_base_equals_brute_force(spark, documents, edge, none):
     check(documents)
     check(edge)
     assert ls.scan(none).count() == 0
+
+
+def test_notices_repeated_back_to_back(spark):
+    texts = ["all rights reserved " * n for n in (1, 3, 4, 50)] + ["released under the mit license" + " mit license" * 5, "all rights " + "x " * 9 + "rights reserved"]
+    got = {r["doc_id"]: r for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[k]["labels"], got[k]["score"]) for k in range(4)] == [("reserved", 1.0)] * 4
+    assert "mit-release" in got[4]["labels"].split(",")
+    assert (got[5]["labels"], got[5]["score"]) == ("", 0.0)

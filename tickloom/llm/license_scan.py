@@ -86,20 +86,30 @@ def votes(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def spans(ballots: DataFrame) -> DataFrame:
-    """Neighbouring diagonals of the notices merged: __key, label, start, end, share of the template."""
+    """Neighbouring diagonals of the notices merged: __key, label, start, end, share of the template.
+
+    The votes of a span must also lie close together, not be strewn over the text. So of each run of
+    diagonals the piece counts that holds most within such a reach, the first of equals: a notice that is
+    repeated back to back is found as often as once.
+    """
     by = Window.partitionBy("__key", "label").orderBy("d")
     step = F.when(F.col("d") - F.lag("d").over(by) <= NEAR, 0).otherwise(1)
     runs = ballots.where("not exact").withColumn("__new", step).withColumn("__run", F.sum("__new").over(by))
-    merged = runs.groupBy("__key", "label", "__run").agg(
-        F.array_size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("held"),
-        F.first("grams").alias("grams"),
-        F.min(F.col("d") + F.array_min("js")).alias("start"),
-        F.max(F.col("d") + F.array_max("js") + K).alias("end"),
+    places = runs.select("__key", "label", "__run", "grams", "d", F.explode("js").alias("j")).withColumn("at", F.col("d") + F.col("j"))
+    # Whole places at most ``reach`` apart are at most 1 apart in these units, and none is near to 1 on either side.
+    reach = 2 * F.col("grams") + 2 * NEAR - K
+    piece = Window.partitionBy("__key", "label", "__run").orderBy(2 * F.col("at") / (2 * reach + 1)).rangeBetween(0, 1)
+    pieces = places.select(
+        "__key",
+        "label",
+        "__run",
+        (F.size(F.collect_set("j").over(piece)) / F.col("grams")).alias("share"),
+        F.col("at").alias("start"),
+        (F.max("at").over(piece) + K).alias("end"),
     )
-    share = F.col("held") / F.col("grams")
-    # The votes of a span must also lie close together, not be strewn over the text.
-    tight = F.col("end") - F.col("start") <= 2 * F.col("grams") + 2 * NEAR
-    return merged.where((share >= LEAST) & tight).select("__key", "label", "start", "end", share.alias("share"))
+    best = F.max(F.struct("share", (-F.col("start")).alias("before"), "end")).alias("best")
+    merged = pieces.where(F.col("share") >= LEAST).groupBy("__key", "label", "__run").agg(best)
+    return merged.select("__key", "label", (-F.col("best.before")).alias("start"), F.col("best.end").alias("end"), F.col("best.share").alias("share"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
