@@ -230,5 +230,5 @@ def saved_bars(spark, d):
 def bucketed_watch_list(spark, d):
     buckets = G.price_buckets(G.surge_scan(A.base_bars(spark, d)), 100)
     path = scratch_path(spark, "watch")
-    W.write_watchlist(W.bucketed_lines(buckets, "Timeframe: 3"), path, fmt="text")
+    W.write_lines(W.bucketed_lines(buckets, "Timeframe: 3"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))

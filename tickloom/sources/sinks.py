@@ -15,6 +15,11 @@ def write_watchlist(df: DataFrame, path: str, mode: str = "overwrite", fmt: str
         out.option("header", True).csv(path)
 
 
+def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Ordered lines of any number, as text: a file per range of the order, numbered in that order."""
+    lines.write.mode(mode).text(path)
+
+
 def bucketed_lines(buckets: DataFrame, footer: str) -> DataFrame:
     """Text of a price-bucket watch-list: a heading per bucket, its symbols, a footer."""
     rows = buckets.select("below", F.lit(1).alias("part"), F.col("ltp").alias("by"), F.col("symbol").alias("line"))
