@@ -154,3 +154,25 @@ def test_confluence_breaks_are_first_qualifying_crosses(spark):
             )
             assert r.i_up == (up and not crossed_up)
             crossed_up = crossed_up or up
+
+
+def test_an_open_of_zero_makes_no_gap_and_leaves_the_mean(spark):
+    rng, rows, price = random.Random(6), [], 50.0
+    for b in range(1, 200):
+        o = 0.0 if b % 17 == 3 else price
+        price += rng.choice([-9, -1, 1, 9]) * rng.random()
+        rows.append(("A", b, o, max(o, price) + 0.1, min(o, price) - 0.1, price))
+    df = spark.createDataFrame(rows, "symbol STRING, bar INT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE")
+    want, total = [], 0.0
+    for k in range(2, len(rows)):
+        (_, _, o, _, _, c), (_, bar, _, high, low, _) = rows[k - 1], rows[k]
+        bodies = [abs(r[5] - r[2]) / (r[2] * 100) for r in rows[:k] if r[2]]
+        total = sum(bodies) / k * 2
+        if o:
+            body, (h2, l2) = (c - o) / (o * 100), rows[k - 2][3:5]
+            want += [(bar, 1, low, h2)] if low > h2 and c > h2 and body > total else []
+            want += [(bar, -1, high, l2)] if high < l2 and c < l2 and -body > total else []
+    got = M.fair_value_gaps(df).orderBy("bar", "bias").collect()
+    assert want and [tuple(r)[1:] for r in got] == want
+    deals = df.withColumn("code", F.when(F.col("bar") == 3, 3).when(F.col("bar") == 9, 5).otherwise(F.when(F.col("bar").between(4, 8), 1).otherwise(0)))
+    assert G.deal_ledger(deals, c="open").first().profit is None

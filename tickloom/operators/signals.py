@@ -335,7 +335,7 @@ def deal_marks(df: DataFrame, code: str = "code", c: str = "close") -> DataFrame
     bought = F.when(long_side, F.col("_p")).otherwise(F.col(c))
     sold = F.when(long_side, F.col(c)).otherwise(F.col("_p"))
     df = df.withColumns({"entry": F.when(in_deal, F.col("_p")), "in_deal": in_deal})
-    df = df.withColumn("profit", F.when(in_deal, (sold - bought) * 100 / bought))
+    df = df.withColumn("profit", F.when(in_deal, F.try_divide((sold - bought) * 100, bought)))
     best = F.max(F.greatest("profit", F.lit(0.0))).over(seg)
     return df.withColumn("max_profit", F.when(F.col("in_deal"), best)).drop("_p", "_ended")
 

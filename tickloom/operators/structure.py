@@ -259,9 +259,12 @@ def open_order_blocks(
 
 
 def fair_value_gaps(df: DataFrame, use_threshold: bool = True) -> DataFrame:
-    """Three-bar gaps whose middle body is large against the bodies so far."""
+    """Three-bar gaps whose middle body is large against the bodies so far.
+
+    A body with an open of 0 is unknown: it makes no gap, and the mean of the bodies leaves it out of the sum.
+    """
     last_close, last_open = I.prev("close"), I.prev("open")
-    df = df.withColumn("_d", (last_close - last_open) / (last_open * 100))
+    df = df.withColumn("_d", F.try_divide(last_close - last_open, last_open * 100))
     df = df.withColumns(
         {
             "_h2": I.prev("high", 2),

@@ -188,7 +188,7 @@ for _level in (1, 2, 3):
 # Deals of the RSI machine: one deal per entry, up to its exit.
 DEALS = """, t0 AS (SELECT *, sum(CASE WHEN code IN (3, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS deal FROM TOP),
 e AS (SELECT symbol, deal, min(bar) AS entry_bar, arg_min(close, bar) AS p, min(bar) FILTER (code IN (5, 6)) AS exit_bar FROM t0 WHERE deal > 0 GROUP BY 1, 2),
-marks AS MATERIALIZED (SELECT t0.*, e.p, e.entry_bar, CASE WHEN code IN (1, 3, 5) THEN (close - p) * 100 / p ELSE (p - close) * 100 / close END AS profit
+marks AS MATERIALIZED (SELECT t0.*, e.p, e.entry_bar, CASE WHEN code IN (1, 3, 5) THEN (close - p) * 100 / nullif(p, 0) ELSE (p - close) * 100 / nullif(close, 0) END AS profit
   FROM t0 JOIN e USING (symbol, deal) WHERE code <> 0 AND bar <= coalesce(exit_bar, bar)),
 ledger AS MATERIALIZED (SELECT symbol, CAST(deal AS BIGINT) AS deal, min(bar) AS entry_bar, max(bar) AS last_bar, any_value(p) AS entry, arg_max(profit, bar) AS profit,
   greatest(max(profit), 0) AS max_profit, bool_or(code IN (5, 6)) AS closed FROM marks GROUP BY 1, 2),

@@ -73,7 +73,7 @@ GAPS = """gaps AS MATERIALIZED (SELECT symbol, bar, CASE WHEN bull THEN 1 ELSE -
   SELECT *, low > h2 AND c1 > h2 AND d > t AS bull, high < l2 AND c1 < l2 AND -d > t AS bear FROM (
     SELECT *, sum(abs(d)) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) / (bar - 1) * 2 AS t FROM (
       SELECT symbol, bar, high, low, lag(close) OVER w AS c1, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2,
-        (lag(close) OVER w - lag(open) OVER w) / (lag(open) OVER w * 100) AS d
+        (lag(close) OVER w - lag(open) OVER w) / nullif(lag(open) OVER w * 100, 0) AS d
       FROM hourly WINDOW w AS (PARTITION BY symbol ORDER BY bar)))) WHERE bull OR bear)"""
 
 
