@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, mixture, near_dedup, suffix_dedup, toxicity, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, merkle, mixture, near_dedup, suffix_dedup, toxicity, url_filters
 from tickloom.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(read(spark, sf_dir, "documents")).drop("th")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_toxicity,
         op10_minhash,
+        op13_merkle_manifest,
     )
 }
 
 SQL: dict[str, str] = {
     "op1_url_filters": url_filters.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
