@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, merkle, mixture, near_dedup, suffix_dedup, toxicity, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, merkle, mixture, near_dedup, pii, suffix_dedup, toxicity, url_filters
 from tickloom.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(read(spark, sf_dir, "documents")).drop("th")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(read(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_toxicity,
         op10_minhash,
+        op12_pii,
         op13_merkle_manifest,
     )
 }
