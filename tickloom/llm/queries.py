@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, merkle, mixture, near_dedup, pii, suffix_dedup, toxicity, url_filters
+from tickloom.llm import byte_bpe, exact_dedup, language_id, license_scan, media, merkle, mixture, near_dedup, pii, prefix_trie, suffix_dedup, toxicity, url_filters
 from tickloom.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(read(spark, sf_dir, "documents")).drop("th")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(read(spark, sf_dir, "conversations"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_toxicity,
         op10_minhash,
+        op11_prefix_trie,
         op12_pii,
         op13_merkle_manifest,
     )
@@ -80,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_url_filters": url_filters.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
