@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import scratch_path
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's own folder in the one that all executors share (``session.drop_scratch`` removes it)."""
+    return scratch_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
