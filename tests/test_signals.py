@@ -176,3 +176,36 @@ def test_an_open_of_zero_makes_no_gap_and_leaves_the_mean(spark):
     assert want and [tuple(r)[1:] for r in got] == want
     deals = df.withColumn("code", F.when(F.col("bar") == 3, 3).when(F.col("bar") == 9, 5).otherwise(F.when(F.col("bar").between(4, 8), 1).otherwise(0)))
     assert G.deal_ledger(deals, c="open").first().profit is None
+
+
+@pytest.mark.parametrize("bits,from_next", [(1, False), (2, True), (6, False)])
+def test_first_crossing_equals_a_scan(spark, bits, from_next):
+    """Zones of both kinds against every later bar: gaps in bar numbers, ties with the level, missing prices, no crossing."""
+    rng, bars, zones = random.Random(bits), [], []
+    for s in ("A", "B"):
+        price, at = 100.0, rng.randrange(5)
+        for _ in range(300 if s == "A" else 40):
+            at += rng.choice([1, 1, 1, 2, 9])
+            price += rng.choice([-1, 0, 1])
+            bars.append((s, at, None if rng.random() < 0.05 else price + 1, price - 1, price))
+        own = [b for b in bars if b[0] == s]
+        for _ in range(120):
+            b = rng.choice(own)
+            level = b[4] + rng.choice([-25, -9, -3, -1, 0, 1, 3, 9, 25])
+            zones.append((s, b[1], rng.choice([1, -1]), level, level))
+    zones.append(("C", 3, 1, 1.0, 1.0))
+    b = spark.createDataFrame(bars, "symbol STRING, bar INT, high DOUBLE, low DOUBLE, close DOUBLE")
+    z = spark.createDataFrame(zones, "symbol STRING, bar INT, bias INT, top DOUBLE, bottom DOUBLE")
+    for source in ("highlow", "close"):
+        want = []
+        for s, at, bias, top, bottom in zones:
+            for s2, bar, high, low, close in bars:
+                h, lo = (close, close) if source == "close" else (high, low)
+                later = s2 == s and (bar > at if from_next else bar >= at)
+                if later and (lo < bottom if bias == 1 else h is not None and h > top):
+                    want.append((s, at, bias, top, bottom, bar))
+                    break
+        got = M.mitigation_bars(z, b, source, from_next, bits).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) < len(zones)
+    assert M.mitigation_bars(z, b.limit(0)).count() == 0
+    assert M.mitigation_bars(z.limit(0), b).count() == 0

@@ -8,8 +8,6 @@ with bars.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,61 +291,74 @@ def open_gaps(gaps: DataFrame, bars: DataFrame) -> DataFrame:
     return _still_open(gaps, bars, "highlow", from_next=True)
 
 
-def _first_pass(prices: np.ndarray, start: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Index of the first price above ``level`` from ``start`` on, -1 if none.
+#: Children of a block of the index of extremes: 2^6, so three levels hold 262,144 bars.
+FAN_BITS = 6
 
-    Doubling maxima let every query jump over stretches that stay at or below its level.
+
+def extremes_index(bars: DataFrame, source: str = "highlow", bits: int = FAN_BITS) -> tuple[int, list[DataFrame]]:
+    """The first bar number, and per level the blocks (symbol, blk, kids) with the extremes of their children.
+
+    Level 0 has 2^bits bars in a block, each further level as many blocks of the one below. Blocks are cut by
+    bar number, so the bars of one symbol lie in many tasks.
     """
-    n = len(prices)
-    levels = [prices]
-    while (1 << len(levels)) <= n:
-        half, last = 1 << (len(levels) - 1), levels[-1]
-        levels.append(np.maximum(last[:-half], last[half:]))
-    at = start.copy()
-    for k in range(len(levels) - 1, -1, -1):
-        size = len(levels[k])
-        inside = at < size
-        low = np.zeros(len(at), bool)
-        low[inside] = levels[k][at[inside]] <= level[inside]
-        at = np.where(low, at + (1 << k), at)
-    return np.where(at < n, at, -1)
-
-
-def mitigation_bars(zones: DataFrame, bars: DataFrame, source: str = "highlow", from_next: bool = False) -> DataFrame:
+    hi, lo = ("close", "close") if source == "close" else ("high", "low")
+    first, last = bars.agg(F.min("bar"), F.max("bar")).first()
+    first, last = first or 0, last or 0
+    rows = bars.select("symbol", (F.col("bar") - first).cast("long").alias("id"), F.col(hi).alias("hi"), F.col(lo).alias("lo"))
+    levels: list[DataFrame] = []
+    span = last - first
+    while not levels or span:
+        kids = F.array_sort(F.collect_list(F.struct("id", "hi", "lo"))).alias("kids")
+        level = rows.groupBy("symbol", F.shiftright("id", bits).alias("blk")).agg(kids)
+        levels.append(materialise(level, "extremes"))
+        rows = levels[-1].select("symbol", F.col("blk").alias("id"), F.array_max("kids.hi").alias("hi"), F.array_min("kids.lo").alias("lo"))
+        span >>= bits
+    return first, levels
+
+
+def mitigation_bars(
+    zones: DataFrame, bars: DataFrame, source: str = "highlow", from_next: bool = False, bits: int = FAN_BITS
+) -> DataFrame:
     """The bar on which each zone was first passed; open zones are left out.
 
-    Grouped by symbol: one row per bar and per zone, both bounded by the calendar.
+    A zone looks at the bars of its own block from its own on, then at the later blocks beside it, then at those
+    beside the block above, until a child passes its level; from there down to the bar. Each step is a join by
+    equality with one block, so a zone is never paired with the bars between.
     """
-    hi, lo = ("close", "close") if source == "close" else ("high", "low")
-    # Zones are derived from the bars; fresh names keep the two sides' columns apart.
-    b = bars.select(
-        F.col("symbol").alias("sym"),
-        F.col("bar").alias("at"),
-        F.col(hi).alias("hi"),
-        F.col(lo).alias("lo"),
-    )
-    z = zones.select("symbol", "bar", "bias", "top", "bottom")
-
-    def search(zone: pd.DataFrame, bar: pd.DataFrame) -> pd.DataFrame:
-        columns = ["symbol", "bar", "bias", "top", "bottom", "mitigated_bar"]
-        if zone.empty or bar.empty:
-            return pd.DataFrame(columns=columns)
-        bar = bar.sort_values("at")
-        at = bar["at"].to_numpy()
-        zone = zone.assign(mitigated_bar=-1)
-        for bias, prices, level in ((1, -bar["lo"].to_numpy(), -zone["bottom"]), (-1, bar["hi"].to_numpy(), zone["top"])):
-            rows = (zone["bias"] == bias).to_numpy()
-            if rows.any():
-                start = np.searchsorted(at, zone["bar"].to_numpy()[rows]) + int(from_next)
-                hit = _first_pass(prices, start, level.to_numpy()[rows])
-                zone.loc[rows, "mitigated_bar"] = np.where(hit >= 0, at[hit], -1)
-        return zone.loc[zone["mitigated_bar"] >= 0, columns]
-
-    return (
-        z.groupBy("symbol")
-        .cogroup(b.groupBy("sym"))
-        .applyInPandas(search, "symbol string, bar int, bias int, top double, bottom double, mitigated_bar int")
-    )
+    first, levels = extremes_index(bars, source, bits)
+    start = F.col("bar") - first + int(from_next)
+    z = zones.select("symbol", "bar", "bias", "top", "bottom", start.cast("long").alias("_from"))
+    # The block looked at, the child that passes, and the level of that block.
+    z = z.select("*", F.shiftright("_from", bits).alias("_blk"), F.lit(None).cast("long").alias("_kid"), F.lit(-1).alias("_at"))
+
+    def looked(z: DataFrame, level: DataFrame) -> tuple[DataFrame, Column]:
+        def passes(k: Column) -> Column:
+            crossed = F.when(F.col("bias") == 1, k["lo"] < F.col("bottom")).otherwise(k["hi"] > F.col("top"))
+            return (k["id"] >= F.col("_from")) & crossed
+
+        side = level.withColumnsRenamed({"symbol": "_sym", "blk": "_of"})
+        both = z.join(side, (F.col("symbol") == F.col("_sym")) & (F.col("_blk") == F.col("_of")), "left")
+        return both, F.get(F.filter("kids", passes), F.lit(0))["id"]
+
+    keep = ["symbol", "bar", "bias", "top", "bottom"]
+    for k, level in enumerate(levels):
+        both, kid = looked(z, level)
+        z = both.select(*keep, "_from", "_blk", F.coalesce("_kid", kid).alias("_kid"), F.when(F.col("_kid").isNotNull(), F.col("_at")).when(kid.isNotNull(), k).otherwise(-1).alias("_at"))
+        if k + 1 < len(levels):
+            up = F.col("_kid").isNull()
+            z = z.withColumns(
+                {
+                    "_from": F.when(up, F.col("_blk") + 1).otherwise(F.col("_from")),
+                    "_blk": F.when(up, F.shiftright("_blk", bits)).otherwise(F.col("_blk")),
+                }
+            )
+    z = z.filter("_kid IS NOT NULL")
+    for k in range(len(levels) - 1, 0, -1):
+        down = F.col("_at") == k
+        z = z.withColumns({"_blk": F.when(down, F.col("_kid")).otherwise(F.col("_blk")), "_from": F.when(down, F.lit(0).cast("long")).otherwise(F.col("_from"))})
+        both, kid = looked(z, levels[k - 1])
+        z = both.select(*keep, "_from", "_blk", F.when(down, kid).otherwise(F.col("_kid")).alias("_kid"), F.when(down, k - 1).otherwise(F.col("_at")).alias("_at"))
+    return z.select(*keep, (F.col("_kid") + first).cast("int").alias("mitigated_bar"))
 
 
 def trailing_extremes(df: DataFrame, **sizes) -> DataFrame:
