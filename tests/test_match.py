@@ -1,5 +1,6 @@
 """Fuzzy matching against comparing everything with everything; rules worked by hand."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -91,3 +92,106 @@ def test_sorted_output_keeps_its_order(spark):
     for way, want in (("asc", "BDC"), ("desc", "CBD")):
         got = "".join(r.symbol for r in X.sort_by(rows, "key", way).collect())
         assert got.replace("A", "") == want, got
+
+
+def test_interval_blocks_cover_exactly(spark):
+    rng = random.Random(2)
+    spans = [(f"t{k}", *sorted((rng.randrange(20000), rng.randrange(20000)))) for k in range(60)]
+    spans += [("one", 63, 63), ("edge", 64, 127), ("all", 0, 4095), ("wide", 4095, 8192)]
+    df = spark.createDataFrame(spans, "token STRING, lo LONG, hi LONG")
+    got = {}
+    for r in M.interval_blocks(df).collect():
+        got.setdefault(r.token, []).extend(range(r.blk << 6 * r.level, (r.blk + 1) << 6 * r.level))
+    assert all(sorted(got[t]) == list(range(lo, hi + 1)) for t, lo, hi in spans)
+    assert M.interval_blocks(df.filter("token = 'all'")).count() == 1
+
+
+def test_prefix_is_one_interval(spark):
+    words = ["NIFTY", "NIFT", "BANK", "NI", "ZED", "BANKNIFTY", "N&M"]
+    vocab = M.number_words(spark.createDataFrame([(w, k + 1) for k, w in enumerate(words)], "word STRING, df LONG"))
+    tokens = spark.createDataFrame([("N",), ("NIF",), ("B",), ("X",)], "token STRING")
+    order = sorted(words)
+    got = {r.token: (order[r.lo : r.hi + 1], r.df) for r in M.prefix_intervals(tokens, vocab).collect()}
+    assert got == {"N": (["N&M", "NI", "NIFT", "NIFTY"], 14), "NIF": (["NIFT", "NIFTY"], 3), "B": (["BANK", "BANKNIFTY"], 9)}
+
+
+def score_all(query, entries, aliases=None):
+    """The ranking worked out contract by contract."""
+    import re as _re
+
+    from tickloom.functions import constants as K
+
+    months = {w: m for m, ws in K.MONTH_WORDS.items() for w in ws}
+    parts = [w for w in query.strip().upper().replace("-", " ").split() if w not in K.STOP_WORDS]
+    parts = [(aliases or {}).get(w, w) for w in parts]
+    number = lambda w: float(w) if _re.fullmatch(r"[+]?([0-9]+\.?[0-9]*|\.[0-9]+)", w) else None
+    special = set(months) | set(K.CALL_WORDS) | set(K.PUT_WORDS) | set(K.FUTURE_WORDS)
+    names = [w for w in parts if w not in special and number(w) is None]
+    sides = [w for w in parts if w in K.CALL_WORDS + K.PUT_WORDS]
+    opt = ("CE" if sides[-1] in K.CALL_WORDS else "PE") if sides else None
+    month = ([months[w] for w in parts if w in months] or [None])[-1]
+    fut = any(w in K.FUTURE_WORDS for w in parts)
+    strikes = [number(w) for w in parts if w not in special and (number(w) or 0) > 0]
+    strike = round(strikes[-1]) if strikes else None
+    seq = lambda t, w: _re.search(".*".join(map(_re.escape, t)), w)
+    vocab = [w for e in entries for w in e["tokens"]]
+    idf = lambda t: math.log(len(entries) / vocab.count(t)) + 1 if t in vocab else 1
+
+    def hit(t, e):
+        if any(w.startswith(t) for w in vocab):
+            return any(w.startswith(t) for w in e["tokens"])
+        return any(seq(t, w) for w in e["tokens"])
+
+    def points(t, e):
+        sym, w = e["symbol"], idf(t) * 100
+        if sym == t:
+            return 1000 + w
+        if sym.startswith(t) or t.startswith(sym):
+            return 400 + w
+        if seq(t, sym):
+            return 200 + w / 2
+        if t in e["tokens"]:
+            return w
+        if any(x.startswith(t) for x in e["tokens"]):
+            return w * 0.8
+        return w * 0.4 if any(seq(t, x) for x in e["tokens"]) else None
+
+    strict = [e for e in entries if names and all(hit(t, e) for t in names)]
+    pool = strict or ([e for e in entries if any(hit(t, e) for t in names)] if names else entries)
+    out = []
+    for e in pool:
+        if opt and e["opt_type"] != opt or not opt and fut and e["inst_type"] != "FUT":
+            continue
+        if month and e["month_tag"] != month or strike is not None and not (e["strike"] > 0 and e["strike"] == strike):
+            continue
+        got = [points(t, e) for t in names]
+        score = sum(p or 0 for p in got) + (200 if strict and None not in got else 0)
+        score += 50 if e["expiry"] == "" and not (month or strike or opt or fut) else 0
+        out.append((-round(score, 6), e["expiry"], e["strike"], e["entry_id"]))
+    return [(i, -s) for s, _, _, i in sorted(out)[:4]]
+
+
+def test_search_equals_scoring_every_contract(spark):
+    """Few documents are scored and few contracts meet them, yet the lists are those of scoring all of them."""
+    rng, rows = random.Random(5), []
+    symbols = ["NIFTY", "NIFTYIT", "BANKNIFTY", "NATION", "INFY", "N", "TCS", "TATA", "TATAPOWER", "ONGC", "NTPC", "BANK"]
+    for k in range(400):
+        s = rng.choice(symbols)
+        kind = rng.choice(["EQ", "FUT", "OPT", "OPT"])
+        day = "" if kind == "EQ" else rng.choice(["2024-03-28", "2024-06-27"])
+        strike = float(rng.choice([100, 120, 150])) if kind == "OPT" else 0.0
+        opt = rng.choice(["CE", "PE"]) if kind == "OPT" else ""
+        tag = {"": "", "2024-03-28": "MAR", "2024-06-27": "JUN"}[day]
+        name = {"TCS": "Tata Consultancy", "ONGC": "Oil Natural Gas"}.get(s, "")
+        rows.append((k, s, f"{s} {tag} thing{rng.randrange(3)}", kind, day, strike, opt, tag, name))
+    schema = "entry_id LONG, symbol STRING, display STRING, inst_type STRING, expiry STRING, strike DOUBLE, opt_type STRING, month_tag STRING, company STRING"
+    inst = spark.createDataFrame(rows, schema)
+    queries = ["n", "nifty", "t", "tata", "tata consult", "bank nifty", "nifty 120 ce", "fut", "june put", "tps", "ny zz", "gas oil march",
+               "nif call", "150", "xqz", "thing1 t fut", "thing2", "nt thing0 mar", "bees", "o g"]
+    got = M.search_instruments(spark.createDataFrame([(q,) for q in queries], "query STRING"), inst, 4, {"BEES": "BANKNIFTY"}).collect()
+    entries = [r.asDict() for r in M.build_search_index(inst)[0].collect()]
+    for q in queries:
+        own = sorted((r.rank, r.entry_id, round(r.score, 6)) for r in got if r.query == q)
+        want = score_all(q, entries, {"BEES": "BANKNIFTY"}) if len(q) >= 2 else []
+        assert [x[1:] for x in own] == [(i, round(s, 6)) for i, s in want], q
+    assert {r.query for r in got} >= {"bees", "tata consult", "nifty 120 ce"}
