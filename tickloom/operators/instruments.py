@@ -264,3 +264,18 @@ def enrich_ids(df: DataFrame, master: DataFrame, fallback: str) -> DataFrame:
         )
         .drop("_d", "_s")
     )
+
+
+def instrument_details(master: DataFrame) -> DataFrame:
+    """One row per security id: the last in ``load_pos`` order, but an INDEX row never replaces an earlier one."""
+    first = master.groupBy("security_id").agg(F.min("load_pos").alias("_first"))
+    kept = master.join(first, "security_id").filter((F.col("inst") != "INDEX") | (F.col("load_pos") == F.col("_first")))
+    row = F.struct("display", "symbol", "exch", "inst", "expiry", "strike", "opt_type")
+    return kept.groupBy("security_id").agg(F.max_by(row, "load_pos").alias("_i")).select("security_id", "_i.*")
+
+
+def instrument_family(inst: Column) -> Column:
+    """OPT, FUT or EQ; '' for what is none of them."""
+    return (
+        F.when(inst.contains("OPT"), "OPT").when(inst.contains("FUT"), "FUT").when(inst.contains("EQ") | (inst == "INDEX"), "EQ").otherwise("")
+    )

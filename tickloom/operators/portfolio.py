@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import constants as K
 from tickloom.functions import scalar as X
+from tickloom.functions.ranking import range_numbers
+from tickloom.operators import instruments as N
 from tickloom.operators import tickets as T
 
 
@@ -72,6 +74,28 @@ def position_report(agg: DataFrame) -> DataFrame:
     )
 
 
+def with_instruments(report: DataFrame, master: DataFrame) -> DataFrame:
+    """Positions with their instrument: display_name, base_symbol, exchange, family, strike, opt_type, expiry.
+
+    An unknown security is called by its trading symbol and has an empty family, option type and expiry.
+    """
+    info = N.instrument_details(master).select(
+        "security_id", F.col("display").alias("_d"), F.col("symbol").alias("_s"), "inst",
+        F.col("strike").alias("_k"), F.col("opt_type").alias("_o"), F.col("expiry").alias("_e"),
+    )
+    return report.join(info, "security_id", "left").withColumns(
+        {
+            "display_name": F.coalesce("_d", "trading_symbol"),
+            "base_symbol": F.coalesce("_s", "trading_symbol"),
+            "exchange": F.substring_index("exchange_seg", "_", 1),
+            "family": N.instrument_family(F.coalesce("inst", F.lit(""))),
+            "strike": F.coalesce("_k", F.lit(0.0)),
+            "opt_type": F.coalesce("_o", F.lit("")),
+            "expiry": F.coalesce("_e", F.lit("")),
+        }
+    ).drop("_d", "_s", "_k", "_o", "_e", "inst")
+
+
 def pnl_totals(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count("*").alias("n"), F.sum("pnl").alias("pnl"))
 
@@ -111,18 +135,27 @@ def explode_legs(orders: DataFrame) -> DataFrame:
     return rows.filter(is_pending(F.col("status"))).drop("status").distinct()
 
 
-def alert_orders(alerts: DataFrame) -> DataFrame:
-    """Pending conditional alerts with the fields of their first order."""
+def alert_orders(alerts: DataFrame, master: DataFrame | None = None) -> DataFrame:
+    """Pending conditional alerts with the fields of their first order and of their condition.
+
+    Named by the display name of the security that they order, where ``master`` knows it.
+    """
     first = F.get("orders", 0)
-    sec = F.coalesce(first["security_id"], F.lit(""))
-    return alerts.filter(is_pending(F.col("status"))).select(
-        F.concat(F.lit("Trig: "), sec).alias("symbol"),
+    rows = alerts.filter(is_pending(F.col("status"))).select(
+        F.coalesce(first["security_id"], F.lit("")).alias("security_id"),
         F.col("alert_id").alias("order_id"),
         F.coalesce(first["side"], F.lit("")).alias("side"),
         F.coalesce(first["qty"], F.lit(0)).alias("qty"),
         F.coalesce(first["price"], F.lit(0.0)).alias("price"),
         F.coalesce("condition.value", F.lit(0.0)).alias("trigger_price"),
+        F.coalesce("condition.note", F.lit("")).alias("note"),
+        F.coalesce("condition.expires", F.lit("")).alias("expires"),
     )
+    fallback = F.concat(F.lit("Trig: "), F.col("security_id"))
+    if master is None:
+        return rows.withColumn("symbol", fallback)
+    info = N.instrument_details(master).select("security_id", F.col("display").alias("_d"))
+    return rows.join(info, "security_id", "left").withColumn("symbol", F.coalesce("_d", fallback)).drop("_d")
 
 
 def order_book(pending: DataFrame, legs: DataFrame, forever: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -177,11 +210,14 @@ def live_payload(report: DataFrame) -> DataFrame:
     )
 
 
-def live_payload_maps(report: DataFrame, buckets: int) -> DataFrame:
-    """The payload as maps, one per hash bucket of keys, so no map holds all positions."""
-    rows = live_payload(report).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return rows.groupBy("bucket").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "payload"))).alias("payload")
+def live_payload_maps(report: DataFrame, most: int) -> DataFrame:
+    """The payload as maps of at most ``most`` keys each: (part, payload), keys in order.
+
+    There are more maps where there are more positions, so none of them grows.
+    """
+    rows = range_numbers(live_payload(report).withColumn("_all", F.lit(0)), "_all", [F.col("key")], "_nth")
+    return rows.groupBy(F.floor((F.col("_nth") - 1) / most).alias("part")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "payload")))).alias("payload")
     )
 
 

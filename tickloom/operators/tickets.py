@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import constants as K
@@ -130,6 +130,70 @@ def route_order(mode: str, exch: Column, seg: Column) -> Column:
     return F.when(is_opt & (exch == "MCX"), "SIMPLE").otherwise(by_mode)
 
 
+#: Where each field of a ticket comes from: route, family (derivative, cash or any), field, priority, source.
+#: Of the sources that have a value the one of the lowest priority counts. Quoted sources are words.
+RULES = [
+    ("SUPER", "any", "order_type", 1, "'LIMIT'"),
+    ("SUPER", "any", "product", 1, "given_product"),
+    ("SUPER", "any", "price", 1, "given_limit"),
+    ("SUPER", "any", "price", 2, "limit"),
+    ("SUPER", "any", "stop_price", 1, "given_stop"),
+    ("SUPER", "any", "stop_price", 2, "stop"),
+    ("SUPER", "any", "target_price", 1, "given_target"),
+    ("SUPER", "any", "target_price", 2, "target"),
+    ("SUPER", "any", "trail_jump", 1, "trail"),
+    ("FOREVER", "any", "order_type", 1, "'LIMIT'"),
+    ("FOREVER", "derivative", "product", 1, "'MARGIN'"),
+    ("FOREVER", "cash", "product", 1, "'CNC'"),
+    ("FOREVER", "any", "trigger_price", 1, "given_trigger"),
+    ("FOREVER", "any", "trigger_price", 2, "entry"),
+    ("FOREVER", "any", "price", 1, "given_limit"),
+    ("FOREVER", "any", "price", 2, "limit"),
+    ("SIMPLE", "any", "order_type", 1, "priced_type"),
+    ("SIMPLE", "derivative", "product", 1, "margin_for_delivery"),
+    ("SIMPLE", "any", "product", 2, "given_product"),
+    ("SIMPLE", "any", "price", 1, "given_limit"),
+    ("SIMPLE", "any", "trigger_price", 1, "given_trigger"),
+    ("ALERT", "any", "product", 1, "given_product"),
+    ("ALERT", "any", "trigger_price", 1, "entry"),
+    ("UNDERLYING_ALERT", "any", "product", 1, "given_product"),
+    ("UNDERLYING_ALERT", "any", "trigger_price", 1, "entry"),
+]
+NUMBERS, WORDS = ("price", "trigger_price", "stop_price", "target_price", "trail_jump"), ("order_type", "product")
+GIVEN = ("given_limit", "given_stop", "given_target", "given_trigger")
+
+
+def rule_table(spark: SparkSession, rules: list[tuple] = RULES) -> DataFrame:
+    """(route, family, rules): one row per kind of order and family, with its rules as an array."""
+    rows = spark.createDataFrame(rules, "route STRING, family STRING, field STRING, priority INT, source STRING")
+    either = F.explode(F.when(F.col("family") == "any", F.array(F.lit("derivative"), F.lit("cash"))).otherwise(F.array("family")))
+    return rows.withColumn("family", either).groupBy("route", "family").agg(F.collect_list(F.struct("field", "priority", "source")).alias("rules"))
+
+
+def apply_rules(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Resolve each field by its first rule whose source has a value; numbers without one are 0, words null.
+
+    Tickets meet the rules by one join on (route, family); the least (priority, value) of a field is its value.
+    """
+    positive = lambda c: F.when(F.col(c) > 0, F.col(c).cast("double"))
+    number_of = {r[4]: positive(r[4]) for r in RULES if r[2] in NUMBERS}
+    fixed = {r[4]: F.lit(r[4].strip("'")) for r in RULES if r[4].startswith("'")}
+    margin = F.when(F.col("given_product") == "CNC", "MARGIN")
+    word_of = fixed | {"given_product": F.col("given_product"), "margin_for_delivery": margin}
+    word_of["priced_type"] = X.order_type(F.col("given_trigger"), F.col("given_limit"))
+
+    def as_map(sources: dict[str, Column]) -> Column:
+        return F.create_map(*[x for k, v in sources.items() for x in (F.lit(k), v)])
+
+    def first(field: str, sources: str) -> Column:
+        own = F.filter("rules", lambda r: (r["field"] == field) & F.col(sources)[r["source"]].isNotNull())
+        return F.array_min(F.transform(own, lambda r: F.struct(r["priority"], F.col(sources)[r["source"]].alias("value"))))["value"]
+
+    df = df.join(table, ["route", "family"], "left").withColumns({"_numbers": as_map(number_of), "_words": as_map(word_of)})
+    fields = {f: F.coalesce(first(f, "_numbers"), F.lit(0.0)) for f in NUMBERS} | {f: first(f, "_words") for f in WORDS}
+    return df.withColumns(fields).drop("rules", "_numbers", "_words")
+
+
 def order_tickets(
     signals: DataFrame,
     settings: tuple[DataFrame, DataFrame, dict],
@@ -141,33 +205,43 @@ def order_tickets(
 ) -> DataFrame:
     """Signals (ticket_id, symbol, exch, signal, quant, entry) to complete tickets.
 
-    Settings, segment, strike, instrument with fallback, ladder, quantity, route and
-    trigger operator. Signals without a segment or an instrument give no ticket.
+    Signals may bring given_limit, given_stop, given_target, given_trigger (0 or missing: none) and
+    given_product (missing: INTRADAY). Settings, segment, strike, instrument with fallback, ladder, quantity,
+    route, the fields that RULES name, and trigger operator. Signals without a segment or an instrument give no
+    ticket, nor do alerts on an underlying that has none.
     """
     t = resolve_inputs(N.resolve_settings(signals, *settings))
     t = t.withColumn("mode", F.col("order_mode"))
     t = t.withColumn("seg", segment(F.col("exch"), F.col("mode"), F.col("is_index")))
     t = option_params(t.filter("seg <> ''"), **tables)
     t = N.lookup_with_fallback(t, cash_index, contract_index, **tables).filter("security_id IS NOT NULL")
-    is_opt = F.col("seg").isin(*K.OPTION_SEGMENTS)
-    route = route_order(mode, F.col("exch"), F.col("seg"))
-    t = t.withColumn("route", route)
-    # Only the bracketed order widens its ladder for options.
-    t = t.withColumn("raw_price", F.col("entry")).withColumn(
-        "ladder_side",
-        F.when(F.col("route") == "UNDERLYING_ALERT", F.col("signal")).otherwise(F.col("final_signal")),
+    is_opt, is_fut = F.col("seg").isin(*K.OPTION_SEGMENTS), F.col("seg").isin(*K.FUTURE_SEGMENTS)
+    t = t.withColumn("route", route_order(mode, F.col("exch"), F.col("seg")))
+    bracket, underlying = F.col("route") == "SUPER", F.col("route") == "UNDERLYING_ALERT"
+    t = t.withColumns(
+        {
+            # Only the bracketed order takes a given limit for a missing price, and widens its ladder for options.
+            "raw_price": F.when(bracket & (F.col("entry") <= 0), F.col("given_limit")).otherwise(F.col("entry")),
+            "ladder_side": F.when(underlying, F.col("signal")).otherwise(F.col("final_signal")),
+            "family": F.when(is_opt | is_fut, "derivative").otherwise("cash"),
+            "underlying_seg": F.when(underlying, F.coalesce(X.lookup(K.UNDERLYING_SEGMENT, F.col("seg")), F.col("seg"))),
+        }
     )
-    t = price_levels(t, "raw_price", "ladder_side", is_opt & (F.col("route") == "SUPER"), ladder)
+    t = price_levels(t, "raw_price", "ladder_side", is_opt & bracket, ladder)
+    t = apply_rules(t, rule_table(signals.sparkSession))
+    t = _with_underlying(t, cash_index)
     sized = order_quantity(F.col("deal_amount"), F.col("entry"), F.col("lot"), F.col("quant"))
     operator = F.when(F.col("ladder_side") == "BUY", "GREATER_THAN").otherwise("LESS_THAN")
     alert = F.col("route").isin("ALERT", "UNDERLYING_ALERT")
+    own_seg = exchange_segment(F.col("exch"), F.col("seg"))
     return t.withColumns(
         {
             "quantity": F.when(F.col("route") == "SIMPLE", F.col("quant") * F.col("lot")).otherwise(sized).cast("long"),
-            "exchange_seg": exchange_segment(F.col("exch"), F.col("seg")),
+            "exchange_seg": own_seg,
             "contract": contract_name(*[F.col(c) for c in ("symbol", "seg", "strike", "opt_type", "used_expiry")]),
             "trigger_operator": F.when(alert, operator),
-            "underlying_seg": F.when(F.col("route") == "UNDERLYING_ALERT", X.lookup(K.UNDERLYING_SEGMENT, F.col("seg"))),
+            "watched_id": F.when(underlying, F.col("underlying_id")).when(alert, F.col("security_id")),
+            "watched_seg": F.when(underlying, exchange_segment(F.col("exch"), F.col("underlying_seg"))).when(alert, own_seg),
         }
     ).select(
         "ticket_id",
@@ -178,23 +252,38 @@ def order_tickets(
         F.col("final_signal").alias("side"),
         "quantity",
         "route",
+        *WORDS,
         "entry",
         "limit",
         "stop",
         "stop_limit",
         "target",
         "trail",
+        *NUMBERS,
         "fell_back",
         "trigger_operator",
         "underlying_seg",
+        "watched_id",
+        "watched_seg",
     )
 
 
+def _with_underlying(t: DataFrame, cash_index: DataFrame) -> DataFrame:
+    """Add underlying_id; alerts on an underlying that is not listed go."""
+    found = cash_index.select("exch", "symbol", F.col("security_id").alias("underlying_id"))
+    cash = F.col("underlying_seg").isin(*K.CASH_SEGMENTS)
+    t = t.join(found, ["exch", "symbol"], "left").withColumn("underlying_id", F.when(cash, F.col("underlying_id")))
+    return t.filter("route <> 'UNDERLYING_ALERT' OR underlying_id IS NOT NULL")
+
+
 def resolve_inputs(df: DataFrame) -> DataFrame:
-    """Quantity rule and empty overrides for signals that carry none."""
-    for name, kind in (("o_opt_type", "string"), ("o_strike", "double")):
+    """Quantity rule, and empty overrides for signals that carry none."""
+    empty = {"o_opt_type": F.lit(None).cast("string"), "o_strike": F.lit(None).cast("double"), "given_product": F.lit(None).cast("string")}
+    empty |= {c: F.lit(None).cast("double") for c in GIVEN}
+    for name, none in empty.items():
         if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast(kind))
-    return df.withColumn(
+            df = df.withColumn(name, none)
+    fill = {c: F.coalesce(c, F.lit(0.0)) for c in GIVEN} | {"given_product": F.coalesce("given_product", F.lit("INTRADAY"))}
+    return df.withColumns(fill).withColumn(
         "quant", F.when(F.col("quant") > 1, F.col("quant")).otherwise(F.col("quantity"))
     ).drop("quantity")

@@ -11,6 +11,8 @@ from tickloom.operators import portfolio as P
 from tickloom.operators import tickets as T
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import query
+from tickloom.session import scratch_path
+from tickloom.sources import files as R
 
 # --- texts ------------------------------------------------------------------------
 
@@ -538,6 +540,70 @@ def order_tickets(spark, d):
     return out.select("ticket_id", "security_id", "side", "fell_back", "route", "entry", "quantity", "target", "exchange_seg")
 
 
+# The same signals with prices and products that a user gave.
+GIVEN_SQL = """given AS (SELECT o_orderkey AS ticket_id, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 510 ELSE 0 END AS gl, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 600 ELSE 0 END AS gs,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice / 400 ELSE 0 END AS gt, CASE WHEN o_orderkey % 7 < 3 THEN o_totalprice / 505 ELSE 0 END AS gg,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'CNC' WHEN '2-HIGH' THEN 'MARGIN' ELSE 'INTRADAY' END AS gp FROM orders)"""
+ROUTE_SQL = {
+    "SUPER": "CASE WHEN seg = 'OPTSTK' THEN 'SIMPLE' ELSE 'SUPER' END",
+    "FOREVER": "CASE seg WHEN 'OPTSTK' THEN 'SIMPLE' WHEN 'FUTIDX' THEN 'FOREVER' WHEN 'FUTSTK' THEN 'FOREVER' ELSE 'SUPER' END",
+    "ALERT": "CASE WHEN seg = 'EQUITY' THEN 'ALERT' ELSE 'UNDERLYING_ALERT' END",
+    "SIMPLE": "'SIMPLE'",
+}
+
+
+def _ladder(base: str, percent: float, up: str) -> str:
+    return f"CASE WHEN {up} THEN ceil({base} * (1 + {percent}::DOUBLE / 100)) ELSE floor({base} * (1 - {percent}::DOUBLE / 100)) END"
+
+
+def _mode_sql(mode: str) -> str:
+    head = TICKETS_SQL[: TICKETS_SQL.index("s6 AS (")]
+    buy = "ls = 'BUY'"
+    return head + f"""{GIVEN_SQL},
+r6 AS (SELECT *, CASE WHEN route = 'UNDERLYING_ALERT' THEN signal ELSE side END AS ls, seg <> 'EQUITY' AS fno FROM (SELECT *, {ROUTE_SQL[mode]} AS route FROM s5 WHERE id IS NOT NULL) JOIN given USING (ticket_id)),
+r7 AS (SELECT *, {_ladder("price", 0.13, buy)} AS en FROM r6),
+r8 AS (SELECT *, {_ladder("en", 0.5, buy)} AS lim, {_ladder("en", 0.7, "ls <> 'BUY'")} AS sto, {_ladder("en", 4.0, buy)} AS tar FROM r7)
+SELECT t.ticket_id, id AS security_id, side, route,
+  CASE WHEN route IN ('SUPER', 'FOREVER') THEN 'LIMIT' WHEN route = 'SIMPLE' THEN CASE WHEN gg > 0 AND gl > 0 THEN 'STOP_LOSS' WHEN gg > 0 THEN 'STOP_LOSS_MARKET' WHEN gl > 0 THEN 'LIMIT' ELSE 'MARKET' END ELSE '' END AS order_type,
+  CASE WHEN route = 'FOREVER' THEN CASE WHEN fno THEN 'MARGIN' ELSE 'CNC' END WHEN route = 'SIMPLE' AND fno AND gp = 'CNC' THEN 'MARGIN' ELSE gp END AS product,
+  CASE WHEN route LIKE '%ALERT' THEN 0 WHEN gl > 0 THEN gl WHEN route = 'SIMPLE' THEN 0 ELSE lim END AS price,
+  CASE WHEN route LIKE '%ALERT' THEN en WHEN route = 'SUPER' THEN 0 WHEN gg > 0 THEN gg WHEN route = 'FOREVER' THEN en ELSE 0 END AS trigger_price,
+  CASE WHEN route <> 'SUPER' THEN 0 WHEN gs > 0 THEN gs ELSE sto END AS stop_price, CASE WHEN route <> 'SUPER' THEN 0 WHEN gt > 0 THEN gt ELSE tar END AS target_price,
+  CASE WHEN route = 'SUPER' THEN ceil(en * 0.35::DOUBLE / 100) ELSE 0 END AS trail_jump,
+  CAST(CASE WHEN route = 'SIMPLE' THEN q * t.lot ELSE ceil(deal_amount / (en * t.lot)) * t.lot END AS BIGINT) AS quantity,
+  CASE WHEN route LIKE '%ALERT' THEN CASE WHEN {buy} THEN 'GREATER_THAN' ELSE 'LESS_THAN' END ELSE '' END AS trigger_operator,
+  CASE route WHEN 'ALERT' THEN id WHEN 'UNDERLYING_ALERT' THEN u.security_id ELSE '' END AS watched_id,
+  CASE route WHEN 'ALERT' THEN 'NSE_EQ' WHEN 'UNDERLYING_ALERT' THEN CASE WHEN seg LIKE '%IDX' THEN 'IDX_I' ELSE 'NSE_EQ' END ELSE '' END AS watched_seg
+FROM r8 t LEFT JOIN cash u ON u.exch = t.exch AND u.symbol = t.symbol WHERE route <> 'UNDERLYING_ALERT' OR u.security_id IS NOT NULL"""
+
+
+def _given_signals(spark, d):
+    o = A.table(spark, d, "orders")
+    k, price, prio = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderpriority")
+    given = o.select(
+        k.alias("ticket_id"),
+        F.when(k % 3 == 0, price / 510).otherwise(0.0).alias("given_limit"),
+        F.when(k % 4 == 0, price / 600).otherwise(0.0).alias("given_stop"),
+        F.when(k % 5 == 0, price / 400).otherwise(0.0).alias("given_target"),
+        F.when(k % 7 < 3, price / 505).otherwise(0.0).alias("given_trigger"),
+        F.when(prio == "1-URGENT", "CNC").when(prio == "2-HIGH", "MARGIN").otherwise("INTRADAY").alias("given_product"),
+    )
+    return _signals(spark, d).join(given, "ticket_id")
+
+
+def _mode_query(mode: str) -> None:
+    @query(f"order_tickets_{mode.lower()}", _mode_sql(mode), r="price trigger_price stop_price target_price")
+    def run(spark, d):
+        cash, contracts = N.instrument_index(_master(spark, d))
+        out = T.order_tickets(_given_signals(spark, d), _settings(spark, d), cash, contracts, mode, **TABLES)
+        words = [F.coalesce(c, F.lit("")).alias(c) for c in ("order_type", "product", "trigger_operator", "watched_id", "watched_seg")]
+        return out.select("ticket_id", "security_id", "side", "route", *words, *T.NUMBERS, "quantity")
+
+
+for _mode in ROUTE_SQL:
+    _mode_query(_mode)
+
+
 # --- positions and orders ----------------------------------------------------------
 
 POS_SQL = """pos AS MATERIALIZED (SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS security_id, CASE WHEN c_acctbal < -900 THEN '' ELSE c_name END AS trading_symbol,
@@ -595,6 +661,29 @@ def position_report(spark, d):
     return _report(spark, d)
 
 
+DETAILS_SQL = f"""{MASTER_SQL},
+details AS MATERIALIZED (SELECT security_id, arg_max(display_raw, load_pos) AS display, arg_max(symbol, load_pos) AS symbol, arg_max(inst, load_pos) AS inst,
+  arg_max(strike, load_pos) AS strike, arg_max(opt_type, load_pos) AS opt_type, arg_max(expiry, load_pos) AS expiry
+  FROM master m WHERE inst <> 'INDEX' OR load_pos = (SELECT min(load_pos) FROM master x WHERE x.security_id = m.security_id) GROUP BY 1)"""
+
+
+def _shown_master(spark, d):
+    return _master(spark, d).withColumnRenamed("display_raw", "display")
+
+
+@query(
+    "position_details",
+    f"""WITH {REPORT_SQL}, {DETAILS_SQL} SELECT security_id, status, pnl, coalesce(display, trading_symbol) AS display_name, coalesce(symbol, trading_symbol) AS base_symbol,
+    split_part(exchange_seg, '_', 1) AS exchange, CASE WHEN inst LIKE '%OPT%' THEN 'OPT' WHEN inst LIKE '%FUT%' THEN 'FUT' WHEN inst LIKE '%EQ%' OR inst = 'INDEX' THEN 'EQ' ELSE '' END AS family,
+    coalesce(strike, 0.0) AS strike, coalesce(opt_type, '') AS opt_type, coalesce(expiry, '') AS expiry FROM rep LEFT JOIN details USING (security_id)""",
+    digits=4,
+    r="pnl strike",
+)
+def position_details(spark, d):
+    out = P.with_instruments(_report(spark, d), _shown_master(spark, d))
+    return out.select("security_id", "status", "pnl", "display_name", "base_symbol", "exchange", "family", "strike", "opt_type", "expiry")
+
+
 @query("pnl_totals", f"WITH {REPORT_SQL} SELECT status, count(*) AS n, sum(pnl) AS pnl FROM rep GROUP BY 1", digits=3, r="pnl")
 def pnl_totals(spark, d):
     return P.pnl_totals(_report(spark, d))
@@ -624,11 +713,14 @@ def live_payload(spark, d):
 
 @query(
     "live_payload_maps",
-    f"WITH {REPORT_SQL} SELECT count(*) AS n_keys FROM rep",
+    f"""WITH {REPORT_SQL} SELECT CAST((row_number() OVER (ORDER BY key) - 1) // 16 AS BIGINT) AS part, key, CAST(pnl AS DOUBLE) AS pnl, status
+    FROM (SELECT *, status || '_' || security_id AS key FROM rep)""",
+    r="pnl",
 )
 def live_payload_maps(spark, d):
-    maps = P.live_payload_maps(_report(spark, d), 16)
-    return maps.agg(F.sum(F.size("payload")).alias("n_keys"))
+    """Every entry of the maps, with the map that it is in."""
+    maps = P.live_payload_maps(_report(spark, d), 16).select("part", F.explode("payload").alias("key", "payload"))
+    return maps.select("part", "key", F.from_json("payload", "pnl double, status string").alias("p")).select("part", "key", "p.*")
 
 
 # Orders: the status column mapped to broker states; lineitems are the legs.
@@ -688,23 +780,51 @@ def explode_legs(spark, d):
 DETAIL = "concat_ws(' | ', CASE WHEN qty <> 0 THEN 'Qty: ' || qty END, CASE WHEN {t} > 0 THEN 'Trig: ' || CAST({t} AS VARCHAR) END, CASE WHEN {p} > 0 THEN 'Lmt: ' || CAST({p} AS VARCHAR) END)"
 
 
+# Alerts are files of the broker's shape, made of the orders that are partly traded.
+ALERTS_SQL = """al AS (SELECT 'A' || order_id AS order_id, CAST(o_orderkey % 400 AS VARCHAR) AS security_id, side, qty, price, trigger_price, 'note ' || side AS note,
+  CASE WHEN qty > 4 THEN '2024-12-31' ELSE '' END AS expires FROM ord WHERE status = 'PART_TRADED')"""
+
+
+def _alerts(spark, d):
+    o = _book_orders(spark, d).withColumn("status", F.when(F.col("status") == "TRADED", "EXPIRED").otherwise(F.col("status")))
+    order = F.struct(
+        (F.col("order_id").cast("long") % 400).cast("string").alias("securityId"), F.col("qty").alias("quantity"),
+        "price", F.col("side").alias("transactionType"),
+    )
+    condition = F.struct(
+        F.concat(F.lit("note "), "side").alias("userNote"), F.col("trigger_price").alias("comparingValue"),
+        F.when(F.col("qty") > 4, "2024-12-31").alias("expDate"),
+    )
+    path = scratch_path(spark, "alerts")
+    o.filter("status <> 'PENDING'").select(
+        F.concat(F.lit("A"), "order_id").alias("alertId"), F.col("status").alias("alertStatus"), condition.alias("condition"),
+        F.array(order).alias("orders"),
+    ).write.json(path)
+    return R.read_alerts(spark, path)
+
+
+@query(
+    "read_alerts",
+    f"""WITH {OB_SQL}, {ALERTS_SQL}, {DETAILS_SQL} SELECT order_id, coalesce(display, 'Trig: ' || security_id) AS symbol, side, qty, price, trigger_price, note, expires
+    FROM al LEFT JOIN details USING (security_id)""",
+    r="price trigger_price",
+)
+def read_alerts(spark, d):
+    out = P.alert_orders(_alerts(spark, d), _shown_master(spark, d))
+    return out.select("order_id", "symbol", "side", "qty", "price", "trigger_price", "note", "expires")
+
+
 @query(
     "order_book",
-    f"""WITH {OB_SQL} SELECT symbol, order_id, '' AS leg, coalesce(order_type, 'MARKET') AS type, side, {DETAIL.format(t='trigger_price', p='price')} AS detail FROM ord WHERE status <> 'TRADED'
+    f"""WITH {OB_SQL}, {ALERTS_SQL}, {DETAILS_SQL} SELECT symbol, order_id, '' AS leg, coalesce(order_type, 'MARKET') AS type, side, {DETAIL.format(t='trigger_price', p='price')} AS detail FROM ord WHERE status <> 'TRADED'
     UNION ALL SELECT symbol, order_id, leg, 'SUPER', side, {DETAIL.format(t='trigger_price', p='price')} || CASE WHEN leg <> 'ENTRY_LEG' THEN ' (' || leg || ')' ELSE '' END FROM legs
     UNION ALL SELECT symbol, order_id, 'TARGET_LEG', 'FOREVER', side, {DETAIL.format(t='trigger_price', p='price')} FROM ord WHERE status = 'PENDING'
-    UNION ALL SELECT 'Trig: ' || symbol, 'A' || order_id, '', 'ALERT', side, {DETAIL.format(t='trigger_price', p='price')} FROM ord WHERE status = 'PART_TRADED'""",
+    UNION ALL SELECT coalesce(display, 'Trig: ' || security_id), order_id, '', 'ALERT', side, {DETAIL.format(t='trigger_price', p='price')} FROM al LEFT JOIN details USING (security_id)""",
 )
 def order_book(spark, d):
     o = _book_orders(spark, d)
     forever = o.filter("status = 'PENDING'").withColumn("leg", F.lit(None).cast("string"))
-    alerts = o.filter("status = 'PART_TRADED'").select(
-        "status",
-        F.concat(F.lit("A"), "order_id").alias("alert_id"),
-        F.struct(F.col("trigger_price").alias("value")).alias("condition"),
-        F.array(F.struct(F.col("symbol").alias("security_id"), "side", "qty", "price")).alias("orders"),
-    )
-    return P.order_book(P.pending_orders(o), P.explode_legs(o), forever, P.alert_orders(alerts))
+    return P.order_book(P.pending_orders(o), P.explode_legs(o), forever, P.alert_orders(_alerts(spark, d), _shown_master(spark, d)))
 
 
 @query(
