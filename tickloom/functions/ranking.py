@@ -29,3 +29,17 @@ def range_numbers(df: DataFrame, group: str, order: list[Column], number: str, s
     out = dealt.withColumn("_inside", inside).join(counts, same)
     cols = [F.col(c) for c in df.columns] + [(F.col("_before") + F.col("_inside")).alias(number)]
     return out.select(*cols, *([F.col("_size").alias(size)] if size else []))
+
+
+def placed(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """``ordered`` with the place (from 1) of each row in the order that it has.
+
+    Rows are numbered inside their partition, and the sizes of the partitions before it, one number each, are added.
+    """
+    rows = materialise(ordered.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = rows.groupBy(part).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", F.shiftright("_at", 33)).join(starts, "_part")
+    inside = F.col("_at") - F.shiftleft(F.col("_part"), 33)
+    return out.select(*[F.col(c) for c in ordered.columns], (F.col("_before") + inside + 1).alias(place))

@@ -122,20 +122,27 @@ def with_forced(ranked: DataFrame, forced: DataFrame) -> DataFrame:
 def sector_heat(
     scan: DataFrame, sectors: DataFrame, sort: str = "volume_fast", order: str = "desc"
 ) -> DataFrame:
-    """Average volumes of each sector, ordered by ``sort``: volume_fast, volume_slow or name."""
+    """Average volumes of each sector, ordered by ``sort``: volume_fast, volume_slow or name.
+
+    Who is in a sector are rows of their own, see ``sector_members``.
+    """
     rows = sectors.join(scan, "symbol")
     heat = rows.groupBy("sector").agg(
         F.avg("volume_fast").alias("avg_fast"),
         F.avg("volume_slow").alias("avg_slow"),
         F.count("symbol").alias("n_symbols"),
         F.max_by("symbol", F.struct("volume_fast", "symbol")).alias("top_symbol"),
-        F.array_sort(F.collect_set("symbol")).alias("symbols"),
     )
     heat = heat.withColumn("heat", F.least(F.col("avg_fast") / 200, F.lit(1.0)))
     key = F.col({"volume_fast": "avg_fast", "volume_slow": "avg_slow", "name": "sector"}[sort])
     return heat.orderBy(key.desc_nulls_last() if order == "desc" else key.asc_nulls_first(), "sector")
 
 
+def sector_members(scan: DataFrame, sectors: DataFrame) -> DataFrame:
+    """(sector, symbol, volume_fast, volume_slow): one row per member, however many a sector has."""
+    return sectors.join(scan, "symbol").select("sector", "symbol", "volume_fast", "volume_slow")
+
+
 def sector_detail(bars: DataFrame, sectors: DataFrame, name: str, **scan_args) -> DataFrame:
     """Scan of one sector's members. An unknown sector yields no rows; see sector_exists."""
     return surge_scan(bars, symbols=sectors.filter(F.col("sector") == name), **scan_args)

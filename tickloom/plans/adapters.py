@@ -54,6 +54,21 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.ohlc_bars(ticks(spark, sf_dir), 60)
 
 
+#: Desks that the users are dealt to, for reports that need long series.
+DESKS = 20
+
+
+def desk_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of all ticks with a desk of users as symbol."""
+    t = ticks(spark, sf_dir)
+    number = F.substring("symbol", 2, 20).cast("long") % DESKS
+    return B.ohlc_bars(t.withColumn("symbol", F.concat(F.lit("G"), number.cast("string"))), 60)
+
+
+def desk_sql(sql: str) -> str:
+    return sql.replace("'T' || CAST(user_id AS VARCHAR) AS symbol", f"'G' || CAST(user_id % {DESKS} AS VARCHAR) AS symbol")
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipments as a daily panel: value = quantity, ltp = average unit price."""
     li = table(spark, sf_dir, "lineitem")

@@ -6,10 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tickloom.functions import constants as K
 from tickloom.functions import scalar as X
 from tickloom.operators import bars as B
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import query
+from tickloom.session import materialise
 
 BAR_COLS = ["symbol", "day", "slot", "bar", "vol_cum", "price", "volume"]
 
@@ -192,3 +194,27 @@ def look_back_window(spark, d):
     now = datetime(2024, 1, 30)
     t = A.ticks(spark, d).filter(X.in_window(F.col("ts"), now, days=7, hours=12))
     return t.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(
+    "bars_per_day",
+    f"""WITH {A.BARS_SQL}, full_days AS (SELECT symbol, day, slot, day_idx FROM bars WHERE day_idx < (SELECT max(day_idx) FROM bars))
+    SELECT tf, per_day, count(*) AS n_days, min(n) AS least, max(n) AS most FROM (
+      SELECT '3' AS tf, 125 AS per_day, symbol, day, count(*) AS n FROM full_days GROUP BY symbol, day
+      UNION ALL SELECT '15', 25, symbol, day, count(DISTINCT (slot - 1) // 5) FROM full_days GROUP BY symbol, day
+      UNION ALL SELECT 'D', 1, symbol, day, 1 FROM full_days GROUP BY symbol, day) GROUP BY 1, 2""",
+)
+def bars_per_day(spark, d):
+    """Every whole day of every symbol has the bars that its timeframe asks for."""
+    base = A.base_bars(spark, d)
+    last = base.agg(F.max("day_idx").alias("last"))
+    full = materialise(base.join(last, F.col("day_idx") < F.col("last")).select("symbol", "day", "slot"), "days")
+    parts = []
+    for tf, step in K.TIMEFRAME_MINUTES.items():
+        if tf in ("3", "15", "D"):
+            slot = F.lit(0) if tf == "D" else F.floor((F.col("slot") - 1) / (step // 3))
+            n = full.groupBy("symbol", "day").agg(F.count_distinct(slot).alias("n"))
+            parts.append(n.select(F.lit(tf).alias("tf"), F.lit(X.bars_per_day(tf)).alias("per_day"), "n"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("tf", "per_day").agg(F.count("*").alias("n_days"), F.min("n").alias("least"), F.max("n").alias("most"))
+

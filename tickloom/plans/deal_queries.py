@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as X
+from tickloom.functions.ranking import placed
 from tickloom.operators import instruments as N
 from tickloom.operators import match as M
 from tickloom.operators import portfolio as P
@@ -861,10 +862,11 @@ def signal_summary(spark, d):
 
 @query(
     "sort_by",
-    "SELECT c_name AS symbol, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS key FROM customer",
+    """SELECT *, row_number() OVER (ORDER BY key NULLS FIRST, symbol) AS place
+    FROM (SELECT c_name AS symbol, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS key FROM customer)""",
     r="key",
 )
 def sort_by(spark, d):
     c = A.table(spark, d, "customer")
     rows = c.select(F.col("c_name").alias("symbol"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("key"))
-    return X.sort_by(rows, "key", "asc")
+    return placed(X.sort_by(rows, "key", "asc"))

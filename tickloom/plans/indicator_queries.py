@@ -11,6 +11,7 @@ from tickloom.operators import indicators as I
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import query
 from tickloom.plans.signal_sql import Chain
+from tickloom.session import materialise
 
 # A symbol's daily closes, numbered; the averages seeded by the first value run on these.
 DAILY_SQL = f"""WITH {A.PANEL_SQL}, daily AS MATERIALIZED (SELECT symbol, value, ltp,
@@ -72,14 +73,15 @@ def ma_report(spark, d):
 
 @query(
     "indicator_series",
-    f"""WITH {A.BARS_SQL}, one AS MATERIALIZED (SELECT symbol, bar, volume FROM bars WHERE symbol = 'T8')
+    f"""WITH {A.BARS_SQL}, one AS MATERIALIZED (SELECT symbol, bar, volume FROM bars WHERE symbol = (SELECT min(symbol) FROM bars))
     SELECT a.symbol, a.bar, sum(pow(1 - 2.0::DOUBLE / 22, a.bar - b.bar) * b.volume *
       CASE WHEN b.bar = 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE / 22 END) AS value
     FROM one a JOIN one b ON b.bar <= a.bar GROUP BY 1, 2""",
     r="value",
 )
 def indicator_series(spark, d):
-    return I.indicator_series(A.base_bars(spark, d), "T8", "volume", "ema", 21)
+    bars = materialise(A.base_bars(spark, d), "bars")
+    return I.indicator_series(bars, bars.agg(F.min("symbol")).first()[0], "volume", "ema", 21)
 
 
 def _hourly(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.ranking import placed
 from tickloom.operators import bars as B
 from tickloom.operators import scan as S
 from tickloom.plans import adapters as A
@@ -115,22 +116,19 @@ def price_buckets(spark, d):
     return S.price_buckets(_scan(spark, d), 100)
 
 
-# Sectors of the tick symbols: the nation of the same number, and its region.
-TICK_SECTORS_SQL = """tick_sectors AS (SELECT n_name AS sector, 'T' || n_nationkey AS symbol FROM nation
-  UNION SELECT r_name, 'T' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)"""
-
-
-def _placed(ordered):
-    """The place of each row in the order that the operator gave it (a report has few rows)."""
-    return ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+# Sectors of the tick symbols: users are dealt to nations, and belong to their region too.
+TICK_SECTORS_SQL = """tick_sectors AS (SELECT n_name AS sector, symbol FROM dealt JOIN nation ON n_nationkey = k
+  UNION SELECT r_name, symbol FROM dealt JOIN nation ON n_nationkey = k JOIN region ON n_regionkey = r_regionkey)"""
+TICK_SECTORS_SQL = "dealt AS (SELECT DISTINCT 'T' || user_id AS symbol, user_id % 25 AS k FROM events), " + TICK_SECTORS_SQL
 
 
 def tick_sectors(spark, d):
-    n = A.table(spark, d, "nation")
+    user = A.table(spark, d, "events").select("user_id").distinct()
+    users = user.select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("symbol"), (F.col("user_id") % 25).alias("n_nationkey"))
+    n = users.join(A.table(spark, d, "nation"), "n_nationkey")
     r = A.table(spark, d, "region")
-    symbol = F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("symbol")
-    narrow = n.select(F.col("n_name").alias("sector"), symbol)
-    broad = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("sector"), symbol)
+    narrow = n.select(F.col("n_name").alias("sector"), "symbol")
+    broad = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("sector"), "symbol")
     return narrow.union(broad).distinct()
 
 
@@ -138,13 +136,20 @@ def tick_sectors(spark, d):
     "sector_heat",
     f"""{SCAN}, {TICK_SECTORS_SQL}
 SELECT sector, avg(volume_fast) AS avg_fast, avg(volume_slow) AS avg_slow, count(*) AS n_symbols,
-  arg_max(symbol, (volume_fast, symbol)) AS top_symbol, array_to_string(list_sort(list(symbol)), ',') AS symbols,
-  least(avg(volume_fast) / 200, 1.0) AS heat,
+  arg_max(symbol, (volume_fast, symbol)) AS top_symbol, least(avg(volume_fast) / 200, 1.0) AS heat,
   row_number() OVER (ORDER BY avg(volume_fast) DESC NULLS LAST, sector) AS place
 FROM tick_sectors JOIN scan USING (symbol) GROUP BY sector""", r="avg_fast avg_slow heat")
 def sector_heat(spark, d):
-    heat = S.sector_heat(_scan(spark, d), tick_sectors(spark, d))
-    return _placed(heat.withColumn("symbols", F.array_join("symbols", ",")))
+    return placed(S.sector_heat(_scan(spark, d), tick_sectors(spark, d)))
+
+
+@query(
+    "sector_members",
+    f"{SCAN}, {TICK_SECTORS_SQL} SELECT sector, symbol, volume_fast, volume_slow FROM tick_sectors JOIN scan USING (symbol)",
+    2,
+)
+def sector_members(spark, d):
+    return S.sector_members(_scan(spark, d), tick_sectors(spark, d))
 
 
 @query(
@@ -161,6 +166,7 @@ def sector_detail(spark, d):
 @query(
     "symbol_series",
     f"""WITH {A.BARS_SQL} SELECT bar, CAST(bar AS VARCHAR) || ': ' || strftime(t, '%d/%m_%H%M') AS label, volume, price
-    FROM (SELECT *, CAST(day AS TIMESTAMP) + to_minutes(CAST(slot * 3 + 555 AS INT)) AS t FROM bars WHERE symbol = 'T8')""", r="volume price")
+    FROM (SELECT *, CAST(day AS TIMESTAMP) + to_minutes(CAST(slot * 3 + 555 AS INT)) AS t FROM bars WHERE symbol = (SELECT min(symbol) FROM bars))""", r="volume price")
 def symbol_series(spark, d):
-    return S.symbol_series(A.base_bars(spark, d), "T8")
+    bars = materialise(A.base_bars(spark, d), "bars")
+    return S.symbol_series(bars, bars.agg(F.min("symbol")).first()[0])

@@ -301,15 +301,15 @@ def gate_alerts(spark, d):
 
 @query(
     "vol_osc_scan",
-    Chain().roc("volume", "v").osc("v_fast", "v_sig", "vosc_code", 0, False).roc("close", "p").osc("p_fast", "p_sig", "posc_code").sql(
+    A.desk_sql(Chain().roc("volume", "v").osc("v_fast", "v_sig", "vosc_code", 0, False).roc("close", "p").osc("p_fast", "p_sig", "posc_code").sql(
         """symbol, v_fast AS vosc, p_fast AS posc, posc_code, vosc_code <> 0 AS vosc_active, signal_ts FROM (SELECT *, max(bar) OVER (PARTITION BY symbol) AS mb,
         last_value(CASE WHEN posc_code >= 3 THEN bar_ts END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS signal_ts
         FROM TOP) WHERE bar = mb AND posc_code <> 0"""
-    ),
+    )),
     r="vosc posc",
 )
 def vol_osc_scan(spark, d):
-    return G.vol_osc_scan(A.hourly(spark, d), sort="posc")
+    return G.vol_osc_scan(A.desk_hourly(spark, d), sort="posc")
 
 
 @query(

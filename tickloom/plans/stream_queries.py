@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import scalar as X
+from tickloom.operators import bars as B
 from tickloom.operators import indicators as I
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import query
 from tickloom.plans.signal_sql import Chain
-from tickloom.session import scratch_path
+from tickloom.plans.source_queries import DATED, POLLS
+from tickloom.session import materialise, scratch_path
 from tickloom.sources import sinks as W
 from tickloom.streaming import streams as S
 
@@ -137,3 +140,41 @@ def stream_osc_signal(spark, d):
     out = out.filter("NOT late").drop("late")
     ready = rows.filter("sig IS NOT NULL").select("symbol", "bar")
     return out.join(ready, ["symbol", "bar"], "left_semi")
+
+
+def _followed_files(spark, d):
+    """Snapshot files land in three parts, by day and poll; the job starts anew for each, some files a batch.
+
+    Each part brings files that are no snapshots too: one without a time in its name, and lines that are cut short.
+    """
+    s = B.slot_snapshots(A.snapshots(spark, d), 3)
+    end = X.bar_end_ts(F.col("day"), F.col("slot"), 3)
+    rows = s.select("symbol", "vol_cum", F.lit("0.00").alias("vol_val_cum"), "price", F.date_format(end, "ddMMyyyy").alias("d"), F.date_format(end, "HHmm").alias("hm"), "slot")
+    rows = materialise(rows, "rows")
+    root, store, check = (scratch_path(spark, f"files-{x}") for x in ("in", "store", "checkpoint"))
+    for k in range(3):
+        part = rows.filter(F.col("slot") % 3 == k)
+        some = part.filter(F.col("slot") == 12 + k)
+        cut, odd = some.withColumn("price", F.lit(None).cast("double")), some.withColumn("hm", F.lit("none"))
+        whole = part.unionByName(cut).unionByName(odd).drop("slot")
+        whole.repartition("d").write.mode("append").option("header", True).partitionBy("d", "hm").csv(root)
+        lines = S.stream_lines(spark, root, max_files=1500).withColumn("path", F.col("_metadata.file_path"))
+        S.follow(lines, S.snapshot_writer(store, DATED), check, live=False).awaitTermination()
+    return store
+
+
+@query("stream_snapshots", POLLS + " SELECT symbol, snap_ts, vol_cum, price FROM s", r="vol_cum price")
+def stream_snapshots(spark, d):
+    """The snapshots of all files after three starts of the job equal a batch read."""
+    return spark.read.parquet(f"{_followed_files(spark, d)}/snapshots").select("symbol", "snap_ts", "vol_cum", "price")
+
+
+@query(
+    "stream_broken_files",
+    POLLS + """, odd AS (SELECT *, CAST((date_diff('minute', CAST(day AS TIMESTAMP), snap_ts) - 555) / 3 AS INT) AS slot FROM s)
+    SELECT reason, count(*) AS n FROM odd, (SELECT unnest(['short row', 'no time in the name']) AS reason) WHERE slot IN (12, 13, 14) GROUP BY 1""",
+)
+def stream_broken_files(spark, d):
+    rows = spark.read.parquet(f"{_followed_files(spark, d)}/broken")
+    return rows.groupBy("reason").agg(F.sum("n").alias("n"))
+

@@ -112,9 +112,9 @@ EQUAL = """symbol, bar, CASE WHEN side = 'high' THEN 'EQH' ELSE 'EQL' END AS lab
     WHERE abs(was - level) < 0.2::DOUBLE * atr"""
 
 
-@query("equal_levels", _pivots(Chain().step(TR_STEP).rma({"atr": ("tr", 200)}), 5, "p").sql(EQUAL))
+@query("equal_levels", A.desk_sql(_pivots(Chain().step(TR_STEP).rma({"atr": ("tr", 200)}), 5, "p").sql(EQUAL)))
 def equal_levels(spark, d):
-    return M.equal_levels(_h(spark, d))
+    return M.equal_levels(A.desk_hourly(spark, d))
 
 
 for _p, _kind in (("s", "swing"), ("i", "internal")):
@@ -126,9 +126,9 @@ for _p, _kind in (("s", "swing"), ("i", "internal")):
     )
 
 
-@query("structure_breaks_confluence", _struct_chain(True).sql("symbol, bar, bias, tag, level FROM br_i"))
+@query("structure_breaks_confluence", A.desk_sql(_struct_chain(True).sql("symbol, bar, bias, tag, level FROM br_i")))
 def structure_breaks_confluence(spark, d):
-    return M.structure_breaks(_h(spark, d), "internal", use_confluence=True, **SIZES)
+    return M.structure_breaks(A.desk_hourly(spark, d), "internal", use_confluence=True, **SIZES)
 
 
 def _blocks(spark, d):

@@ -64,13 +64,24 @@ def snapshot_manifest(
     return files.join(newest, "day", "left_semi").select("path", "snap_ts", "day")
 
 
-def _clean(raw: DataFrame, pattern: str) -> DataFrame:
+def broken_rows(raw: DataFrame, pattern: str = SNAPSHOT_PATH, path: Column | None = None) -> DataFrame:
+    """(path, reason, n): rows that no snapshot is made of, or not a whole one, by file and reason."""
+    path = F.col("_metadata.file_path") if path is None else path
+    short = F.col("symbol").isNull() | F.col("price").isNull()
+    numbers = F.col("vol_cum").try_cast("double").isNull() | F.col("price").try_cast("double").isNull()
+    reason = F.when(path_time(path, pattern).isNull(), "no time in the name").when(short, "short row").when(numbers, "not a number")
+    rows = raw.select(path.alias("path"), reason.alias("reason")).filter("reason IS NOT NULL")
+    return rows.groupBy("path", "reason").agg(F.count("*").alias("n"))
+
+
+def _clean(raw: DataFrame, pattern: str, path: Column | None = None) -> DataFrame:
     """Short rows go; each number is parsed on its own, so one bad value keeps the other."""
+    path = F.col("_metadata.file_path") if path is None else path
     unquoted = F.trim(F.regexp_replace("symbol", "[\"']", ""))
     return X.rename_symbols(
         raw.filter("symbol IS NOT NULL AND price IS NOT NULL").select(
             unquoted.alias("symbol"),
-            path_time(F.col("_metadata.file_path"), pattern).alias("snap_ts"),
+            path_time(path, pattern).alias("snap_ts"),
             F.col("vol_cum").try_cast("double").alias("vol_cum"),
             F.col("price").try_cast("double").alias("price"),
         )

@@ -30,6 +30,11 @@ def stream_snapshots(
     spark: SparkSession, root: str, pattern: str = files.SNAPSHOT_PATH, max_files: int | None = None
 ) -> DataFrame:
     """New snapshot files under the dated folders, as they land."""
+    return files._clean(stream_lines(spark, root, max_files), pattern)
+
+
+def stream_lines(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
+    """The lines of new snapshot files as they are; each file is read in one batch, at most ``max_files`` a batch."""
     reader = (
         spark.readStream.schema(files.SNAPSHOT_SCHEMA)
         .option("header", True)
@@ -38,7 +43,23 @@ def stream_snapshots(
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return files._clean(reader.csv(root), pattern)
+    return reader.csv(root)
+
+
+def snapshot_writer(store: str, pattern: str = files.SNAPSHOT_PATH):
+    """A foreachBatch function over lines with their ``path``: snapshots go to one table, what is broken is counted in another.
+
+    Both are written under the batch id, so a batch that runs again after a failure replaces what it wrote.
+    """
+    snaps, broken = f"{store}/snapshots", f"{store}/broken"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path, number = F.col("path"), F.lit(batch_id)
+        for rows, to in ((files._clean(batch, pattern, path), snaps), (files.broken_rows(batch, pattern, path), broken)):
+            out = rows.withColumn("batch", number).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            out.partitionBy("batch").parquet(to)
+
+    return write
 
 
 def stream_bars(
