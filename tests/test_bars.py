@@ -11,6 +11,7 @@ from tickloom.operators import bars as B
 from tickloom.sources import files as R
 from tickloom.sources import sinks as W
 from tickloom.streaming import streams as S
+from tickloom.streaming.segments import Segments, files_of
 
 HEAD = '﻿"symbol","vol_cum","vol_val_cum","price"\n'
 
@@ -182,6 +183,27 @@ def test_replayed_batch_changes_nothing(spark, corpus, tmp_path):
     assert W.read_bars(spark, str(tmp_path / "store/bars"), "3").orderBy("symbol", "bar").collect() == first
 
 
+def test_segments_stay_few_and_replay(spark, tmp_path):
+    """After 40 batches a day has few files; a batch that runs again, or broke off before its manifest, changes nothing."""
+    root, schema = str(tmp_path / "s"), "n LONG, day STRING"
+    store = Segments(spark, root, ["day"], fan=3)
+    frame = lambda k: spark.range(k * 4, k * 4 + 4).selectExpr("id AS n", "concat('d', id % 2) AS day")
+    most = 0
+    for k in range(40):
+        if k == 20:  # broken off: data without a manifest
+            store._write(frame(999), (0, k, k))
+        own = store.add(frame(k), k, schema)
+        assert own.count() == 4
+        if k in (7, 8, 26):
+            store.add(frame(k), k, schema)
+        most = max(most, len(store.manifest()))
+    assert sorted(r.n for r in store.read(schema).collect()) == list(range(160))
+    assert sorted(r.n for r in store.read(schema, 39).collect()) == list(range(156))
+    assert most <= 2 * 4
+    counts = {r.value: r.files for r in files_of(spark, root, "day").collect()}
+    assert set(counts) == {"d0", "d1"} and max(counts.values()) <= 2 * 4 + 3
+
+
 def test_lists_and_labels(spark, tmp_path):
     (tmp_path / "list.txt").write_text("AAA\n\n# note\n BBB \n")
     got = R.read_symbol_list(spark, str(tmp_path / "list.txt")).collect()

@@ -88,3 +88,22 @@ def test_same_deal_passes_once_in_each_scan(spark, tmp_path):
     assert sorted((r.signal, r.scan_start.strftime("%H:%M")) for r in got.collect()) == [
         ("BUY", "10:00"), ("BUY", "10:03"), ("BUY", "11:00"), ("BUY", "12:00"), ("SELL", "10:00")
     ]
+
+
+def test_live_cadence_starts_at_once_and_counts_broken_files(spark, tmp_path):
+    """The polling trigger: what is there is read when the job starts, new files at the next poll; broken ones are counted."""
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    (root / "02012024").mkdir(parents=True)
+    (root / "02012024" / "v_0916.csv").write_text("symbol,vol_cum,vol_val_cum,price\nA,1,0,10\nB,x,0,20\nC,3\n")
+    (root / "02012024" / "notes.csv").write_text("symbol,vol_cum,vol_val_cum,price\nD,1,0,10\n")
+    lines = S.stream_lines(spark, str(root), 1).withColumn("path", F.col("_metadata.file_path"))
+    q = S.follow(lines, S.snapshot_writer(store), str(tmp_path / "cp"), live=True)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.read.parquet(f"{store}/snapshots").collect()
+    assert sorted((r.symbol, r.vol_cum, r.price) for r in rows if r.symbol == "A") == [("A", 1.0, 10.0)]
+    assert [r.vol_cum for r in rows if r.symbol == "B"] == [None] and len(rows) == 2
+    broken = spark.read.parquet(f"{store}/broken").groupBy("reason").agg(F.sum("n").alias("n")).collect()
+    assert {r.reason: r.n for r in broken} == {"no time in the name": 1, "short row": 1, "not a number": 1}

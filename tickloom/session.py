@@ -62,8 +62,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove all that this application stored. Results that still read from it are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder; none if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -16,6 +16,7 @@ from tickloom.functions import scalar as X
 from tickloom.operators import bars as B
 from tickloom.session import ROCKSDB_PROVIDER
 from tickloom.sources import files, sinks
+from tickloom.streaming.segments import Segments
 
 # Polling cadence of the snapshots.
 CADENCE = {"processingTime": "3 minutes"}
@@ -84,41 +85,43 @@ def _last_of_days(slots: DataFrame) -> DataFrame:
     return slots.join(last, ["day", "snap_ts"]).select("symbol", "day", "snap_ts").distinct()
 
 
-def bar_table_writer(store: str, tf_minutes: int = 3):
+LASTS = "symbol STRING, day DATE, snap_ts TIMESTAMP_NTZ"
+
+
+def bar_table_writer(store: str, tf_minutes: int = 3, fan: int = 8):
     """A foreachBatch function that keeps a bar table equal to a full reload.
 
     The slotted rows of a batch and the symbols of the last snapshots of its days are
-    stored under its batch id (a replay replaces them). Calendar and universe come from
-    the second, small table. Days are rebuilt that the batch touched, that were the
+    stored as a segment of their own (a replay replaces them; ``segments`` merges them in
+    time, so a day has few files after any number of batches). Calendar and universe come
+    from the second, small table. Days are rebuilt that the batch touched, that were the
     newest until now (a newest day ends at its last snapshot), or whose number changed
     because an earlier day came late; all days if the universe gained or lost a symbol,
     since each day has a row for every symbol.
     """
-    slots, lasts, table = f"{store}/slots", f"{store}/lasts", f"{store}/bars"
+    table = f"{store}/bars"
     per_day = -(-K.SESSION_MINUTES // tf_minutes)
 
-    def add(rows: DataFrame, path: str, *parts: str) -> None:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*parts).parquet(path)
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mine = B.slot_snapshots(batch, tf_minutes).withColumn("batch", F.lit(batch_id))
-        add(mine.repartition("day"), slots, "batch", "day")
-        stored = spark.read.parquet(slots)
-        mine = stored.filter(F.col("batch") == batch_id)
+        slots = Segments(spark, f"{store}/slots", ["day"], fan)
+        lasts = Segments(spark, f"{store}/lasts", [], fan, _last_of_days)
+        rows = B.slot_snapshots(batch, tf_minutes)
+        # The partition column is read last.
+        kinds = [f for f in rows.schema if f.name != "day"] + [f for f in rows.schema if f.name == "day"]
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+        mine = slots.add(rows, batch_id, schema)
         touched = {r["day"] for r in mine.select("day").distinct().collect()}  # of one batch, at most the calendar
+        lasts.add(_last_of_days(mine), batch_id, LASTS)
         if not touched:
             return
-        add(_last_of_days(mine).withColumn("batch", F.lit(batch_id)), lasts, "batch")
 
         def state(rows: DataFrame) -> tuple[DataFrame, DataFrame, list]:
             calendar = B.snapshot_calendar(rows, tf_minutes)
             return B.symbol_universe(rows, calendar), calendar, [r["day"] for r in calendar.select("day").orderBy("day").collect()]
 
-        seen = spark.read.parquet(lasts)
-        universe, calendar, days = state(seen)
-        old, _, old_days = state(seen.filter(F.col("batch") < batch_id))
+        universe, calendar, days = state(lasts.read(LASTS))
+        old, _, old_days = state(lasts.read(LASTS, batch_id))
         moved = universe.exceptAll(old).unionByName(old.exceptAll(universe))
         first_new = min(set(days) - set(old_days), default=None)
         if not moved.isEmpty():
@@ -131,7 +134,7 @@ def bar_table_writer(store: str, tf_minutes: int = 3):
 
         # The day is a partition of the store: only the rebuilt days' values are read.
         wanted = F.col("day").isin(again)
-        known = stored.filter(wanted).groupBy("symbol", "day", "slot").agg(latest("vol_cum"), latest("price"))
+        known = slots.read(schema).filter(wanted).groupBy("symbol", "day", "slot").agg(latest("vol_cum"), latest("price"))
         grid = B.dense_grid(universe, calendar, per_day).filter(wanted)
         rows = grid.join(known, ["symbol", "day", "slot"], "left")
         sinks.write_bars(B.volume_delta(B.fill_gaps(rows)), table, str(tf_minutes))
