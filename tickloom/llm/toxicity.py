@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import id_fold, stored, whole_text
 
-#: The fit sees at most so many labelled rows, those whose hashed ids are smallest, and at most so many terms.
-MAX_ROWS, MAX_TERMS = 20_000, 5_000
+#: The fit sees at most so many labelled rows, those whose hashed ids are smallest.
+MAX_ROWS = 20_000
 #: A term is in the lexicon if at least so many toxic rows hold it, and for so many times their share of rows.
 MIN_ROWS, MIN_ODDS = 4, 8.0
 TREES, DEPTH = 20, 3
@@ -131,7 +131,7 @@ def measured(rows: DataFrame, lexicon: Lexicon, learn: bool) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Terms that toxic rows hold more often, from (text, label): at most MAX_TERMS of them reach the driver."""
+    """Terms that toxic rows hold more often, from (text, label). The labelled rows, of which there are at most MAX_ROWS, bound them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,7 +146,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
     )
     ratio = ((F.col("toxic") + 0.1) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    best = held.where((F.col("toxic") >= MIN_ROWS) & (ratio >= MIN_ODDS)).orderBy(F.desc(ratio), "term").limit(MAX_TERMS)
+    best = held.where((F.col("toxic") >= MIN_ROWS) & (ratio >= MIN_ODDS)).orderBy(F.desc(ratio), "term")
     return Lexicon({r["term"]: (r["toxic"], r["clean"]) for r in best.collect()}, n_toxic, n_clean)
 
 
@@ -176,7 +176,9 @@ class Model:
             grow = calibrate = rows
         trees = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=11)
         trees.setPredictionCol("__side").setProbabilityCol("__odds").setRawPredictionCol("__raw")
-        self.trees = trees.fit(grow.repartition(8, "doc_id").sortWithinPartitions("doc_id").cache())
+        grow = grow.repartition(8, "doc_id").sortWithinPartitions("doc_id").cache()
+        self.trees = trees.fit(grow)
+        grow.unpersist()
         calibrate = self.margins(calibrate).select(F.col("label").cast("double").alias("label"), "__margin")
         self.level = IsotonicRegression(featuresCol="__margin", predictionCol="__score").fit(calibrate)
 
