@@ -27,6 +27,8 @@ from tickloom.llm.common import shared_path, stored, whole_text
 WIDTH = 192
 #: A shard is closed once it is this long.
 SHARD_BYTES = 64 << 20
+#: Bytes of media that one task reads back.
+TASK_BYTES = 64 << 20
 #: Signature, and the header chunk with width, height, depth and kind: all that a header read takes.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -136,8 +138,8 @@ def addresses(index: DataFrame) -> DataFrame:
     return index.groupBy("digest").agg(place).select("digest", "p.*")
 
 
-def _by_shard(places: DataFrame, folder: str, size, row, schema: str) -> DataFrame:
-    """Range reads of every place, in order within its shard; ``row`` gets the bytes and gives columns."""
+def _by_shard(places: DataFrame, folder: str, row, schema: str) -> DataFrame:
+    """Range reads of every place, in order within its shard; ``row`` gets the file, its name, offset and length and gives columns."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store_, path = fs.FileSystem.from_uri(folder)
@@ -146,27 +148,35 @@ def _by_shard(places: DataFrame, folder: str, size, row, schema: str) -> DataFra
             for name, part in pdf.sort_values(["shard", "offset"]).groupby("shard"):
                 with store_.open_input_file(f"{path}/{name}") as f:
                     for digest, offset, length in zip(part["digest"], part["offset"], part["length"], strict=True):
-                        out.append((digest, *row(f.read_at(size(length), offset))))
+                        out.append((digest, *row(f, name, int(offset), int(length))))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return places.mapInPandas(read, schema)
 
 
+def spread(places: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Places in ranges of (shard, offset), as many as their media need for ``task_bytes`` each."""
+    total = places.agg(F.sum("length")).first()[0] or 0
+    return places.repartitionByRange(max(1, -(-total // task_bytes)), "shard", "offset")
+
+
 def headers(places: DataFrame, folder: str) -> DataFrame:
     """digest, width, height: HEADER_BYTES of each member are read and no sample."""
-    return _by_shard(places, folder, lambda n: HEADER_BYTES, png_size, "digest string, width long, height long")
+    return _by_shard(places, folder, lambda f, _, at, n: png_size(f.read_at(HEADER_BYTES, at)), "digest string, width long, height long")
 
 
 def samples(places: DataFrame, folder: str) -> DataFrame:
-    """digest, and what is computed of the bytes read back."""
+    """digest, where it is, its size by its header, and what is computed of the bytes read back."""
 
-    def row(media: bytes):
+    def row(f, name: str, at: int, n: int):
+        size = png_size(f.read_at(HEADER_BYTES, at))
+        media = f.read_at(n, at)
         got = from_png(media)
-        size = png_size(media[:HEADER_BYTES])
-        return (len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), hashlib.sha256(media).hexdigest(), features(got, *size))
+        sums = len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-16:]), hashlib.sha256(media).hexdigest()
+        return (name, at, n, *size, *sums, features(got, *size))
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
-    return _by_shard(places, folder, int, row, schema)
+    schema = "digest string, shard string, offset long, length long, width long, height long, payload_bytes long, payload_sha256 string, "
+    return _by_shard(places, folder, row, schema + "tail_crc32 long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -182,11 +192,10 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_path(spark, "media")
     folder = folder if ":/" in folder else f"file://{folder}"
     index = store(docs, folder)
-    # Members of a shard are spread over tasks in ranges, so a large shard is not one task.
-    places = stored(addresses(index).repartitionByRange("shard", "offset"), "media-places")
-    found = headers(places, folder).join(samples(places, folder), "digest")
-    found = found.join(places, "digest")
-    rows = index.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    # Members of a shard are spread over tasks by the bytes of media, so a large shard is not one task.
+    places = stored(addresses(index), "media-places")
+    found = samples(spread(places), folder)
+    rows = index.select("doc_id", "n_bytes", "digest").hint("merge").join(found, "digest")
     return rows.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.col("length").alias("media_bytes"), "media_sha256", "feature", "shard", "offset", "width", "height",
