@@ -53,3 +53,34 @@ def test_cut_words():
     assert m.cut_words(" a b  c d ", [(0, 1), (1, 2)]) == "a b"
     assert m.cut_words(" a b  c d ", [(2, 4), (0, 2)]) == " a b  c d "
     assert m.cut_words("a b c", [(0, 1), (2, 3)]) == "a\nc"
+
+
+def test_targets_recomputed_from_the_table(spark):
+    """Sizes, capped shares and what each source gives, worked out from the rows alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    rows = docs.collect() + [(10**6, None, "a b c"), (10**6 + 1, "", "one"), (10**6 + 2, "é", None)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    sizes = defaultdict(int)
+    for _, source, text in rows:
+        sizes[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    names = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), set(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    source_of = {i: s for i, s, _ in rows}
+    taken = defaultdict(int)
+    for r in m.mix_report(docs).collect():
+        s = source_of[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - target[s]) < 1e-6 * max(1, target[s])
+        taken[s] += r["taken"]
+    assert any(target[s] == 2 * sizes[s] for s in names) and any(target[s] < 2 * sizes[s] for s in names)
+    assert all(abs(taken[s] - target[s]) <= m.BLOCK for s in names)
