@@ -1,5 +1,7 @@
 """Stateful streams over several batches against their batch forms."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as I
@@ -107,3 +109,28 @@ def test_live_cadence_starts_at_once_and_counts_broken_files(spark, tmp_path):
     assert [r.vol_cum for r in rows if r.symbol == "B"] == [None] and len(rows) == 2
     broken = spark.read.parquet(f"{store}/broken").groupBy("reason").agg(F.sum("n").alias("n")).collect()
     assert {r.reason: r.n for r in broken} == {"no time in the name": 1, "short row": 1, "not a number": 1}
+
+
+def test_late_bars_within_the_window_correct_what_followed(spark, tmp_path):
+    """Bars in any order over many batches, repeated and changed ones; the last versions equal folding all at once."""
+    S.use_rocksdb(spark)
+    rng, root, schema = random.Random(3), str(tmp_path / "in"), "symbol STRING, day STRING, bar INT, vol_cum DOUBLE"
+    true = {b: (f"d{b // 10}", float((b % 10) * 7 + b % 3)) for b in range(1, 61)}
+    order = sorted(true, key=lambda b: b + rng.randrange(12))
+    batches = [order[k : k + 12] for k in range(0, 60, 12)]
+    for k, batch in enumerate(batches):
+        rows = [("A", true[b][0], b, true[b][1]) for b in batch]
+        rows += [("A", true[b][0], b, true[b][1] + 1000.0) for b in batch[:1] if k < 4]  # wrong, put right in the next batch
+        rows = [r for r in rows if k == 4 or r[2] != batch[0] or r[3] >= 1000] + [("A", true[b][0], b, true[b][1]) for b in (batches[k - 1][:1] if k else [])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(root)
+        got = run(S.stream_moving_average(spark.readStream.schema(schema).parquet(root), "rma", 8, window=40), tmp_path)
+    rows = got.collect()
+    assert not any(r.late for r in rows) and max(r.version for r in rows) > 1
+    assert len({(r.bar, r.version) for r in rows}) == len(rows)
+    whole = spark.createDataFrame([("A", b, v) for b, v in ((b, true[b][1] if b == 1 or true[b][0] != true[b - 1][0] else max(true[b][1] - true[b - 1][1], 0.0)) for b in true)], "symbol STRING, bar INT, volume DOUBLE")
+    want = {r.bar: (r.volume, r.ma) for r in whole.withColumn("ma", I.rma("volume", 8)).collect()}
+    last = {r.bar: (r.volume, r.ma) for r in S.latest_version(got).collect()}
+    assert last.keys() == want.keys() and all(abs(last[b][k] - want[b][k]) < 1e-9 for b in want for k in (0, 1))
+    spark.createDataFrame([("A", "d0", 5, 1.0)], schema).coalesce(1).write.mode("append").parquet(root)
+    got = run(S.stream_moving_average(spark.readStream.schema(schema).parquet(root), "rma", 8, window=40), tmp_path)
+    assert [r.bar for r in got.collect() if r.late] == [5]

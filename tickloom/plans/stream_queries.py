@@ -69,6 +69,22 @@ def stream_moving_average(spark, d):
     return out.filter("NOT late").drop("late")
 
 
+@query(
+    "stream_corrected_average",
+    f"""WITH {A.BARS_SQL}, v AS MATERIALIZED (SELECT symbol, bar, volume FROM bars)
+    SELECT a.symbol, a.bar, any_value(a.volume) AS volume, sum(pow(1 - 1.0::DOUBLE / 8, a.bar - b.bar) * b.volume * CASE WHEN b.bar = 1 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / 8 END) AS ma
+    FROM v a JOIN v b ON a.symbol = b.symbol AND b.bar <= a.bar GROUP BY 1, 2""",
+    r="volume ma",
+)
+def stream_corrected_average(spark, d):
+    """Every eleventh bar comes 40 bars late; what followed it is corrected, so the last versions equal a reload."""
+    S.use_rocksdb(spark)
+    late = F.when(F.col("bar") % 11 == 7, 40).otherwise(0)
+    bars = A.base_bars(spark, d).select("symbol", F.col("day").cast("string").alias("day"), "bar", "vol_cum", (F.col("bar") + late).alias("at"))
+    run = lambda rows, path, check: S.run_to_files(S.stream_moving_average(rows, window=128), path, check)
+    return S.latest_version(_fed(bars, "at", "corrected", run))
+
+
 ALERTS_SQL = """SELECT symbol, alert_id, signal FROM (SELECT *, lag(signal) OVER (PARTITION BY symbol ORDER BY alert_id) AS p FROM (
   SELECT 'C' || o_custkey AS symbol, o_orderkey AS alert_id, CASE WHEN o_totalprice > 250000 THEN 'BUY' ELSE 'SELL' END AS signal FROM orders))
 WHERE p IS DISTINCT FROM signal"""

@@ -174,14 +174,85 @@ class _Average(StatefulProcessor):
         pass
 
 
-def stream_moving_average(bars: DataFrame, kind: str = "rma", n: int = K.FAST_LEN) -> DataFrame:
+class _Corrected(StatefulProcessor):
+    """The same average with the last ``window`` bars open to correction.
+
+    State is those bars, and of the bar before them what its successor needs. Whatever comes in is put in its place
+    among them; from the first place that changed on, bars are folded again and come out with a higher version.
+    """
+
+    def __init__(self, alpha: float, window: int):
+        self.alpha, self.window = alpha, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState(
+            "open",
+            "base INT, base_day STRING, base_cum DOUBLE, base_ma DOUBLE, "
+            "bars ARRAY<INT>, days ARRAY<STRING>, cums ARRAY<DOUBLE>, mas ARRAY<DOUBLE>, versions ARRAY<INT>",
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        start = (0, None, 0.0, None, [], [], [], [], [])
+        base, day, cum, ma, bars, days, cums, mas, versions = self.state.get() if self.state.exists() else start
+        late, held = [], {b: [d, c, m, v, False] for b, d, c, m, v in zip(bars, days, cums, mas, versions, strict=True)}
+        for part in rows:
+            for b, d, c in zip(part["bar"].tolist(), part["day"].tolist(), part["vol_cum"].tolist(), strict=True):
+                if b <= base:
+                    late.append(b)
+                elif b not in held or held[b][:2] != [d, c]:
+                    held[b] = [d, c, None, held[b][3] + (not held[b][4]) if b in held else 0, True]
+        if late:
+            yield pd.DataFrame({"symbol": key[0], "bar": late, "volume": np.nan, "ma": np.nan, "late": True, "version": 0})
+        order = sorted(held)
+        first = next((k for k, b in enumerate(order) if held[b][4]), None)
+        if first is None:
+            return
+        if first:
+            day, cum, ma = held[order[first - 1]][:3]
+        new = order[first:]
+        cums = np.array([held[b][1] for b in new], float)
+        before = [day] + [held[b][0] for b in new[:-1]]
+        same = np.array([held[b][0] == d for b, d in zip(new, before, strict=True)])
+        vol = np.where(same, np.maximum(cums - np.r_[cum, cums[:-1]], 0.0), cums)
+        chain = vol if ma is None else np.r_[ma, vol]
+        mas = pd.Series(chain).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[-len(vol) :]
+        for b, m in zip(new, mas.tolist(), strict=True):
+            row = held[b]
+            row[3] += not row[4] and row[2] is not None  # was told before, and is told again
+            row[2] = m
+        out = {"symbol": key[0], "bar": new, "volume": vol, "ma": mas, "late": False, "version": [held[b][3] for b in new]}
+        yield pd.DataFrame(out)
+        closed, kept = order[: -self.window], order[-self.window :]
+        if closed:
+            base, (day, cum, ma) = closed[-1], held[closed[-1]][:3]
+        else:
+            base, day, cum, ma = (self.state.get() if self.state.exists() else start)[:4]
+        self.state.update((base, day, cum, ma, kept, *([held[b][k] for b in kept] for k in range(4))))
+
+    def close(self) -> None:
+        pass
+
+
+def latest_version(rows: DataFrame) -> DataFrame:
+    """(symbol, bar, volume, ma) as last corrected; late bars are left out."""
+    values = F.max_by(F.struct("volume", "ma"), "version").alias("v")
+    return rows.filter("NOT late").groupBy("symbol", "bar").agg(values).select("symbol", "bar", "v.*")
+
+
+def stream_moving_average(bars: DataFrame, kind: str = "rma", n: int = K.FAST_LEN, window: int = 0) -> DataFrame:
     """(symbol, day, bar, vol_cum) stream to per-bar volume and its moving average.
 
     A bar that is not newer than what was folded in comes out as a row with ``late``
-    set and no values, so that late bars can be counted and reloaded.
+    set and no values, so that late bars can be counted and reloaded. With a ``window``
+    the last so many bars of a symbol can still be corrected: a late one among them, or a
+    changed one, comes out with all after it, with a higher ``version``; only older ones are late.
     """
     alpha = 2.0 / (n + 1) if kind == "ema" else 1.0 / n
     rows = bars.select("symbol", F.col("day").cast("string").alias("day"), "bar", "vol_cum")
+    if window:
+        return rows.groupBy("symbol").transformWithStateInPandas(
+            _Corrected(alpha, window), "symbol STRING, bar INT, volume DOUBLE, ma DOUBLE, late BOOLEAN, version INT", "append", "None"
+        )
     return rows.groupBy("symbol").transformWithStateInPandas(
         _Average(alpha), "symbol STRING, bar INT, volume DOUBLE, ma DOUBLE, late BOOLEAN", "append", "None"
     )
