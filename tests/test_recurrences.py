@@ -1,5 +1,6 @@
 """Averages, the latch and the indicators against plain recurrences."""
 
+import functools
 import itertools
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.recurrence import decayed_in_blocks, latched
+from tickloom.functions.statescan import scan_states, step_map
 from tickloom.operators import indicators as I
 
 # Twenty-eight closes whose averages were worked out by hand.
@@ -100,3 +102,33 @@ def test_rsi_without_losses_is_100(spark):
     df = I.rsi(series(spark, [float(v) for v in range(1, 30)]), "x", 8, "y")
     assert values(df)[8:] == [100.0] * 21
     assert values(df)[:8] == [None] * 8
+
+
+def test_state_scan_equals_a_loop(spark):
+    """Blocks of 4 and 64 steps, several levels of them; gaps in the positions, one long and many short series."""
+    rng, rows, want = random.Random(11), [], {}
+    steps = [(0, 1, 2), (1, 1, 0), (2, 0, 2), (1, 2, 0), (0, 0, 0), (2, 1, 1)]
+    for s, n in (("long", 700), ("gap", 90), ("one", 1), (None, 30)):
+        at, state = rng.randrange(3), 1
+        for _ in range(n):
+            at += rng.choice([1, 1, 1, 5]) if s == "gap" else 1
+            k = rng.randrange(len(steps))
+            state = steps[k][state]
+            rows.append((s, at, k))
+            want[s, at] = state
+    df = spark.createDataFrame(rows, "symbol STRING, bar INT, k INT")
+    to = [functools.reduce(lambda c, k: c.when(F.col("k") == k, steps[k][j]), range(1, 6), F.when(F.col("k") == 0, steps[0][j])) for j in range(3)]
+    for block in (4, 64):
+        got = {(r.symbol, r.bar): r.y for r in scan_states(df, "symbol", "bar", step_map(*to), 3, "y", 1, block).collect()}
+        assert got == want
+    assert scan_states(df.limit(0), "symbol", "bar", step_map(*to), 3, "y").count() == 0
+
+
+def test_latch_as_a_state_scan(spark):
+    rng = random.Random(12)
+    rows = [(s, b, rng.random() < 0.3, rng.random() < 0.3) for s in "AB" for b in range(500)]
+    df = spark.createDataFrame(rows, "symbol STRING, bar INT, e BOOLEAN, s BOOLEAN")
+    e, s = F.col("e"), F.col("s")
+    step = step_map(F.when(e, 1).otherwise(0), F.when(s, 0).otherwise(1))
+    got = {(r.symbol, r.bar): bool(r.y) for r in scan_states(df, "symbol", "bar", step, 2, "y", block=32).collect()}
+    assert got == {(r.symbol, r.bar): r.y for r in latched(df, "symbol", "bar", "e", "s", "y").collect()}

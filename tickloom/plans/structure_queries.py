@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.statescan import scan_states, step_map
 from tickloom.operators import structure as M
 from tickloom.plans import adapters as A
 from tickloom.plans.registry import query
@@ -277,3 +278,26 @@ def _flags_sql() -> str:
 @query("structure_flags", _flags_sql())
 def structure_flags(spark, d):
     return M.structure_flags(materialise(_h(spark, d), "hourly"), **SIZES)
+
+
+# A position: entered flat on a strong bar, left on any bar of the other side.
+RAW_SQL = "CASE WHEN close > open * 1.5 THEN 3 WHEN close < open / 1.5 THEN 4 WHEN close > open THEN 1 WHEN close < open THEN 2 ELSE 0 END"
+NEXT_SQL = "CASE {s} WHEN 0 THEN CASE raw WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END WHEN 1 THEN CASE WHEN raw IN (2, 4) THEN 0 ELSE 1 END ELSE CASE WHEN raw IN (1, 3) THEN 0 ELSE 2 END END"
+
+
+@query(
+    "positions_in_blocks",
+    A.desk_sql(
+        f"""WITH RECURSIVE {A.HOURLY_SQL}, raw AS MATERIALIZED (SELECT symbol, bar, {RAW_SQL} AS raw FROM hourly),
+    held AS (SELECT symbol, bar, {NEXT_SQL.format(s="0")} AS pos FROM raw WHERE bar = 1
+      UNION ALL SELECT r.symbol, r.bar, {NEXT_SQL.format(s="h.pos")} FROM held h JOIN raw r ON r.symbol = h.symbol AND r.bar = h.bar + 1)
+    SELECT symbol, bar, pos FROM held"""
+    ),
+)
+def positions_in_blocks(spark, d):
+    """Flat (0), long (1) or short (2) after each bar: blocks of 64 bars as maps of states, composed."""
+    raw = F.col("raw")
+    bars = A.desk_hourly(spark, d).withColumn("raw", F.expr(RAW_SQL))
+    flat = F.when(raw == 3, 1).when(raw == 4, 2).otherwise(0)
+    step = step_map(flat, F.when(raw.isin(2, 4), 0).otherwise(1), F.when(raw.isin(1, 3), 0).otherwise(2))
+    return scan_states(bars, "symbol", "bar", step, 3, "pos", block=64).select("symbol", "bar", "pos")
