@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,9 +218,13 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     spans = taken_spans(rows.select("number", "size", "__start"), mix, **how)
     spans = spans.groupBy("number", "__start", "around").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t or "", [(int(s["from"]), int(s["to"])) for s in x]) for t, x in zip(text, spans, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        # One text and its spans at a time as Python values; the others stay in Arrow.
+        offset, flat = spans.offsets.to_numpy(), spans.flatten()
+        begin, end, offset = flat.field("from").to_numpy(), flat.field("to").to_numpy(), offset - offset[0]
+        rows = ((t.as_py() or "", slice(lo, hi)) for t, lo, hi in zip(text, offset[:-1], offset[1:], strict=True))
+        return pa.array((cut_words(t, list(zip(begin[k].tolist(), end[k].tolist(), strict=True))) for t, k in rows), pa.string())
 
     # A document without words has the start of the next one.
     out = rows.where("size > 0").join(spans, ["number", "__start"]).withColumn("__text", cut("__doc.text", "spans"))
