@@ -118,6 +118,15 @@ def test_deals(spark):
     assert [r.x for r in s.select(G.profit_strength(F.col("m"), F.col("p")).alias("x")).collect()] == [25, 100]
 
 
+def test_a_deal_keeps_the_profit_of_its_last_bar_that_has_one(spark):
+    rows = [("A", 1, 20.0, 4), ("A", 2, 16.0, 2), ("A", 3, 0.0, 6), ("A", 4, 30.0, 4), ("A", 5, 40.0, 2), ("A", 6, 0.0, 2)]
+    df = spark.createDataFrame(rows, "symbol STRING, bar INT, close DOUBLE, code INT")
+    led = G.deal_ledger(df).orderBy("deal").collect()
+    assert [(r.last_bar, r.profit, r.max_profit, r.closed) for r in led] == [(3, 25.0, 25.0, True), (6, -25.0, 0.0, False)]
+    got = G.stats_table(G.deal_stats(G.deal_ledger(df))).first()
+    assert (got.deals, got.total_max_profit, got.win_rate) == (2, 25.0, 0.5)
+
+
 def test_trailing_extreme_bars(spark):
     df = walk(spark, 300, 2, seed=8)
     piv = {(r.symbol, r.bar, r.side): r.level for r in M.pivots(df, 10).collect()}
