@@ -2,12 +2,14 @@
 
 import os
 from datetime import datetime
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as X
 from tickloom.operators import bars as B
+from tickloom.operators import scan as C
 from tickloom.sources import files as R
 from tickloom.sources import sinks as W
 from tickloom.streaming import streams as S
@@ -213,3 +215,18 @@ def test_lists_and_labels(spark, tmp_path):
     assert [r.s for r in df.collect()] == ["nifty_midsmall_it_telecom.csv", "nifty_financial_services_25_50.csv"]
     df = spark.createDataFrame([("nse:nifty1!",), ("M&M",)], "n STRING").select(X.clean_symbol(F.col("n")).alias("s"))
     assert [r.s for r in df.collect()] == ["NSENIFTY", "M&M"]
+
+
+def test_simple_averages_of_a_scan_do_not_depend_on_the_order_of_bars(spark):
+    prices = [107.76, 12.34, 0.1, 33.07, 250.19, 71.3]
+    rows = [(f"S{k}", b, 130, p, 0.0) for k, p in enumerate(prices) for b in range(1, 131)]
+    df = spark.createDataFrame(rows, "symbol STRING, bar INT, last_bar INT, price DOUBLE, volume DOUBLE")
+
+    def action(p):
+        # One by one: Python's sum() corrects its rounding.
+        fast, slow = (list(accumulate([p] * n))[-1] / n for n in (8, 21))
+        return (fast > slow) - (fast < slow)
+
+    for parts in (1, 3, 7):
+        got = C.surge_scan(df.repartition(parts, "bar"), "sma").orderBy("symbol").collect()
+        assert [r.price_ma_action for r in got] == [action(p) for p in prices], parts

@@ -14,10 +14,13 @@ def _final_average(c: str, kind: str, n: int) -> Column:
 
     The average on the last bar weighs each bar by its age alone, so no ordered
     pass is needed: the sum combines map-side and no symbol is ever gathered.
+    Only a simple average gathers bars, the last ``n`` of a symbol.
     """
     age = F.col("last_bar") - F.col("bar")
     if kind.lower() == "sma":
-        total = F.sum(F.when(age < n, F.col(c)).otherwise(0.0)) / n
+        # Added up bar by bar: in another order a flat series has averages that differ by a last bit.
+        last = F.array_sort(F.collect_list(F.when(age < n, F.struct("bar", F.col(c).alias("x")))))
+        total = F.aggregate(last, F.lit(0.0), lambda done, b: done + F.coalesce(b["x"], F.lit(0.0))) / n
         return F.when(F.max("last_bar") >= n, total).otherwise(0.0)
     alpha = 2.0 / (n + 1) if kind.lower() == "ema" else 1.0 / n
     weight = F.when(F.col("bar") == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1.0 - alpha), age)
