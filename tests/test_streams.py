@@ -134,3 +134,27 @@ def test_late_bars_within_the_window_correct_what_followed(spark, tmp_path):
     spark.createDataFrame([("A", "d0", 5, 1.0)], schema).coalesce(1).write.mode("append").parquet(root)
     got = run(S.stream_moving_average(spark.readStream.schema(schema).parquet(root), "rma", 8, window=40), tmp_path)
     assert [r.bar for r in got.collect() if r.late] == [5]
+
+
+def test_symbols_share_groups_of_state(spark, tmp_path, monkeypatch):
+    """Many symbols in few groups, over several batches, without and with missing values: as each on its own."""
+    S.use_rocksdb(spark)
+    monkeypatch.setattr(S, "GROUPS", 2)
+    rows = [(f"S{i % 7}" if i % 7 else None, i, (None, "BUY", "SELL")[(i // 9) % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "symbol STRING, alert_id LONG, signal STRING")
+    (tmp_path / "alerts").mkdir()
+    got = run(S.dedup_alerts(feed(spark, tmp_path / "alerts", df, 3, "alert_id")), tmp_path / "alerts")
+    last, want = {}, []
+    for symbol, i, signal in rows:
+        want += [(symbol, i, signal)] if last.get(symbol) != signal else []
+        last[symbol] = signal
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+    osc = spark.range(1, 61).selectExpr("CAST(id AS INT) AS bar", "explode(sequence(1, 5)) AS k")
+    osc = osc.selectExpr("concat('S', k) AS symbol", "bar", "sin(bar / (3D + k)) AS fast", "sin((bar - 2) / (3D + k)) AS sig").filter("bar > 4 * k")
+    codes = []
+    for name, parts, groups in (("few", 3, 2), ("many", 1, 1000)):
+        monkeypatch.setattr(S, "GROUPS", groups)
+        (tmp_path / name).mkdir()
+        got = run(S.stream_osc_signal(feed(spark, tmp_path / name, osc, parts, "bar")), tmp_path / name)
+        codes.append(sorted((r.symbol, r.bar, r.code, r.late) for r in got.collect()))
+    assert len(codes[0]) == 240 and codes[0] == codes[1] and len({c for _, _, c, _ in codes[0]}) > 3

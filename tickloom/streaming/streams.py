@@ -258,19 +258,40 @@ def stream_moving_average(bars: DataFrame, kind: str = "rma", n: int = K.FAST_LE
     )
 
 
+#: Groups that symbols are dealt to: a group's symbols share one call and one state, as both cost more than the rows of one.
+GROUPS = 1024
+
+
+def _dealt(rows: DataFrame):
+    """``rows`` grouped by the number of their symbol's group."""
+    return rows.withColumn("_group", F.pmod(F.xxhash64("symbol"), F.lit(GROUPS)).cast("int")).groupBy("_group")
+
+
+def _by_symbol(rows: Iterator[pd.DataFrame], order: str) -> tuple[pd.DataFrame, list, np.ndarray]:
+    """The rows of a group by symbol and ``order``, the symbols, and where the rows of each begin."""
+    # A group's rows come in parts of no order.
+    part = pd.concat(list(rows), ignore_index=True)
+    code, names = pd.factorize(part["symbol"], use_na_sentinel=False)
+    at = np.lexsort((part[order].to_numpy(), code))
+    begins = np.flatnonzero(np.diff(code[at], prepend=-1))
+    return part.iloc[at].reset_index(drop=True), [None if pd.isna(n) else n for n in names], begins
+
+
 class _NewSignals(StatefulProcessor):
-    """Passes an alert when its signal differs from the symbol's last one."""
+    """Passes an alert when its signal differs from the last one of its symbol; a key is a group of symbols."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "signal STRING")
+        self.state = handle.getValueState("last", "symbols ARRAY<STRING>, signals ARRAY<STRING>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
-        rows = pd.concat(list(rows)).sort_values("alert_id")
-        before = rows["signal"].shift(1)
-        before.iloc[0] = last
-        self.state.update((str(rows["signal"].iloc[-1]),))
-        yield rows[rows["signal"] != before][["symbol", "alert_id", "signal"]]
+        last = dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+        rows, names, begins = _by_symbol(rows, "alert_id")
+        signals = rows["signal"].astype(object).where(rows["signal"].notna(), None).to_numpy()
+        before = np.r_[np.array([None], object), signals[:-1]]
+        before[begins] = [last.get(n) for n in names]
+        last.update(zip(names, signals[np.r_[begins[1:] - 1, len(rows) - 1]].tolist(), strict=True))
+        self.state.update((list(last.keys()), list(last.values())))
+        yield rows[signals != before][["symbol", "alert_id", "signal"]]
 
     def close(self) -> None:
         pass
@@ -288,7 +309,7 @@ def dedup_alerts(alerts: DataFrame, enabled: bool = True, block: int = 100_000)
         return alerts
     rows = alerts.select("symbol", "alert_id", "signal")
     if alerts.isStreaming:
-        return rows.groupBy("symbol").transformWithStateInPandas(
+        return _dealt(rows).transformWithStateInPandas(
             _NewSignals(), "symbol STRING, alert_id LONG, signal STRING", "append", "None"
         )
     rows = rows.withColumn("_b", F.floor(F.col("alert_id") / block))
@@ -320,7 +341,7 @@ def once_per_scan(deals: DataFrame, ts: str = "ts", scan: str = "3 minutes") ->
 
 
 class _Oscillator(StatefulProcessor):
-    """The oscillator position of one symbol, bar by bar, from (fast, sig)."""
+    """The oscillator positions of a group of symbols, bar by bar, from (fast, sig)."""
 
     def __init__(self, center: float, short_ok: bool):
         self.center, self.short_ok = center, short_ok
@@ -328,14 +349,16 @@ class _Oscillator(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
             "pos",
-            "bar INT, recent ARRAY<DOUBLE>, angles ARRAY<DOUBLE>, sig DOUBLE, "
-            "active BOOLEAN, was_long BOOLEAN, was_short BOOLEAN",
+            "symbols ARRAY<STRING>, bars ARRAY<INT>, recent ARRAY<ARRAY<DOUBLE>>, angles ARRAY<ARRAY<DOUBLE>>, sigs ARRAY<DOUBLE>, "
+            "active ARRAY<BOOLEAN>, was_long ARRAY<BOOLEAN>, was_short ARRAY<BOOLEAN>",
         )
 
     def _trend(self, recent: np.ndarray, angles: np.ndarray, fast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Direction of each new bar, and the angles with the carried ones in front."""
-        n, x = K.TREND_RANGE, pd.Series(np.r_[recent, fast])
-        top, low = (getattr(x.rolling(n), f)().to_numpy()[len(recent) :] for f in ("max", "min"))
+        n = K.TREND_RANGE
+        # A window that is not full, or has a value missing, has no range.
+        windows = np.lib.stride_tricks.sliding_window_view(np.r_[np.full(n - 1, np.nan), recent, fast], n)[len(recent) :]
+        top, low = windows.max(axis=1), windows.min(axis=1)
         before = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]]
         before = np.where(np.isnan(before), 0.0, before)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -358,50 +381,59 @@ class _Oscillator(StatefulProcessor):
         start = np.where(last >= 0, go[last], active)
         return start ^ ((turns - np.where(last >= 0, turns[last], 0)) % 2 == 1)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        start = (0, [], [], np.nan, False, False, False)
-        bar, recent, angles, sig, active, was_l, was_s = self.state.get() if self.state.exists() else start
+    def _codes(self, held: tuple, fast: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Codes of one symbol's new bars, and what its next ones need."""
+        _, recent, angles, sig, active, was_l, was_s = held
         recent, angles = np.array(recent, float), np.array(angles, float)
-        # A key's rows come in parts of no order; what is late was told by the state before all of them.
-        part = pd.concat(list(rows), ignore_index=True).sort_values("bar")
-        new = part[part["bar"] > bar]
-        if len(new):
-            fast, sigs = new["fast"].to_numpy(float), new["sig"].to_numpy(float)
-            trend, angles = self._trend(recent, angles, fast)
-            old_fast, old_sig = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]], np.r_[sig, sigs[:-1]]
-            above = fast >= sigs
-            crossed = ((fast > sigs) & (old_fast <= old_sig)) | ((fast < sigs) & (old_fast >= old_sig))
-            buy, sell = above & (fast >= self.center), ~above & (fast < self.center)
-            go_l, go_s = buy & (trend == K.UP), sell & (trend == K.DOWN) & self.short_ok
-            stop = ~(buy | sell) | crossed
-            on = self._latch(go_l | go_s, stop, active)
-            was = np.r_[active, on[:-1]]
-            long, short = buy & on, sell & on
-            had_l, had_s = np.r_[was_l, long[:-1]], np.r_[was_s, short[:-1]]
-            code = np.select(
-                [stop & had_l, stop & had_s, go_l & ~was, go_s & ~was, long, short],
-                [K.EXIT_LONG, K.EXIT_SHORT, K.ENTER_LONG, K.ENTER_SHORT, K.LONG, K.SHORT],
-                K.NEUTRAL,
-            )
-            bar, sig, active = int(new["bar"].iloc[-1]), float(sigs[-1]), bool(on[-1])
-            was_l, was_s = bool(long[-1]), bool(short[-1])
-            recent, angles = np.r_[recent, fast][-K.TREND_RANGE :], angles[-2:]
-            self.state.update((bar, recent.tolist(), angles.tolist(), sig, active, was_l, was_s))
-            yield pd.DataFrame({"symbol": key[0], "bar": new["bar"], "code": code, "late": False})
-        old = part[~part.index.isin(new.index)]
-        if len(old):
-            yield pd.DataFrame({"symbol": key[0], "bar": old["bar"], "code": None, "late": True})
+        trend, angles = self._trend(recent, angles, fast)
+        old_fast, old_sig = np.r_[recent[-1:] if len(recent) else np.nan, fast[:-1]], np.r_[sig, sigs[:-1]]
+        above = fast >= sigs
+        crossed = ((fast > sigs) & (old_fast <= old_sig)) | ((fast < sigs) & (old_fast >= old_sig))
+        buy, sell = above & (fast >= self.center), ~above & (fast < self.center)
+        go_l, go_s = buy & (trend == K.UP), sell & (trend == K.DOWN) & self.short_ok
+        stop = ~(buy | sell) | crossed
+        on = self._latch(go_l | go_s, stop, active)
+        was = np.r_[active, on[:-1]]
+        long, short = buy & on, sell & on
+        had_l, had_s = np.r_[was_l, long[:-1]], np.r_[was_s, short[:-1]]
+        code = np.select(
+            [stop & had_l, stop & had_s, go_l & ~was, go_s & ~was, long, short],
+            [K.EXIT_LONG, K.EXIT_SHORT, K.ENTER_LONG, K.ENTER_SHORT, K.LONG, K.SHORT],
+            K.NEUTRAL,
+        )
+        recent = np.r_[recent, fast][-K.TREND_RANGE :]
+        return code, (recent.tolist(), angles[-2:].tolist(), float(sigs[-1]), bool(on[-1]), bool(long[-1]), bool(short[-1]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        held = {s: x for s, *x in zip(*self.state.get(), strict=True)} if self.state.exists() else {}
+        part, names, begins = _by_symbol(rows, "bar")
+        bars, fast, sigs = part["bar"].to_numpy(), part["fast"].to_numpy(float), part["sig"].to_numpy(float)
+        code, late = np.zeros(len(part), np.int64), np.zeros(len(part), bool)
+        for name, a, b in zip(names, begins, np.r_[begins[1:], len(part)], strict=True):
+            own = held.get(name, (0, [], [], np.nan, False, False, False))
+            # What is late is told by the state before the whole batch.
+            first = a + int(np.searchsorted(bars[a:b], own[0], "right"))
+            late[a:first] = True
+            if first < b:
+                code[first:b], rest = self._codes(own, fast[first:b], sigs[first:b])
+                held[name] = (int(bars[b - 1]), *rest)
+        self.state.update((list(held.keys()), *map(list, zip(*held.values(), strict=True))))
+        out = pd.DataFrame({"symbol": part["symbol"], "bar": bars, "code": code, "late": late})
+        if not late.all():
+            yield out[~late]
+        if late.any():
+            yield out[late].assign(code=None)
 
     def close(self) -> None:
         pass
 
 
 def stream_osc_signal(rows: DataFrame, center: float = 0.0, short_ok: bool = True) -> DataFrame:
-    """(symbol, bar, fast, sig) of closed bars to signal codes; state is 20 values per symbol.
+    """(symbol, bar, fast, sig) of closed bars to signal codes; state is some 30 values per symbol, kept by groups.
 
     Late bars come out with ``late`` set and no code, as in ``stream_moving_average``.
     """
-    return rows.select("symbol", "bar", "fast", "sig").groupBy("symbol").transformWithStateInPandas(
+    return _dealt(rows.select("symbol", "bar", "fast", "sig")).transformWithStateInPandas(
         _Oscillator(center, short_ok), "symbol STRING, bar INT, code INT, late BOOLEAN", "append", "None"
     )
 
