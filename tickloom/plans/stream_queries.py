@@ -152,6 +152,7 @@ def stream_osc_signal(spark, d):
     rows = I.rsi_osc(A.hourly(spark, d)).select(
         "symbol", "bar", F.col("rsi_fast").alias("fast"), F.col("rsi_sig").alias("sig")
     )
+    rows = materialise(rows, "osc")
     out = _fed(rows, "bar", "codes", lambda r, path, check: S.run_to_files(S.stream_osc_signal(r, 50), path, check))
     out = out.filter("NOT late").drop("late")
     ready = rows.filter("sig IS NOT NULL").select("symbol", "bar")
