@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,29 @@ def bucketed_lines(buckets: DataFrame, footer: str) -> DataFrame:
     return every.orderBy(F.desc("below"), "part", F.desc("by"), "line").select("line")
 
 
-def write_bars(bars: DataFrame, path: str, tf: str) -> None:
-    """Store bars by timeframe and day; only the days present are replaced."""
+#: Symbols whose bars of a day go to one file.
+SYMBOLS_A_FILE = 2000
+
+
+def parts_of(symbols: int) -> int:
+    return max(1, -(-symbols // SYMBOLS_A_FILE))
+
+
+def spread(day: str, parts: int) -> list[Column | str]:
+    """What to repartition by so that a day goes to ``parts`` tasks at most."""
+    return [day, F.pmod(F.xxhash64("symbol"), F.lit(parts))] if parts > 1 else [day]
+
+
+def write_bars(bars: DataFrame, path: str, tf: str, symbols: int | None = None) -> None:
+    """Store bars by timeframe and day; only the days present are replaced.
+
+    A day's symbols are dealt to as many tasks and files as they need: there are few days, but any number of symbols.
+    ``symbols`` is their number, where it is known.
+    """
+    parts = parts_of(bars.select("symbol").distinct().count() if symbols is None else symbols)
     (
         bars.withColumn("tf", F.lit(tf))
-        .repartition("day")
+        .repartition(*spread("day", parts))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("tf", "day")

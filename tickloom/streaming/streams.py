@@ -137,7 +137,7 @@ def bar_table_writer(store: str, tf_minutes: int = 3, fan: int = 8):
         known = slots.read(schema).filter(wanted).groupBy("symbol", "day", "slot").agg(latest("vol_cum"), latest("price"))
         grid = B.dense_grid(universe, calendar, per_day).filter(wanted)
         rows = grid.join(known, ["symbol", "day", "slot"], "left")
-        sinks.write_bars(B.volume_delta(B.fill_gaps(rows)), table, str(tf_minutes))
+        sinks.write_bars(B.volume_delta(B.fill_gaps(rows)), table, str(tf_minutes), universe.count())
 
     return write
 
