@@ -13,9 +13,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and go on from the files."""
-    path = shared_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, below: str | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder, or to one ``below`` a path of it, and go on from the files."""
+    path = f"{below}/{name}" if below else shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digests(suffix_dedup.drop_repeats(read(spark, sf_dir, "documents")))
+    dropped = suffix_dedup.drop_repeats(read(spark, sf_dir, "documents"))
+    return suffix_dedup.digests(dropped, suffix_dedup.shared_words())
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
